@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docrecon.llm import sharding, tokenbin
+from docrecon.llm import mixing, pii, sharding, tokenbin, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +34,29 @@ SELECT doc_id, size, 'bytes' AS law, shard, position - min(position) OVER (PARTI
 FROM cut
 """
 
-QUERIES = {"op1_token_output": op1_token_output, "op5_sharding": op5_sharding}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP4_SQL = """
+WITH payload AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), largest AS (
+  SELECT digest, max(page_id) AS last_id FROM payload WHERE n >= 1000 GROUP BY digest
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN last_id > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last_id > page_id THEN last_id END AS refers_to
+FROM payload p LEFT JOIN largest l ON p.digest = l.digest AND n >= 1000
+"""
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op6_pii": op6_pii, "op4_warc": op4_warc, "op10_mixing": op10_mixing, "op1_token_output": op1_token_output, "op5_sharding": op5_sharding}
 ORACLE_SQL: dict[str, str] = {}
