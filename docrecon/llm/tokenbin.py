@@ -93,7 +93,7 @@ class WordEncoder:
                 yield self._encode([text])[0] + self.end
             else:
                 chunks = text.split()
-                if new := set(chunks) - self.known.keys():
+                if new := set(chunks).difference(self.known):
                     self._learn(new)
                     if not all(map(self.known.__contains__, chunks)):  # the memory was cleared
                         self._learn(set(chunks))
