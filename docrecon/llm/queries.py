@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docrecon.llm import mixing, neardup, pii, sharding, tokenbin, toxicity, vecdup, warc
+from docrecon.llm import decontam, lm, mixing, neardup, pii, sharding, tokenbin, toxicity, vecdup, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +70,13 @@ def op7_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op7_vector_duplicates": op7_vector_duplicates, "op2_toxicity": op2_toxicity, "op3_near_duplicates": op3_near_duplicates, "op6_pii": op6_pii, "op4_warc": op4_warc, "op10_mixing": op10_mixing, "op1_token_output": op1_token_output, "op5_sharding": op5_sharding}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op9_language_model": op9_language_model, "op8_decontamination": op8_decontamination, "op7_vector_duplicates": op7_vector_duplicates, "op2_toxicity": op2_toxicity, "op3_near_duplicates": op3_near_duplicates, "op6_pii": op6_pii, "op4_warc": op4_warc, "op10_mixing": op10_mixing, "op1_token_output": op1_token_output, "op5_sharding": op5_sharding}
 ORACLE_SQL: dict[str, str] = {}

@@ -39,7 +39,11 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     Words are runs of anything but space, tab and the line ends 0x0A to 0x0D. Null is an empty text.
     """
-    raw = [(t or "").encode() for t in texts]
+    return hash_words([(t or "").encode() for t in texts])
+
+
+def hash_words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of texts that are encoded already."""
     data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
     gap = _SPACE[data]
     first = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
