@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrecon.llm.graph import components
@@ -262,3 +262,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = signed.select("doc_id", "key").join(labels, "key", "left")
     class_id: Column = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
     return joined.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, with all their columns: of each class one row of its smallest id
+    stays, and rows without an id stay."""
+    dropped = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    left = whole.join(dropped, F.col("id") == F.col("dropped_id"), "left_anti")
+    named = left.filter("id IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row.text")))).filter("nth = 1")
+    return named.select("row.*").unionByName(left.filter("id IS NULL").select("row.*"))
