@@ -131,7 +131,7 @@ WITH {DOCS.format(**_FIXTURE)}, located AS (
   FROM likened
 ), sure AS (
   SELECT *, greatest(0, least(1, before_flags - CASE WHEN company_score >= 70 AND company_score < 90 THEN 0.1::DOUBLE WHEN company_score < 70 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN differs THEN 0.2::DOUBLE ELSE 0 END)) AS exact FROM judged
-), docs AS (
+), docs AS MATERIALIZED (
   SELECT *, CASE WHEN doc_type = 'invoice' THEN round(exact, 3) ELSE 0.0::DOUBLE END AS confidence, list_filter([{", ".join(f"CASE WHEN {w} THEN '{c}' END" for c, w in _FLAG_ORDER)}], lambda f: f IS NOT NULL) AS flags,
     CASE WHEN doc_type = 'invoice' THEN concat_ws(',', {", ".join(f"CASE WHEN {f} IS NOT NULL THEN '{f}' END" for f in ("vendor_name_pdf", "vendor_gstin", "invoice_date", "taxable_value", "total_value"))}) END AS got,
     CASE WHEN doc_type = 'invoice' THEN concat_ws(',', {", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in ("vendor_gstin", "invoice_date", "total_value"))}) END AS missing
@@ -140,7 +140,7 @@ WITH {DOCS.format(**_FIXTURE)}, located AS (
 
 _PLAN = f"""{_DOCS}, {ROWS.format(**_FIXTURE).replace("base AS (", "r_base AS (").replace("FROM base", "FROM r_base").replace("told AS (", "r_told AS (").replace("FROM told", "FROM r_told").replace("priced AS (", "r_priced AS (").replace("FROM priced", "FROM r_priced")}, return_clean AS (
   SELECT * FROM return_rows
-), keys AS (
+), keys AS MATERIALIZED (
   SELECT DISTINCT doc_id, n, {_tax('vendor_gstin')} AS g, confidence, doc_type FROM docs, UNNEST([{_key('invoice_id')}, {_key('invoice_no_content')}]) AS t(n) WHERE n <> ''
 ), wanted AS (
   SELECT row, {_tax('gstin')} AS g, {_key('invoice_no')} AS n FROM return_clean
@@ -152,7 +152,7 @@ _PLAN = f"""{_DOCS}, {ROWS.format(**_FIXTURE).replace("base AS (", "r_base AS ("
   SELECT DISTINCT * FROM exact_hits UNION SELECT DISTINCT * FROM loose_hits
 ), summed AS (
   SELECT row, count(*) AS copies, count(DISTINCT nullif(g, '')) AS ids, arg_max(doc_id, row(confidence, doc_id)) AS best, array_to_string(list_sort(list(doc_id)), ',') AS all_ids FROM hits GROUP BY row
-), plan AS (
+), plan AS MATERIALIZED (
   SELECT r.*, coalesce(copies, 0) AS copies, CASE WHEN copies IS NULL THEN 'not_found' WHEN copies > 1 AND ids > 1 THEN 'ambiguous' ELSE 'matched' END AS status,
     CASE WHEN copies IS NOT NULL AND NOT (copies > 1 AND ids > 1) THEN best END AS doc_id, CASE WHEN copies > 1 THEN all_ids ELSE '' END AS candidates
   FROM return_clean r LEFT JOIN summed USING (row)
