@@ -13,10 +13,12 @@ text is encoded whole, whatever its length. Files of attempts that failed stay b
 
 from __future__ import annotations
 
-import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,76 +30,73 @@ from docrecon.llm.storage import create, fresh_path, map_array, materialize
 
 MAGIC = b"TOKIDX01"
 MANIFEST = "shard int, bin string, idx string, width int, n_docs long, n_tokens long"
-CACHED_WORDS = 1_000_000
-_SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?*%&$#|]+)")
+#: Chunks that a Python worker remembers before it starts anew.
+CACHED_WORDS = 1_500_000
+_TAIL = ".,;:!?*%&$#|"
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-class WordEncoder:
-    """Encodes texts with a tokenizer file, remembering the ids of white-space separated chunks.
+class WordEncoder(dict):
+    """Encodes texts with a tokenizer file; as a dictionary it remembers the packed ids of white-space separated chunks.
 
-    Tokenizers that drop white space before they split never merge across it, so a text's ids are those of its chunks
-    in turn. Where this doesn't hold of a tokenizer (``by_chunk`` finds out from its own description and a probe), texts
-    are encoded whole.
+    Tokenizers that split at white space never merge across it, so a text's ids are those of its chunks in turn. Where
+    this doesn't hold of a tokenizer (a probe tells), and for texts with its special strings or with controls that only
+    Python takes for white space, texts are encoded whole. A chunk goes through the library's own normalizer,
+    pre-tokenizer and model, which is what encoding does, without the cost of an Encoding each.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end_id = end_id
-        top = max(self.tokenizer.get_vocab_size() - 1, end_id, *self.tokenizer.get_added_tokens_decoder(), 0)
-        self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        super().__init__()
+        self.tokenizer = t = Tokenizer.from_file(path)
+        added = t.get_added_tokens_decoder()
+        self.whole = [x.content for x in added.values()] + ["\x1c", "\x1d", "\x1e", "\x1f"]
+        self.dtype = np.dtype("<u2" if max(t.get_vocab_size() - 1, end_id, *added, 0) < 1 << 16 else "<u4")
         self.end = self._packed([end_id])
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_chunk = self._splits_on_space()
-        self.known: dict[str, bytes] = {}
+        self.steps = (t.normalizer, t.pre_tokenizer, t.model)
+        probe = ["a b", "Ab, cd.  ef\n1 2", "x%% y**", "\xe9 \xf6\u0308 \xc9t\xe9,", " it's 's"]
+        self.by_chunk = self.lowers = False
+        if all(self.steps) and not any(" " in x.content for x in added.values()):
+            self.by_chunk = [b"".join(map(self.__getitem__, p.split())) for p in probe] == [self._encode(p) for p in probe]
+            self.lowers = self._encode("AbC \xc9") == self._encode("abc \xe9")
 
     def _packed(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _splits_on_space(self) -> bool:
-        probe = ["a b", "Ab, cd.  ef\n1 2", "x%% y**", "é ö ", " it's 's"]
-        apart = [b"".join(self._encode(p.split())) for p in probe]
-        spaced = any(" " in t for t in self.special)
-        return apart == self._encode(probe) and not spaced
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Put the ids of chunks that aren't known yet into ``known``."""
-        if len(self.known) + len(chunks) > CACHED_WORDS:
-            self.known.clear()
-        plain, parts = set(), {}
-        for chunk in chunks:
-            split = _SIMPLE.fullmatch(chunk)
-            word, tail = split.groups() if split else (chunk, "")
-            word = word.lower() if word.isascii() and word.isalpha() else word
-            parts[chunk] = (word, tail)
-            plain.add(word)
-            if tail:
-                plain.add(tail)
-        todo = [w for w in plain if w not in self.known]
-        self.known.update(zip(todo, self._encode(todo), strict=True))
-        for chunk, (word, tail) in parts.items():
-            if chunk not in self.known:
-                self.known[chunk] = self.known[word] + self.known[tail] if tail else self.known[word]
+        return array(self.dtype.char, ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, self.dtype).tobytes()
+
+    def _encode(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, chunk: str) -> bytes:
+        word = chunk.rstrip(_TAIL)
+        if word != chunk and word.isalpha():  # letters never share a piece with what is no letter
+            tail = chunk[len(word) :]
+            packed = self[word] + self[tail]
+        else:
+            normalizer, splitter, model = self.steps
+            packed = self._packed([token.id for piece, _ in splitter.pre_tokenize_str(normalizer.normalize_str(chunk)) for token in model.tokenize(piece)])
+        self[chunk] = packed
+        return packed
+
+    def _lower(self, text: str) -> str:
+        """The text in lower case if that can't change its ids, so that fewer chunks need remembering."""
+        if text.isascii():
+            return text.lower()
+        low = text.lower()
+        plain = "\u03a3" not in text and "\u0130" not in text and is_normalized("NFC", text) and is_normalized("NFC", low)
+        return low if plain else text
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, packed, with the end id."""
         for text in texts:
             if not text:
                 yield self.end
-            elif not self.by_chunk or any(s in text for s in self.special):
-                yield self._encode([text])[0] + self.end
+            elif not self.by_chunk or any(map(text.__contains__, self.whole)):
+                yield self._encode(text) + self.end
             else:
-                chunks = text.split()
-                if new := set(chunks).difference(self.known):
-                    self._learn(new)
-                    if not all(map(self.known.__contains__, chunks)):  # the memory was cleared
-                        self._learn(set(chunks))
-                yield b"".join(map(self.known.__getitem__, chunks)) + self.end
+                if len(self) > CACHED_WORDS:
+                    self.clear()
+                yield b"".join(map(self.__getitem__, (self._lower(text) if self.lowers else text).split())) + self.end
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
