@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     loose = materialize(components(alike), "loose-groups")
     group_sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    in_groups = texts.join(loose.join(group_sizes, "component"), F.col("rep") == F.col("node"))
+    # By merge at every size: the groups' share of the documents doesn't fall as the corpus grows.
+    in_groups = texts.join(loose.join(group_sizes, "component").hint("merge"), F.col("rep") == F.col("node"))
     linked = grouped(blocked(in_groups, "component", "size", "rep", TEXT_CHUNK), "component", _linked, ["rep", "text"])
 
     classes = components(linked)
