@@ -13,23 +13,30 @@ from pyspark.sql import functions as F
 BITS = 62
 
 
-def _chars(c: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1)))
+def _with(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: a lambda variable holds it, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _ordered(a: Column, b: Column, body) -> Column:
+    """``body`` of the shorter and the longer string."""
+    return _with(F.struct(F.when(F.length(a) > F.length(b), b).otherwise(a).alias("s"), F.when(F.length(a) > F.length(b), a).otherwise(b).alias("l")), lambda p: body(p["s"], p["l"]))
 
 
 def _by_bits(short: Column, long: Column) -> Column:
-    places = F.sequence(F.lit(1), F.length(short))
-    full = F.pow(F.lit(2.0), F.length(short)).cast("long") - 1
-    one = lambda i: F.pow(F.lit(2.0), i - 1).cast("long")
-    mask = lambda ch: F.aggregate(places, F.lit(0).cast("long"), lambda m, i: m + F.when(F.substring(short, i, F.lit(1)) == ch, one(i)).otherwise(F.lit(0).cast("long")))
-    masks = F.transform(_chars(long), mask)
-    row = F.aggregate(masks, full, lambda r, m: (r + r.bitwiseAND(m)).bitwiseOR(r - r.bitwiseAND(m)).bitwiseAND(full))
-    return F.length(short) - F.bit_count(row)
+    one = F.lit(1).cast("long")
+    bits = F.transform(F.split(short, ""), lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", one, i).alias("b")))
+
+    def rows(p: Column) -> Column:
+        mask = lambda ch: F.aggregate(p["bits"], F.lit(0).cast("long"), lambda m, x: F.when(x["c"] == ch, m + x["b"]).otherwise(m))
+        row = F.aggregate(F.transform(F.split(long, ""), mask), p["full"], lambda r, m: (r + r.bitwiseAND(m)).bitwiseOR(r - r.bitwiseAND(m)).bitwiseAND(p["full"]))
+        return F.length(short) - F.bit_count(row)
+
+    return _with(F.struct(bits.alias("bits"), (F.call_function("shiftleft", one, F.length(short)) - one).alias("full")), rows)
 
 
 def _by_rows(a: Column, b: Column) -> Column:
     width = F.length(b)
-    zero = F.array_repeat(F.lit(0), width + 1)
 
     def step(row: Column, ch: Column) -> Column:
         return F.aggregate(
@@ -38,31 +45,33 @@ def _by_rows(a: Column, b: Column) -> Column:
             lambda new, j: F.concat(new, F.array(F.when(F.substring(b, j, F.lit(1)) == ch, F.element_at(row, j) + 1).otherwise(F.greatest(F.element_at(row, j + 1), F.element_at(new, -1))))),
         )
 
-    return F.element_at(F.aggregate(_chars(a), zero, step), -1)
+    return F.element_at(F.aggregate(F.split(a, ""), F.array_repeat(F.lit(0), width + 1), step), -1)
+
+
+def _lcs_ordered(short: Column, long: Column) -> Column:
+    return F.when(F.length(short) == 0, 0).when(F.length(short) <= BITS, _by_bits(short, long)).otherwise(_by_rows(long, short))
 
 
 def lcs(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence."""
-    swap = F.length(a) > F.length(b)
-    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    return F.when(F.length(short) == 0, 0).when(F.length(short) <= BITS, _by_bits(short, long)).otherwise(_by_rows(long, short))
+    return _ordered(a, b, _lcs_ordered)
 
 
 def ratio(a: Column, b: Column) -> Column:
     """200 times the common subsequence over both lengths; two empty strings are alike."""
-    both = F.length(a) + F.length(b)
-    return F.when(both == 0, 100.0).otherwise(200.0 * lcs(a, b) / both)
+    return _ordered(a, b, lambda s, l: F.when(F.length(l) == 0, 100.0).otherwise(200.0 * _lcs_ordered(s, l) / (F.length(s) + F.length(l))))
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
     """The best ratio of the shorter string with a window of its length of the longer, windows cut off at the ends included."""
-    swap = F.length(a) > F.length(b)
-    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    m, n = F.length(short), F.length(long)
-    starts = F.sequence(2 - m, n)
-    window = lambda i: F.substring(long, F.greatest(i, F.lit(1)), F.least(i + m - 1, n) - F.greatest(i, F.lit(1)) + 1)
-    best = F.array_max(F.transform(starts, lambda i: ratio(short, window(i))))
-    return F.when((m == 0) | (n == 0), F.when(m == n, 100.0).otherwise(0.0)).otherwise(best)
+
+    def best(short: Column, long: Column) -> Column:
+        m, n = F.length(short), F.length(long)
+        window = lambda i: F.substring(long, F.greatest(i, F.lit(1)), F.least(i + m - 1, n) - F.greatest(i, F.lit(1)) + 1)
+        of = lambda w: 200.0 * F.when(F.length(short) <= BITS, _by_bits(short, w)).otherwise(_by_rows(w, short)) / (m + F.length(w))
+        return F.when((m == 0) | (n == 0), F.when(m == n, 100.0).otherwise(0.0)).otherwise(F.array_max(F.transform(F.array_distinct(F.transform(F.sequence(2 - m, n), window)), of)))
+
+    return _ordered(a, b, best)
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
