@@ -41,3 +41,13 @@ def spread_of(*columns: Column) -> Column:
 def shuffle_parts(df: DataFrame, least: int = 1) -> int:
     """The number of partitions that the session deals shuffles into."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bounded_sample(df: DataFrame, *key: str, rows: int) -> DataFrame:
+    """``rows`` rows of ``df`` at most, those with the smallest hashes of ``key``.
+
+    Only hashes are sorted; the rows themselves are then picked by the greatest hash that is in.
+    """
+    h = F.xxhash64(*key)
+    last = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.limit(0) if last is None else df.filter(h <= last).limit(rows)
