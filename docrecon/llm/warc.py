@@ -162,7 +162,8 @@ def string_cuts(df: DataFrame, parts: int, sample: int = 100_000) -> list[str]:
     """
     if parts < 2:
         return []
-    taken = df.select("key", F.rand(11).alias("h")).orderBy("h").limit(min(sample, 200 * parts)).select("key")
+    rows = df.count()
+    taken = df.select("key").filter(F.rand(11) < min(sample, 200 * parts) / max(rows, 1))  # so many rows on average
     keys = sorted(r["key"] for r in taken.collect())
     return [str(keys[len(keys) * i // parts]) for i in range(1, parts)] if len(keys) else []
 
