@@ -141,7 +141,7 @@ WITH {DOCS.format(**_FIXTURE)}, located AS (
 _PLAN = f"""{_DOCS}, {ROWS.format(**_FIXTURE).replace("base AS (", "r_base AS (").replace("FROM base", "FROM r_base").replace("told AS (", "r_told AS (").replace("FROM told", "FROM r_told").replace("priced AS (", "r_priced AS (").replace("FROM priced", "FROM r_priced")}, return_clean AS (
   SELECT * FROM return_rows
 ), keys AS MATERIALIZED (
-  SELECT DISTINCT doc_id, n, {_tax('vendor_gstin')} AS g, confidence, doc_type FROM docs, UNNEST([{_key('invoice_id')}, {_key('invoice_no_content')}]) AS t(n) WHERE n <> ''
+  SELECT DISTINCT doc_id, k, n, {_tax('vendor_gstin')} AS g, confidence, doc_type FROM docs, UNNEST([{_key('invoice_id')}, {_key('invoice_no_content')}]) AS t(n) WHERE n <> ''
 ), wanted AS (
   SELECT row, {_tax('gstin')} AS g, {_key('invoice_no')} AS n FROM return_clean
 ), exact_hits AS (
@@ -169,6 +169,25 @@ _DECIDED = f"""{_PLAN}, bound AS (
   SELECT * EXCLUDE (status), CASE WHEN status IN ('not_found', 'ambiguous') AND lower(supplier) IN (SELECT 'cobalt stores ' || CAST(k % 97 AS VARCHAR) FROM docs WHERE k % 500 = 4) THEN 'skipped' ELSE status END AS status FROM looked
 )"""
 
+
+
+def _resolved(name: str, rows: str, pool: str) -> str:
+    """CTEs that end in ``name``: row, copies, ids, best of the rows of ``rows`` among the keys of ``pool``."""
+    return f"""{name}_exact AS (
+  SELECT row, doc_id, p.g, confidence FROM {rows} w JOIN {pool} p ON w.n = p.n AND w.g = p.g WHERE w.g <> '' AND w.n <> ''
+), {name}_hits AS (
+  SELECT * FROM {name}_exact UNION SELECT row, doc_id, p.g, confidence FROM {rows} w JOIN {pool} p ON w.n = p.n WHERE w.n <> '' AND row NOT IN (SELECT row FROM {name}_exact)
+), {name} AS (
+  SELECT row, count(*) AS copies, count(DISTINCT nullif(g, '')) AS ids, arg_max(doc_id, row(confidence, doc_id)) AS best FROM {name}_hits GROUP BY row
+)"""
+
+
+_BACKFILL = f"""{_PLAN}, current AS (
+  SELECT * FROM keys WHERE doc_type = 'invoice' AND k % 6 <> 0
+), {_resolved('now', 'wanted', 'current')}, lost AS (
+  SELECT * FROM wanted WHERE row % 2 = 0 AND row NOT IN (SELECT row FROM now WHERE NOT (copies > 1 AND ids > 1))
+), {_resolved('again', 'lost', 'keys')}
+SELECT a.row, best AS doc_id, k % 6 = 0 OR doc_type <> 'invoice' AS promote FROM again a JOIN docs ON best = docs.doc_id WHERE NOT (a.copies > 1 AND a.ids > 1)"""
 _CANON = """, tallied AS (
   SELECT vendor_gstin, company, count(*) AS n, min(path) AS first_path FROM docs WHERE doc_type = 'invoice' AND vendor_gstin IS NOT NULL AND company IS NOT NULL GROUP BY ALL
 ), canon AS (
@@ -264,6 +283,7 @@ ORACLES = {
     "link_report": f"""{_PLAN}, one AS (SELECT count(*) AS b2b_rows, count_if(status = 'matched') AS matched, count_if(status = 'not_found') AS not_found, count_if(status = 'ambiguous') AS ambiguous, 0 AS skipped, 0 AS reviewer_confirmed_not_found,
         count_if(status = 'matched' AND copies > 1) AS duplicate_filings, (SELECT count(*) FROM docs WHERE doc_type = 'invoice' AND doc_id NOT IN (SELECT doc_id FROM plan WHERE doc_id IS NOT NULL)) AS detected_invoices_unreferenced FROM plan)
         SELECT name AS metric, value::BIGINT AS value FROM (UNPIVOT (SELECT {", ".join(f"{c}::BIGINT AS {c}" for c in ("b2b_rows", "matched", "not_found", "ambiguous", "skipped", "reviewer_confirmed_not_found", "duplicate_filings", "detected_invoices_unreferenced"))} FROM one) ON *)""",
+    "backfill": _BACKFILL,
     "postings": f"{_POSTS} SELECT token, count(*) AS docs FROM posts GROUP BY token",
     "token_search": _search(),
     "grep_docs": f"{_DOCS} SELECT k, filename FROM docs WHERE contains(lower(array_to_string(parts, ' ') || ' ' || text), 'tax') AND contains(lower(array_to_string(parts, ' ') || ' ' || text), '00012') AND contains(lower(array_to_string(parts, ' ') || ' ' || text), 'pune')",
