@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents of each class that the model is fitted on, at most.
-SAMPLE = 3000
+SAMPLE = 2000
 BITS = 18
 SIZES = (3, 4, 5, 6, 7)
 WEAK = 0.1
@@ -202,39 +202,34 @@ def measured(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np
     return out, toxic, begins
 
 
-def unlike(docs: list[list[str]]) -> list[int]:
-    """Positions of documents without those that share their rarest-hashed run of five words with an earlier one: near
-    copies would lend the weight of many to the words of one."""
-    seen, out = set(), []
-    for i, tokens in enumerate(docs):
-        key = min((zlib.crc32(" ".join(tokens[j : j + 5]).encode()) for j in range(max(1, len(tokens) - 4))), default=0)
-        if key not in seen:
-            seen.add(key)
-            out.append(i)
-    return out
+def likeness(tokens: list[str]) -> int:
+    """The least hash of a text's runs of five words, which near copies mostly share."""
+    return min((zlib.crc32(" ".join(tokens[j : j + 5]).encode()) for j in range(max(1, len(tokens) - 4))), default=0)
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = 8, seed: int = 5) -> Model:
-    """Fit the field and the curve on labelled texts."""
+def train(texts: list[str | None], labels: list[int], rounds: int = 8, least_steps: int = 400, seed: int = 5) -> Model:
+    """Fit the field and the curve on labelled texts. Of texts alike only the first is used: near copies would lend the
+    weight of many to the words of one."""
     empty = lambda flat: Model(*(np.zeros(1 << BITS, np.float32) for _ in range(3)), 0.0, np.zeros((2, 2)), np.zeros(4), flat)
     if len(set(labels)) < 2:
         return empty(float(labels[0]) if labels else 0.0)
-    docs = [TOKEN.findall((t or "").lower()) for t in texts]
-    chosen = unlike(docs)
-    texts, docs, labels = [texts[i] for i in chosen], [docs[i] for i in chosen], [labels[i] for i in chosen]
+    ids: dict[str, int] = {}
+    seen_like, chosen, numbered = set(), [], []
+    for i, text in enumerate(texts):
+        tokens = TOKEN.findall((text or "").lower())
+        if (like := likeness(tokens)) not in seen_like:
+            seen_like.add(like)
+            chosen.append(i)
+            numbered.append(np.array([ids.setdefault(w, len(ids)) for w in tokens], np.int32))
+    texts, labels = [texts[i] for i in chosen], [labels[i] for i in chosen]
     if len(set(labels)) < 2:
         return empty(float(labels[0]))
-
-    ids: dict[str, int] = {}
-    for tokens in docs:
-        for w in tokens:
-            ids.setdefault(w, len(ids))
-    lists = [features(w) for w in ids]
-    wide, none = max(map(len, lists), default=1), len(lists)
-    table = np.full((none + 1, wide), 1 << BITS, np.int64)  # the last column of the weights stays zero
-    for i, at in enumerate(lists):
+    wide, none = 1 + 2 * len(SIZES), len(ids)
+    table = np.full((none + 1, wide), 1 << BITS, np.int32)  # the last column of the weights stays zero
+    for i, w in enumerate(ids):
+        at = features(w)
         table[i, : len(at)] = at
-    numbered = [np.array([ids[w] for w in tokens], np.int64) for tokens in docs]
+    del ids
     signal = tagged_features([table[np.unique(x)] for x in numbered], labels)
     tagged = signal[table].any(axis=1)
     # Windows around tagged tokens and windows of clean text, so that a step is cheap and both tags are seen.
@@ -251,8 +246,9 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, seed: int
     weights = np.zeros((3, (1 << BITS) + 1))
     power = np.full_like(weights, 1e-3)  # damps what is seen once or twice
     moves, move_power, bias, bias_power = np.array([[0.0, -2.0], [0.0, -1.0]]), np.full((2, 2), 1e-8), -2.0, 1e-8
-    for _ in range(rounds if chains else 0):
-        for part in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // 256)):
+    parts = max(1, len(chains) // 256)
+    for _ in range(max(rounds, least_steps // parts) if chains else 0):
+        for part in np.array_split(rng.permutation(len(chains)), parts):
             length = max(len(chains[i]) for i in part)
             words = np.full((length + 2, len(part)), none)
             gold = np.zeros((length, len(part)))
@@ -281,6 +277,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, seed: int
     model.bias, model.moves = float(bias), moves
     x = np.concatenate([measured(model, [(t or "").lower() for t in texts[i : i + 256]])[0] for i in range(0, len(texts), 256)])
     model.curve = fit_curve(x, np.array(labels, float))
+    model.__post_init__()  # forget the words
     return model
 
 
