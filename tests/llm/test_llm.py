@@ -243,6 +243,24 @@ def test_decontamination(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 60, 300])
+def test_decontamination_finds_what_many_documents_share(spark, n):
+    rng = random.Random(14)
+    items = [(i, " ".join(rng.choices(WORDS, k=8 + 3 * i))) for i in range(8)]
+    rows, planted = [], set()
+    for d in range(n):
+        words = rng.choices(WORDS, k=rng.randrange(20, 200))
+        if d % 3 == 0:  # one item in a third of the rows
+            words[10:10] = items[0][1].split()
+            planted.add((d, 0))
+        if d % 15 == 0:  # beside one that few hold
+            words[30:30] = items[5][1].split()
+            planted.add((d, 5))
+        rows.append((d, " ".join(words), "en", "s", 0))
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()} == planted
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(6)
     rows = []
