@@ -261,6 +261,24 @@ def test_decontamination_finds_what_many_documents_share(spark, n):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()} == planted
 
 
+def test_decontamination_by_many_and_long_items(spark):
+    rng = random.Random(15)
+    words = [f"v{i}y" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(15, 60)))) for i in range(1000)] + [(1000, " ".join(rng.choices(words, k=900)))]
+    rows, planted = [], set()
+    for d in range(200):
+        own = rng.choices(words, k=rng.randrange(20, 120))
+        i = 1000 if d == 0 else d * 5
+        put = items[i][1].split()
+        if d % 2:  # a paraphrase: every ninth word another
+            put = ["new" if k % 9 == 4 else w for k, w in enumerate(put)]
+        own[10:10] = put
+        planted.add((d, i))
+        rows.append((d, " ".join(own), "en", "s", 0))
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()} == planted
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(6)
     rows = []
