@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,11 +13,14 @@ _kept: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (one machine), a folder of our own."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a single machine gets a folder of its own; on
+    a cluster that would be another folder on each machine, so it is an error there."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if not named:
         if context.getCheckpointDir() is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docrecon-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
