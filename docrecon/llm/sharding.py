@@ -1,8 +1,9 @@
 """Contiguous shards of nearly equal bytes, from global prefix sums made of per-bucket totals. DataFrame functions only.
 
 Edge cases: a null or empty text weighs ``overhead`` bytes. A null document id comes first. Rows that share a document
-id follow each other in the order of (crc32, size), and equal rows are interchangeable. An empty table gives no rows.
-Other columns are ignored. A document larger than a whole share leaves a neighbouring shard small or empty; it is never split.
+id, null too, follow each other in the order of a hash, by which many of them are spread over several buckets; equal rows
+are counted and then told apart by a number, and are interchangeable. An empty table gives no rows. Other columns,
+whatever their names, are ignored. A document larger than a whole share leaves a neighbouring shard small or empty; it is never split.
 """
 
 from __future__ import annotations
@@ -25,15 +26,16 @@ def balanced_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, bucke
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     buckets = buckets or shuffle_parts(docs, 8)
-    cuts = cut_points(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", buckets)
-    rows = materialize(rows.withColumn("bucket", bucket_of(F.col("doc_id"), spread_of(F.col("text_crc32"), F.col("size")), cuts, "bigint")), "shard-rows")
+    cuts = cut_points(rows.select("doc_id"), "doc_id", buckets)
+    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n").withColumn("spread", spread_of(F.col("text_crc32"), F.col("size"), F.col("copy")))
+    rows = materialize(each.withColumn("bucket", bucket_of(F.col("doc_id"), F.col("spread"), cuts, "bigint")), "shard-rows")
 
     totals = rows.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
     bases = totals.select("bucket", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.sum("bytes").over(Window.partitionBy()).alias("all_bytes"))
 
-    spread = spread_of(F.col("text_crc32"), F.col("size"))
-    inside = Window.partitionBy("bucket").orderBy(F.asc_nulls_first("doc_id"), spread, "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("bucket").orderBy(F.asc_nulls_first("doc_id"), "spread", "text_crc32", "size", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumn("upto", F.sum("size").over(inside)).withColumn("nth", F.count("*").over(inside))
     placed = summed.join(F.broadcast(bases), "bucket")  # as many rows as buckets, a parameter
     twice = 2 * (F.col("bytes_before") + F.col("upto")) - F.col("size")  # twice the row's middle

@@ -1,28 +1,23 @@
 """Shared storage: where intermediate tables and output files go, and how executors open them.
 
 Everything an operator writes lies under the folder that the cluster names in ``spark.checkpoint.dir``, which the
-driver and all executors share. Only where that setting is absent (tests, a single machine) a folder of our own is set.
+driver and all executors share.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docrecon.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The URI of the shared folder."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docrecon-"))
-    return context.getCheckpointDir().rstrip("/")
+
+#: Bytes of an Arrow batch.
+BATCH = 8 << 20
+_UNBOUNDED = (1 << 31) - 1
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -41,6 +36,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands Python Arrow batches of ``BATCH`` bytes at most, however long texts are.
+
+    Spark bounds batches by their rows alone unless this is set. A bound that the session has set stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, str(_UNBOUNDED))) >= _UNBOUNDED:
+        conf.set(name, str(BATCH))
+    return df
+
+
 def _local(uri: str) -> str | None:
     parts = urlparse(uri)
     return unquote(parts.path) if parts.scheme in ("", "file") else None

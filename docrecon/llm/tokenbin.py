@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrecon.llm.ranges import bucket_of, cut_points, shuffle_parts, spread_of
-from docrecon.llm.storage import create, fresh_path, map_array, materialize
+from docrecon.llm.storage import bounded, create, fresh_path, map_array, materialize
 
 MAGIC = b"TOKIDX01"
 MANIFEST = "shard int, bin string, idx string, width int, n_docs long, n_tokens long"
@@ -131,13 +131,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, out_dir: str
     Texts move once, to the shard of their range of document ids; a task streams its shard to disk. Only the manifest
     (a row a shard) is gathered.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = parts or shuffle_parts(docs)
     out_dir = out_dir or fresh_path(docs.sparkSession, "tokens")
     cuts = cut_points(narrow, "doc_id", parts)
-    tie = F.xxhash64("text")
-    placed = narrow.withColumn("tie", F.pmod(tie, F.lit(1 << 20))).withColumn("shard", bucket_of(F.col("doc_id"), spread_of(F.col("text")), cuts, "bigint"))
-    ordered = placed.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("shard"), F.asc_nulls_first("doc_id"), "tie")
+    placed = narrow.withColumn("hash", F.xxhash64("text")).withColumn("tie", spread_of(F.col("text"))).withColumn("shard", bucket_of(F.col("doc_id"), spread_of(F.col("text")), cuts, "bigint"))
+    ordered = placed.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("shard"), F.asc_nulls_first("doc_id"), "tie", "hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, end_id)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.llm.ranges import bucket_of, cut_points, shuffle_parts, spread_of
-from docrecon.llm.storage import create, fresh_path, materialize, open_random
+from docrecon.llm.storage import bounded, create, fresh_path, materialize, open_random
 
 BLOCK = 1024
 #: Gzip level of records; text of web pages gains little beyond it.
@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, out_dir: str | None = None, parts: int | No
     A key that fills several archives (a hot host with equal URLs) is spread over them.
     """
     out_dir = out_dir or fresh_path(pages.sparkSession, "warc")
-    rows = classify(pages, least_bytes).withColumn("key", url_key_column(F.col("url")))
+    rows = classify(bounded(pages), least_bytes).withColumn("key", url_key_column(F.col("url")))
     cuts = string_cuts(pages.select(url_key_column(F.col("url")).alias("key")), parts or shuffle_parts(pages))
     placed = rows.withColumn("archive", bucket_of(F.col("key"), spread_of(F.col("page_id")), cuts, "string"))
     ordered = placed.repartitionById(len(cuts) + 1, F.col("archive")).sortWithinPartitions("archive", "key", "page_id")
