@@ -23,7 +23,7 @@ from docrecon.llm.storage import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents rounded in one group, on average.
 GROUP = 128
-_UNIT = "struct<id:bigint,nth:int,size:bigint,p:double>"
+_UNIT = "struct<id:bigint,tie:bigint,nth:int,size:bigint,p:double>"
 
 
 def word_count(text: Column) -> Column:
@@ -65,12 +65,12 @@ def _meet(state: Column, unit: Column, seed: int) -> Column:
     """The pivotal step: ``state`` has the fractional unit so far (``open``) and the units that are decided (``done``)."""
     a, b = state["open"], unit
     sa, sb = a["size"].cast("double"), b["size"].cast("double")
-    u = _uniform(a["id"], a["nth"], b["id"], b["nth"], F.lit(seed))
+    u = _uniform(a["id"], a["tie"], a["nth"], b["id"], b["tie"], b["nth"], F.lit(seed))
     up = F.least((1 - a["p"]) * sa, b["p"] * sb)  # mass that can move from b to a
     down = F.least(a["p"] * sa, (1 - b["p"]) * sb)  # and from a to b
     moved = F.when(u * (up + down) < down, up).otherwise(-down)
     tidy = lambda p: F.when(p < 1e-9, 0.0).when(p > 1 - 1e-9, 1.0).otherwise(p)
-    made = lambda x, p: F.struct(x["id"].alias("id"), x["nth"].alias("nth"), x["size"].alias("size"), p.alias("p"))
+    made = lambda x, p: F.struct(x["id"].alias("id"), x["tie"].alias("tie"), x["nth"].alias("nth"), x["size"].alias("size"), p.alias("p"))
     pair = F.array(made(a, tidy(a["p"] + moved / sa)), made(b, tidy(b["p"] - moved / sb)))
     pair_out = lambda x: (x["p"] == 0.0) | (x["p"] == 1.0)
     step = F.struct(
@@ -83,21 +83,22 @@ def _meet(state: Column, unit: Column, seed: int) -> Column:
 
 def _round_groups(units: DataFrame, groups: Column, seed: int) -> DataFrame:
     """Round the units of each source in ``groups`` groups: source, open (what is left over, or null), done."""
-    key = F.pmod(F.xxhash64("id", "nth", F.lit(seed)), groups)
-    gathered = units.withColumn("key", key).groupBy("source", "key").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("id", "nth", F.lit(seed + 1)).alias("h"), F.struct("id", "nth", "size", "p").alias("unit")))).alias("units"))
+    key = F.pmod(F.xxhash64("id", "tie", "nth", F.lit(seed)), groups)
+    gathered = units.withColumn("key", key).groupBy("source", "key").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("id", "tie", "nth", F.lit(seed + 1)).alias("h"), F.struct("id", "tie", "nth", "size", "p").alias("unit")))).alias("units"))
     start = F.struct(F.lit(None).cast(_UNIT).alias("open"), F.array().cast(f"array<{_UNIT}>").alias("done"))
     rounded = gathered.withColumn("r", F.aggregate("units", start, lambda s, x: _meet(s, x["unit"], seed)))
     return rounded.select("source", "r.open", "r.done")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, group: int = GROUP, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, nth (which of equal rows), source_size, target, copies, taken of every row of ``docs``.
+    """doc_id, source, size, tie (a hash of the text), nth (which of equal rows), source_size, target, copies, taken of
+    every row of ``docs``.
 
-    Equal rows (doc_id, source, size) are counted before they are shuffled and told apart by ``nth``, so that groups
+    Equal rows (doc_id, source, text) are counted before they are shuffled and told apart by ``nth``, so that groups
     are dealt by a hash that no hot key can fill. A group holds about ``group`` documents however large its source is.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    counted = materialize(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
+    counted = materialize(rows.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("n")), "mix-rows")
     sources = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_docs"))
     sources = materialize(sources, "mix-sources")
     targets = source_targets(sources.select("source", "source_size"), weights, share, ceiling)
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     units = counted.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     units = units.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
     drawn = (F.col("size") > 0) & (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)
-    level = units.filter(drawn).select("source", F.col("doc_id").alias("id"), "nth", "size", "p", F.ceil(F.col("source_docs") / group).alias("groups"))
+    level = units.filter(drawn).select("source", F.col("doc_id").alias("id"), "tie", "nth", "size", "p", F.ceil(F.col("source_docs") / group).alias("groups"))
     decided, last, n = [], False, 0
     most = targets.agg(F.max("source_docs")).first()[0] or 0
     while not last:
@@ -121,22 +122,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
             g = F.ceil(F.col("source_docs") / float(group) ** (n + 1))
             level = level.join(targets.select(F.col("source").alias("s"), g.alias("groups")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # One unit a source is still open. Rounded to the nearer side it misses the target by half its size at most.
-    decided.append(level.select("source", "id", "nth", "size", F.round("p").alias("p")))
+    decided.append(level.select("source", "id", "tie", "nth", "size", F.round("p").alias("p")))
     extra = decided[0]
     for more in decided[1:]:
         extra = extra.unionByName(more.select(extra.columns))
 
     # What isn't drawn takes its whole number of copies; what is drawn comes from the tree, with its source's figures.
-    even = units.filter(~drawn).select("doc_id", "source", "size", "nth", "source_size", "target", (F.col("whole") + F.when((F.col("p") >= 1 - 1e-9), 1).otherwise(0)).cast("int").alias("copies"))
-    odd = extra.join(t.select("t_source", "source_size", "target", "whole"), F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("id").alias("doc_id"), "source", "size", "nth", "source_size", "target", (F.col("whole") + F.col("p")).cast("int").alias("copies"))
+    even = units.filter(~drawn).select("doc_id", "source", "size", "tie", "nth", "source_size", "target", (F.col("whole") + F.when((F.col("p") >= 1 - 1e-9), 1).otherwise(0)).cast("int").alias("copies"))
+    odd = extra.join(t.select("t_source", "source_size", "target", "whole"), F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("id").alias("doc_id"), "source", "size", "tie", "nth", "source_size", "target", (F.col("whole") + F.col("p")).cast("int").alias("copies"))
     return even.unionByName(odd).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("nth").alias("k_nth"), "copies")
-    row = F.struct(*docs.columns)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"), word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("tie"), row.alias("row"))
-    numbered = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("id", "src", "words").orderBy("tie")))
-    same = F.col("id").eqNullSafe(F.col("k_id")) & F.col("src").eqNullSafe(F.col("k_source")) & (F.col("words") == F.col("k_size")) & (F.col("nth") == F.col("k_nth"))
-    return numbered.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    """The mix itself: the rows of ``docs``, each as often as it is taken.
+
+    Rows of equal id, source and text stand for each other: one of them comes as often as all are taken together. They
+    are joined before they are shuffled, so no key, null ids among them, gathers rows in a task.
+    """
+    taken = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("tie").alias("k_tie")).agg(F.sum("copies").cast("int").alias("copies"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"), word_count(F.col("text")).alias("words"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.struct(*docs.columns).alias("row"))
+    each = keyed.groupBy("id", "src", "words", "tie").agg(F.first("row").alias("row"))
+    same = F.col("id").eqNullSafe(F.col("k_id")) & F.col("src").eqNullSafe(F.col("k_source")) & (F.col("words") == F.col("k_size")) & (F.col("tie") == F.col("k_tie"))
+    return each.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
