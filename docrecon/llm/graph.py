@@ -20,6 +20,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         both = links.select(F.col("u").alias("n"), F.col("v").alias("m"))
     least = both.groupBy("n").agg(F.min("m").alias("least")).withColumn("least", F.least("least", "n"))
+    # Twice inverted, the key is none that the sums are dealt by already. So the join deals both of its sides itself, and
+    # Spark can split the links of a hot node, which it can't below an aggregate.
+    least = least.withColumn("n", F.bitwise_not(F.bitwise_not("n")))
     joined = both.join(least, "n")
     if large:
         out = joined.filter(F.col("m") > F.col("n")).select(F.col("m").alias("u"), F.col("least").alias("v"))

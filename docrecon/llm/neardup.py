@@ -3,21 +3,24 @@
 Two documents are linked if the weighted Jaccard similarity of their multisets of five-word shingles is ``THRESHOLD`` or
 more; a class is a connected component of links, and its smallest document id stays.
 
-1. Equal texts are one document from here on (a class representative), so copies are never expanded into pairs.
+1. Equal texts are one node from here on (told by 128 bits of their hash), so copies are never expanded into pairs.
 2. BagMinHash: each shingle has Poisson processes over the weight axis cut at 0, 1, 2, 4, 8 ...; a point has a time, a
    slot and a place on the axis, and counts for a document whose weight of that shingle lies beyond its place. Each slot
    keeps its earliest point. Points come in order of time, so a shingle is left as soon as it is later than all slots.
 3. Eight bits of each slot make the signature. Bands of ``ROWS`` slots are bucket keys. Buckets are counted before
-   anything is gathered; a bucket of more than ``CHUNK`` documents is cut into chunks and its chunks compared by pairs,
+   anything is gathered; a bucket of more than ``CHUNK`` nodes is cut into chunks and its chunks compared by pairs,
    each pair in a task of its own. From a block come only the links of a spanning forest, so output stays linear.
    With 32 bands of 6, a pair at similarity 0.8 is missed with probability 6e-5.
-4. Linked by signatures (estimate ``LOOSE`` or more, 5 standard deviations below the threshold), documents form loose
-   groups that hold every true link. In each group all pairs are compared by their exact multisets, again in blocks of
-   bounded size, and again only a spanning forest of the true links comes out.
+4. Linked by signatures (estimate ``LOOSE`` or more, 5 standard deviations below the threshold), nodes form loose
+   groups that hold every true link. In a group of up to ``TEXT_CHUNK`` nodes all pairs are compared by their exact
+   multisets. In a larger one every node is compared with the group's centre first, which joins most of a cluster of
+   near copies at once; then all that the centre didn't join are compared with the whole group, in blocks of bounded
+   size. Two nodes that the centre joined need no comparison, being in one class already.
 
 Edge cases: a text of one to four words has one shingle of all its words; a null or empty text has none and is similar to
-nothing but equal texts (null counts as empty). Rows that share a document id are one document to the links; a row without
-an id is kept and has no class. An empty table gives no rows. Other columns are ignored. Texts are hashed whole.
+nothing but equal texts (null counts as empty). Rows that share a document id are told apart by their texts, and each is
+in the class of its text. A row without an id is kept and has no class; it can link others. An empty table gives no
+rows. Other columns, whatever their names, are ignored. Texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -26,14 +29,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.llm.graph import components
-from docrecon.llm.ranges import shuffle_parts
+from docrecon.llm.ranges import pieces, shuffle_parts
 from docrecon.llm.shingles import mix, multiset, occurrences
-from docrecon.llm.storage import materialize
+from docrecon.llm.storage import bounded, materialize
 
 WORDS, THRESHOLD, LOOSE = 5, 0.8, 0.65
 BANDS, ROWS = 32, 6
@@ -103,29 +105,28 @@ def estimated(same: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     return (same / slots - 1 / 256) / (1 - 1 / 256)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def text_key(text: Column) -> Column:
+    """128 bits that tell a text (null counts as empty)."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def sign(docs: DataFrame) -> DataFrame:
     """doc_id, key (128 bits of the text), sig (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches, 256):
-            texts = piece.column("text").to_pylist()
-            keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(keys, pa.binary()), pa.array(signatures(texts), pa.binary())], ["doc_id", "key", "sig"])
+        for piece in pieces(batches, 256):
+            sigs = signatures(piece.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(sigs, pa.binary())], ["doc_id", "key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, sig binary")
+    narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, key binary, sig binary")
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band: its number and bits as one key, and the document."""
+    """A row for each band: its number and bits as one key, and the node."""
     place = _U(1) << (np.arange(ROWS, dtype=np.uint64) * _U(8))
     band = np.arange(BANDS, dtype=np.uint64) << _U(8 * ROWS)
-    for piece in _pieces(batches, 4096):
+    for piece in pieces(batches, 4096, column="sig"):
         sig = np.frombuffer(b"".join(piece.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
         keys = (sig.astype(np.uint64) * place).sum(axis=2, dtype=np.uint64) + band
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(np.repeat(piece.column("rep").to_numpy(), BANDS))], ["bucket", "rep"])
@@ -153,18 +154,19 @@ def grouped(rows: DataFrame, group: str, run: Callable[[list[pa.RecordBatch]], l
             found = run(blocks)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-        kept = 0
+        kept = size = 0
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in (group, "block", *payload)]
             for g, block, *values in zip(*cols, strict=True):
                 if (g, block) != last:
-                    if kept > 4096:
+                    if kept > 4096 or size > 16 << 20:
                         yield links(held)
-                        held, kept = [], 0
+                        held, kept, size = [], 0, 0
                     held.append([])
                     last = (g, block)
                 held[-1].append(values)
                 kept += 1
+                size += len(values[-1] or "")
         if held:
             yield links(held)
 
@@ -198,7 +200,7 @@ def _alike(blocks: list[list]) -> list[tuple[int, int]]:
 
 
 def _linked(blocks: list[list]) -> list[tuple[int, int]]:
-    """Spanning links of the documents (rep, text) in each block whose exact multiset similarity reaches the threshold."""
+    """Spanning links of the nodes (rep, text) in each block whose exact multiset similarity reaches the threshold."""
     out = []
     sets = occurrences([t for b in blocks for _, t in b], WORDS)
     at = 0
@@ -238,12 +240,45 @@ def _linked(blocks: list[list]) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest document id of its class), kept (whether it is that one) of every row of ``docs``."""
+def _by_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, component, near: whether a text reaches the threshold with its group's centre."""
+    for piece in pieces(batches, 256):
+        centres = piece.column("centre").to_pylist()
+        distinct = {c: i for i, c in enumerate(dict.fromkeys(centres))}
+        sets = occurrences([*distinct, *piece.column("text").to_pylist()], WORDS)
+        near = []
+        for centre, own in zip(centres, sets[len(distinct) :], strict=True):
+            other = sets[distinct[centre]]
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            near.append(bool(both) and both >= THRESHOLD * (len(own) + len(other) - both) - 1e-9)
+        yield pa.RecordBatch.from_arrays([piece.column("node"), piece.column("component"), pa.array(near, pa.bool_())], ["node", "component", "near"])
+
+
+def verified(groups: DataFrame) -> DataFrame:
+    """Links a, b by exact multisets that make the classes of the loose groups (node, component, size, text)."""
+    small = groups.filter(F.col("size") <= TEXT_CHUNK)
+    links = grouped(blocked(small, "component", "size", "node", TEXT_CHUNK), "component", _linked, ["node", "text"])
+    large = groups.filter(F.col("size") > TEXT_CHUNK)
+    centres = large.filter("node = component").select(F.col("component").alias("c"), F.col("text").alias("centre"))
+    met = materialize(large.join(centres, F.col("component") == F.col("c")).select("node", "component", "text", "centre").mapInArrow(_by_centre, "node long, component long, near boolean"), "by-centre")
+    links = links.unionByName(met.filter("near AND node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+    # What is left over against the whole group: a block is a chunk of the former and a chunk of the latter.
+    alone = met.filter("NOT near").select(F.col("node").alias("alone"))
+    left = met.filter("NOT near").groupBy(F.col("component").alias("c")).agg(F.count("*").alias("left"))
+    k, m = F.ceil(F.col("left") / TEXT_CHUNK).cast("int"), F.ceil(F.col("size") / TEXT_CHUNK).cast("int")
+    open_ = large.join(left, F.col("component") == F.col("c")).drop("c")
+    at = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    others = open_.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: i * m + at(2, m))))
+    queries = open_.join(alone, F.col("node") == F.col("alone"), "left_semi").withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), m - 1), lambda j: at(1, k) * m + j)))
+    return links.unionByName(grouped(others.unionByName(queries), "component", _linked, ["node", "text"]))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, key, class_id, kept of every row of ``docs``."""
     signed = materialize(sign(docs), "signatures")
-    own = signed.filter("doc_id IS NOT NULL")
-    first = own.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
-    reps = materialize(first.select("key", F.col("x.doc_id").alias("rep"), "x.sig"), "representatives")
+    first = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"))
+    reps = materialize(first.withColumn("rep", F.monotonically_increasing_id()), "representatives")
 
     some = reps.filter("sig IS NOT NULL").select("rep", "sig")
     bands = some.mapInArrow(_banded, "bucket long, rep long")
@@ -253,23 +288,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     loose = materialize(components(alike), "loose-groups")
     group_sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    # By merge at every size: the groups' share of the documents doesn't fall as the corpus grows.
-    in_groups = texts.join(loose.join(group_sizes, "component").hint("merge"), F.col("rep") == F.col("node"))
-    linked = grouped(blocked(in_groups, "component", "size", "rep", TEXT_CHUNK), "component", _linked, ["rep", "text"])
-
-    classes = components(linked)
-    labels = reps.join(classes, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class_id"))
+    wanted = loose.join(group_sizes, "component").join(reps.select("rep", "key"), F.col("node") == F.col("rep")).select("key", "node", "component", "size")
+    # One text of each key, joined in the tasks that read them before they are shuffled. By merge at every size: the
+    # groups' share of the documents doesn't fall as the corpus grows.
+    texts = docs.select(text_key(F.col("text")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    groups = materialize(texts.join(wanted.hint("merge"), "key").select("node", "component", "size", "text"), "loose-texts")
+
+    classes = components(verified(groups))
+    order = F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "key")
+    linked = materialize(reps.select("rep", "key", "first_id").join(classes, F.col("rep") == F.col("node")).select("rep", "key", "first_id", "component"), "linked")
+    best = linked.groupBy("component").agg(F.min(order).alias("best"))
+    better = linked.join(best, "component").select(F.col("rep").alias("node"), F.col("best.first_id").alias("class_id"), F.col("best.key").alias("class_key"))
+    labels = reps.select("key", "rep", "first_id").join(better, F.col("rep") == F.col("node"), "left")
+    labels = labels.select("key", F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_key", "key").alias("class_key"))
     joined = signed.select("doc_id", "key").join(labels, "key", "left")
-    class_id: Column = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return joined.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    named = F.col("doc_id").isNotNull()
+    kept = ~named | ((F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("class_key")))
+    return joined.select("doc_id", "key", F.when(named, F.col("class_id")).alias("class_id"), F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the smallest document id of its class), kept of every row of ``docs``. Kept is the text of the
+    smallest id; of several texts of that id one."""
+    return _classes(docs).select("doc_id", "class_id", "kept")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates, with all their columns: of each class one row of its smallest id
-    stays, and rows without an id stay."""
-    dropped = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
-    left = whole.join(dropped, F.col("id") == F.col("dropped_id"), "left_anti")
-    named = left.filter("id IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row.text")))).filter("nth = 1")
-    return named.select("row.*").unionByName(left.filter("id IS NULL").select("row.*"))
+    """The rows of ``docs`` without near-duplicates, with all their columns: of each class one row stays, and rows without
+    an id stay. Equal rows are joined before they are shuffled."""
+    kept = _classes(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    each = whole.filter("id IS NOT NULL").groupBy("id", "key").agg(F.first("row").alias("row"))
+    left = each.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    return left.select("row.*").unionByName(whole.filter("id IS NULL").select("row.*"))
