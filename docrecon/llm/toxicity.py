@@ -8,12 +8,15 @@ text's tokens give the expected number of toxic tokens, the highest marginal and
 curve on these, fitted on the same labels, gives the score. Tokens above one half are merged into spans.
 
 ``fit`` sees a bounded sample: ``SAMPLE`` labelled documents of each class, those with the smallest hashes of their ids,
-and whole texts of them. Everything else covers every row. The model is a few megabytes whatever the corpus.
+of ``SAMPLE_BYTES`` of text in all at most, and whole texts of them: tags and the curve come from every token, and the
+steps of the field from ``WINDOWS`` stretches of each document, drawn from everywhere in it (round tagged tokens in
+toxic ones). Everything else covers every row. The model is a few megabytes whatever the corpus.
 
 Edge cases: a null or empty text has no tokens and gets the score of no evidence. If no label, or labels of one class
 only, can be learned from, all scores are that class's share (0 without labels). Null labels and labels of unknown
 documents are left out; several labels of a document count as toxic if any is. Rows are scored one by one, so repeated
-ids and null ids pass through. An empty table gives no rows. Other columns are ignored.
+ids and null ids pass through; of several texts of a labelled id the least is learned from. An empty table gives no
+rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents of each class that the model is fitted on, at most.
-SAMPLE = 2000
+from docrecon.llm.ranges import pieces
+from docrecon.llm.storage import bounded, materialize
+
+#: Labelled documents of each class that the model is fitted on, their bytes in all, and stretches of each, at most.
+SAMPLE, SAMPLE_BYTES, WINDOWS = 2000, 64 << 20, 6
 BITS = 18
 SIZES = (3, 4, 5, 6, 7)
 WEAK = 0.1
@@ -237,7 +243,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, least_ste
     chains, tags = [], []
     for x, label in zip(numbered, labels, strict=True):
         hits = np.flatnonzero(tagged[x]) if label else []
-        centres = hits[:6] if len(hits) else (rng.integers(0, len(x), 6) if len(x) else [])
+        centres = rng.permutation(hits)[:WINDOWS] if len(hits) else (rng.integers(0, len(x), WINDOWS) if len(x) else [])
         for c in centres:
             own = x[max(0, c - 8) : c + 9]
             chains.append(own)
@@ -326,8 +332,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     spark = docs.sparkSession
     small = spark.createDataFrame(list(ids.items()) or [(None, None)], "id long, toxic int")
     rows = docs.join(F.broadcast(small), F.col("doc_id").cast("long") == F.col("id")).select("id", "toxic", F.col("text").cast("string").alias("text"))
-    first = rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy("id")  # one row an id, so the sample stays bounded
-    got = first.collect()
+    first = materialize(rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("id")), "toxicity-sample")  # one row an id, so the sample stays bounded
+    room, last = SAMPLE_BYTES, None
+    for r in first.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h", "n").collect():
+        room -= r["n"]
+        if room < 0 and last is not None:
+            break
+        last = r["h"]
+    got = first.filter(F.col("h") <= last).orderBy("id").collect() if last is not None else []
     return train([r["text"] for r in got], [r["toxic"] for r in got])
 
 
@@ -349,16 +361,14 @@ def spans(text: str, toxic: np.ndarray) -> list[dict]:
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list]]:
     """Pieces of the batches with the score and spans of each row's text."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            piece = batch.slice(at, 512)
-            texts = [(t or "").lower() for t in piece.column("text").to_pylist()]
-            if model.flat is not None:
-                yield piece, np.full(len(texts), model.flat), [[]] * len(texts)
-                continue
-            x, toxic, begins = measured(model, texts)
-            score = 1 / (1 + np.exp(-np.clip(model.curve[0] + x @ model.curve[1:], -40, 40)))
-            yield piece, score, [spans(t, toxic[a:b]) for t, a, b in zip(texts, begins[:-1], begins[1:], strict=True)]
+    for piece in pieces(batches, 512):
+        texts = [(t or "").lower() for t in piece.column("text").to_pylist()]
+        if model.flat is not None:
+            yield piece, np.full(len(texts), model.flat), [[]] * len(texts)
+            continue
+        x, toxic, begins = measured(model, texts)
+        score = 1 / (1 + np.exp(-np.clip(model.curve[0] + x @ model.curve[1:], -40, 40)))
+        yield piece, score, [spans(t, toxic[a:b]) for t, a, b in zip(texts, begins[:-1], begins[1:], strict=True)]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -370,7 +380,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for piece, values, found in _scored(batches, shared.value):
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(values), pa.array(found, kind)], ["doc_id", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
 
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -381,7 +391,7 @@ def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
         for piece, values, _ in _scored(batches, shared.value):
             yield piece.filter(pa.array(values < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
