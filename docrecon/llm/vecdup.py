@@ -3,17 +3,18 @@
 Unit vectors with cosine c or more lie within epsilon = sqrt(2 - 2c) of each other, and so do their projections on any
 orthonormal axes. Vectors are projected on their leading principal axes, put into grid cells of side epsilon, and sorted
 by label and cells in turn: the epsilon grid order. Equal vectors are joined to one first. The sequence is cut into
-intervals of bounded length; the bounding boxes of intervals tell which pairs of intervals can hold a link at all, and
+intervals of bounded bytes; the bounding boxes of intervals tell which pairs of intervals can hold a link at all, and
 each such pair is joined in a task by halving the intervals recursively, dropping halves whose boxes are more than
-epsilon apart, down to short ones that are compared by cosine in double precision.
+epsilon apart, down to short ones that are compared by cosine in double precision. Intervals are large, so that few
+pairs of them have to move; most of the order's work is done by the halving.
 
 From a pair of intervals come the links of a spanning forest and a count of links for each vector, so that output stays
 linear in the rows however many links there are.
 
 Edge cases: a vector that is null, empty, zero or has null or non-finite components, or whose label is null, links with
-nothing. Vectors of different lengths aren't compared. Rows that share an id are one vector to the components and
-count one by one as links. A null id is passed through with no component and is kept. An empty table gives no rows.
-Other columns are ignored.
+nothing; very long and very short vectors are scaled before their squares are taken. Vectors of different lengths aren't
+compared. Rows that share an id are one vector to the components and count one by one as links. A null id is passed
+through with no component and is kept. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +28,20 @@ from pyspark.sql import functions as F
 
 from docrecon.llm.graph import components
 from docrecon.llm.ranges import shuffle_parts
-from docrecon.llm.storage import materialize
+from docrecon.llm.storage import bounded, materialize
 
 COSINE = 0.98
-#: Principal axes of the grid, rows of an interval, and rows below which vectors are compared outright.
-AXES, INTERVAL, LEAF = 8, 512, 64
+#: Principal axes of the grid, bytes of an interval's vectors, and rows below which vectors are compared outright.
+AXES, INTERVAL, LEAF = 8, 4 << 20, 64
 _SLACK = 1e-9
 
 
-def _stack(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _units(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors at length one. Divided by their greatest component first, their squares neither vanish nor overflow."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
 
 
 def prepare(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,10 +49,12 @@ def prepare(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     (smallest of its rows), label, vector, copies."""
     vector = F.col("embedding").cast("array<double>")
     plain = F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), vector.alias("vector")
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    sound = F.coalesce(F.col("label").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0) & (norm < float("inf")), F.lit(False))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     checked = rows.select(*plain).withColumn("sound", sound)
-    key = F.when(F.col("sound"), F.sha2(F.concat_ws(",", "label", F.array_join(F.col("vector").cast("array<string>"), ",")), 256))
+    # The label's length stands first, so that no label with commas can be taken for part of a vector.
+    named = F.concat(F.length("label").cast("string"), F.lit(":"), "label", F.lit(","), F.array_join(F.col("vector").cast("array<string>"), ","))
+    key = F.when(F.col("sound"), F.sha2(named, 256))
     keyed = checked.withColumn("key", key)
     good = keyed.filter("sound AND vec_id IS NOT NULL")
     groups = good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min(F.struct("label", "vector")).alias("x"))
@@ -60,8 +67,7 @@ def principal_axes(groups: DataFrame, dim: int, axes: int = AXES) -> np.ndarray:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((dim + 1, dim)), 0
         for batch in batches:
-            x = _stack(batch.column("vector"), dim)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _units(batch.column("vector"), dim)
             total[0] += x.sum(axis=0)
             total[1:] += x.T @ x
             n += len(x)
@@ -78,7 +84,7 @@ def principal_axes(groups: DataFrame, dim: int, axes: int = AXES) -> np.ndarray:
 
 def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``rows`` (vec_id, label, embedding)."""
-    keyed, groups = prepare(rows)
+    keyed, groups = prepare(bounded(rows))
     keyed, groups = materialize(keyed, "vector-keys"), materialize(groups, "vectors")
     found = [_links(groups.filter(F.size("vector") == r["d"]), r["d"], cosine) for r in groups.select(F.size("vector").alias("d")).distinct().orderBy("d").collect()]
     spark = rows.sparkSession
@@ -100,12 +106,11 @@ def _links(groups: DataFrame, dim: int, cosine: float) -> DataFrame:
     """a, b, n: links of spanning forests (b set), and numbers of links of a (b null)."""
     eps = float(np.sqrt(max(2 - 2 * cosine, 0.0))) + _SLACK
     axes = principal_axes(groups, dim)
-    k = axes.shape[1]
+    length = max(512, INTERVAL // (8 * dim))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _stack(batch.column("vector"), dim)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _units(batch.column("vector"), dim)
             cells = np.floor((x @ axes) / eps).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("copies"), pa.array(list(cells), pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "copies", "cells", "unit"])
 
@@ -133,7 +138,7 @@ def _links(groups: DataFrame, dim: int, cosine: float) -> DataFrame:
 
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("id", "label", "copies", "unit")], strict=True):
-                if held and (row[1] != held[0][1] or len(held) == INTERVAL):
+                if held and (row[1] != held[0][1] or len(held) == length):
                     yield done()
                 held.append(row)
         if held:
@@ -154,22 +159,33 @@ def _links(groups: DataFrame, dim: int, cosine: float) -> DataFrame:
     pairs = left.join(right, (F.col("label") == F.col("label2")) & (F.col("slab") == F.col("slab2")) & (first <= second) & (apart <= eps * eps)).select("i", "j")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A pair's intervals come one after the other; an interval that meets itself comes alone."""
+        last, first = None, None
+
+        def joined(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in join_intervals(a, b, axes, eps, cosine)], ["a", "b", "n"])
+
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                a = _side(row, "", dim)
-                b = a if row["i"] == row["j"] else _side(row, "2", dim)
-                found = join_intervals(a, b, axes, eps, cosine)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b", "n"])
-
-    one = intervals.select(F.col("interval").alias("i"), "ids", "copies", "units")
-    two = intervals.select(F.col("interval").alias("j"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("units").alias("units2"))
-    met = pairs.join(one, "i").join(two, "j").repartition(parts, F.xxhash64("i", "j"))
-    return met.mapInArrow(meet, "a long, b long, n long")
-
-
-def _side(row: dict, suffix: str, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids" + suffix], np.int64), np.frombuffer(row["copies" + suffix], np.int64), np.frombuffer(row["units" + suffix]).reshape(-1, dim)
+                pair, side = (row["i"], row["j"]), _side(row, dim)
+                if row["i"] == row["j"]:
+                    yield joined(side, side)
+                elif pair == last:
+                    yield joined(first, side)
+                    first = None
+                else:
+                    last, first = pair, side
+
+    # Each interval moves once for each pair that it is in.
+    needed = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("which"))
+    payload = intervals.select(F.col("interval").alias("which"), "ids", "copies", "units")
+    met = needed.join(payload, "which").repartition(parts, "i", "j").sortWithinPartitions("i", "j", "which")
+    return met.select("i", "j", "ids", "copies", "units").mapInArrow(meet, "a long, b long, n long")
+
+
+def _side(row: dict, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64), np.frombuffer(row["units"]).reshape(-1, dim)
 
 
 def join_intervals(a: tuple, b: tuple, axes: np.ndarray, eps: float, cosine: float) -> tuple[list[int], list, list]:
