@@ -1,15 +1,17 @@
 """Personal data spans by weak supervision. DataFrame functions only; the driver does sums over a table of vote patterns.
 
-Base spans come from four fixed patterns and are always kept. Looser candidates beside them (obfuscated or split e-mail
-addresses, phone numbers without a plus, cards of other lengths or separators, addresses with a port or a zone) get
-votes from labelers: the shape of the base pattern, a gazetteer (top-level domains, country and area forms, issuer
-prefixes, private networks), cue words in the context before the span, and boundaries around it. Base spans get the
-same votes, so that there is agreement to learn from. Expectation-maximisation over the counts of vote patterns
-estimates how reliable each labeler is for each kind; its posteriors train a logistic classifier on the features of the
-spans, which then decides on the candidates. Counts cover all documents, and there are at most a few thousand patterns.
+Base spans come from four fixed patterns and are always kept. Candidates are what looser patterns find where no base
+span lies: obfuscated or split e-mail addresses, addresses with a port or a zone, dotted numbers, runs of digits in groups
+like a card's that the base pattern lost (two cards side by side are one run to it) or that fail its check, phone numbers
+without a plus. Base spans and candidates get the same votes, none of which tells the one from the other: the form of a
+true span (check digits, ranges, a domain's letters), a gazetteer (top-level domains, country and area forms, issuer
+prefixes, networks in use), cue words in the context before the span, boundaries around it, and the layout of its
+separators. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is for each
+kind, from where they agree and disagree; its posteriors train a logistic classifier on the features of the spans, which
+then decides on the candidates. Counts cover all documents, and there are at most a few hundred patterns.
 
 Edge cases: a null or empty text has no spans. Documents are rows: repeated ids give repeated rows, a null id stays null.
-An empty table gives no rows and trains nothing. Other columns are ignored. Texts are scanned whole; the patterns are
+An empty table gives no rows and trains nothing. Other columns, whatever their names, are ignored. Texts are scanned whole; the patterns are
 written without nested backtracking, so that long runs of digits or letters take linear time.
 """
 
@@ -34,13 +36,13 @@ BASE = {
 }
 LOOSE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+(?:/[0-9]{1,2}|:[0-9]{2,5})(?![0-9.])",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+(?:/[0-9]{1,2}|:[0-9]{2,5})?+(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9]{4}+[\x20.-]?[0-9]{4,6}+[\x20.-]?[0-9]{4,5}+(?:[\x20.-]?[0-9]{1,7}+)?(?![0-9])",
     "phone": r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 #: What a text must contain for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-NEEDS_LOOSE = {"email": r"\[at\]|\(at\)|@\x20|\x20@", "ip": r"[0-9]\.[0-9]++[/:][0-9]", "card": r"[0-9]{4}[\x20.-]?[0-9]{4}", "phone": r"[0-9]\)?[\x20.-][0-9]{3}"}
+NEEDS_LOOSE = {"email": r"\[at\]|\(at\)|@\x20|\x20@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9]{4}[\x20.-]?[0-9]{4}", "phone": r"[0-9]\)?[\x20.-][0-9]{3}"}
 #: Cue words in four languages, looked for in the ``CONTEXT`` characters before a span.
 CUES = {
     "email": r"(?i)e-?mail|contact|write to|kontakt|courriel|correo|adresse|@:",
@@ -54,10 +56,17 @@ GAZETTEER = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|30|36|38|6011|65)",
     "phone": r"^(?:\+|00|\(?[2-9][0-9]{2}\)?[\x20.-])",
 }
+#: Separators as a true span has them: none or one kind throughout.
+LAYOUT = {
+    "email": r"^[^\x20\[(]+$|^[^@]+(?:\[at\][^@]+\[dot\]|\(at\)[^@]+\(dot\))[^@]+$",
+    "ip": r"^(?:(?:0|[1-9][0-9]*)\.){3}(?:0|[1-9][0-9]*)(?:[/:].+)?$",
+    "card": r"^[0-9]+$|^[0-9]{4}([\x20.-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$|^[0-9]{4}([\x20.-])[0-9]{6}\2[0-9]{4,5}$",
+    "phone": r"^(?:\+|00|\().*[0-9]$|^[0-9]{2,4}([\x20.-])[0-9]{3,4}\1[0-9]{3,4}$",
+}
 CONTEXT = 24
-LABELERS = ("shape", "gazetteer", "cue", "bounds")
-FEATURES = ("shape", "gazetteer", "cue", "bounds", "checked", "separated")
-_SPAN = "struct<kind:int,start:int,end:int,base:boolean,shape:int,gazetteer:int,cue:int,bounds:int,checked:int,separated:int>"
+LABELERS = ("form", "gazetteer", "cue", "bounds", "layout")
+FEATURES = (*LABELERS, "separated")
+_SPAN = "struct<kind:int,start:int,end:int,form:int,gazetteer:int,cue:int,bounds:int,layout:int,separated:int>"
 
 
 def _found(text: Column, pattern: str, needs: str) -> Column:
@@ -101,22 +110,32 @@ def _valid(kind: str, s: Column) -> Column:
     return (n >= 8) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
-def _described(text: Column, kind: str, match: Column, base: bool) -> Column:
+def _form(kind: str, s: Column) -> Column:
+    """Whether a span of either sort has the form of a true one."""
+    n = F.length(_digits(s))
+    if kind == "email":
+        return s.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+[^A-Za-z0-9].*[A-Za-z]{2,}$") & ~s.contains("..")
+    if kind == "ip":
+        return _octets(s)
+    if kind == "card":
+        return F.when((n >= 13) & (n <= 19), _luhn(_digits(s))).otherwise(False)
+    return (n >= 8) & (n <= 15)
+
+
+def _described(text: Column, kind: str, match: Column) -> Column:
     """A span with its votes (1, 0, or -1 for none) and features."""
     start, s = match["start"], match["s"]
     before = F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT)))
     left, right = F.substring(text, start, F.lit(1)), F.substring(text, start + F.length(s) + 1, F.lit(1))
     bounded = ~F.when(start > 0, left).otherwise("").rlike(r"[\p{L}\p{N}]") & ~right.rlike(r"[\p{L}\p{N}]")
-    n = F.length(_digits(s))
-    checked = {"email": s.contains("@"), "ip": _octets(s), "card": F.when((n >= 13) & (n <= 19), _luhn(_digits(s))).otherwise(False), "phone": (n >= 8) & (n <= 15)}[kind]
     flag = lambda c: c.cast("int")
     return F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(s)).alias("end"), F.lit(base).alias("base"),
-        F.lit(1 if base else 0).alias("shape"),
+        F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(s)).alias("end"),
+        flag(_form(kind, s)).alias("form"),
         flag(s.rlike(GAZETTEER[kind])).alias("gazetteer"),
         F.when(before.rlike(CUES[kind]), 1).otherwise(-1).alias("cue"),
         flag(bounded).alias("bounds"),
-        flag(checked).alias("checked"),
+        flag(s.rlike(LAYOUT[kind])).alias("layout"),
         flag(s.rlike(r"[\x20().-]|\[|/|:")).alias("separated"),
     ).cast(_SPAN)
 
@@ -129,10 +148,10 @@ def find_spans(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(kind, _found(text, BASE[kind], NEEDS[kind])).withColumn("loose_" + kind, _found(text, LOOSE[kind], NEEDS_LOOSE[kind]))
 
     def kept(kind: str) -> Column:
-        return F.transform(F.filter(kind, lambda m: _valid(kind, m["s"])), lambda m: _described(text, kind, m, True))
+        return F.transform(F.filter(kind, lambda m: _valid(kind, m["s"])), lambda m: _described(text, kind, m))
 
     def other(kind: str) -> Column:
-        return F.transform("loose_" + kind, lambda m: _described(text, kind, m, False))
+        return F.transform("loose_" + kind, lambda m: _described(text, kind, m))
 
     spans = rows.select("doc_id", F.concat(*map(kept, KINDS)).alias("base"), F.concat(*map(other, KINDS)).alias("loose"))
     apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
@@ -189,7 +208,7 @@ def train(rows: list[tuple[tuple[float, ...], float, float]], steps: int = 300,
 def learn(spans: DataFrame) -> list[list[float]]:
     """The weights of each kind's classifier, from the counts of span descriptions over all documents."""
     described = spans.select(F.inline(F.concat("base", "loose")))
-    counts = described.groupBy("kind", "shape", "gazetteer", "cue", "bounds", "checked", "separated").agg(F.count("*").alias("n")).collect()  # at most 4 * 3 * 2**5 rows
+    counts = described.groupBy("kind", *FEATURES).agg(F.count("*").alias("n")).collect()  # at most 4 * 2**6 rows
     weights = []
     for kind in range(len(KINDS)):
         own = sorted((tuple(r[f] for f in FEATURES), float(r["n"])) for r in counts if r["kind"] == kind)
