@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrecon.functions.fuzzy import lcs, partial_ratio, ratio, token_set_ratio
+from docrecon.functions.fuzzy import half_up, lcs, partial_ratio, ratio, token_set_ratios
 from docrecon.functions.norm import company_name, search_key
 from docrecon.settings import FOLDER_CUTOFF, LITERAL_BONUS, PARTIAL_SHADE, SEARCH_CUTOFF, SHORT_TOKEN, TOKEN_CUTOFF
 
+#: Suppliers that a task compares with folders at once.
+BLOCK = 2048
+
 
 def haystack() -> Column:
     """What ranked search looks at: the path below the root, then labels and parsed fields."""
@@ -110,18 +116,59 @@ def browse_files(docs: DataFrame, prefix: Sequence[str] = (), include_hidden: bo
     return _under(docs, prefix, include_hidden).filter(F.size("rel_parts") <= depth + 1).orderBy(F.lower("filename"), "doc_id")
 
 
-def folder_scores(suppliers: DataFrame, folders: DataFrame) -> DataFrame:
-    """supplier, name, score of the pairs that are alike enough. Both are small tables of distinct names."""
-    want = suppliers.select("supplier", company_name(F.col("supplier")).alias("_a")).filter("_a != ''")
-    have = folders.select("name", company_name(F.col("name")).alias("_b"))
-    # Names at 70 or more have two letters in a row in common; that finds the pairs without comparing all.
-    piece = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))
-    pairs = want.withColumn("_p", piece(F.col("_a"))).join(have.withColumn("_q", piece(F.col("_b"))), F.col("_p") == F.col("_q")).select("supplier", "_a", "name", "_b").distinct()
-    return pairs.select("supplier", "name", token_set_ratio(F.col("_a"), F.col("_b")).alias("s")).filter(F.col("s") >= FOLDER_CUTOFF).select("supplier", "name", F.round("s", 1).alias("score"))
+def folder_scores(suppliers: DataFrame, folders: DataFrame, limit: int | None = 3) -> DataFrame:
+    """supplier, place, name, score: of each supplier the folders whose names are alike enough, best first, ``limit`` of them.
+
+    Every supplier is compared with every folder, names that normalise alike as one. Suppliers are a query set: they are
+    held by the tasks in blocks of ``BLOCK`` names, and folders are scanned where they lie. A block's pairs are compared
+    in vectors, and of each task only the best ``limit`` folders a supplier are handed on, so nothing grows with the
+    product of both tables but the comparisons themselves.
+    """
+    want = suppliers.select("supplier", company_name(F.col("supplier")).alias("_a")).filter("_a != ''").distinct()
+    have = folders.select("name", company_name(F.col("name")).alias("_b")).filter("_b != ''").distinct()
+    order = [F.desc("score"), F.lower("name"), "name"]
+    names = have.groupBy("_b").agg(F.min(F.lower("name")).alias("_first"))
+    found = None
+    for block in _blocks(want.select("_a").distinct().orderBy("_a").toLocalIterator(), BLOCK):
+        more = names.mapInArrow(_liken([r["_a"] for r in block], limit), "_a string, _b string, score double")
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        return suppliers.select("supplier", F.lit(1).alias("place"), F.lit("").alias("name"), F.lit(0.0).alias("score")).limit(0)
+    if limit is not None:  # of what the tasks hand on; a normalised name has a folder at least
+        best = Window.partitionBy("_a").orderBy(F.desc("score"), "_first", "_b")
+        found = found.join(names, "_b").withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= limit).drop("_nth", "_first")
+    pairs = found.join(want, "_a").join(have, "_b").select("supplier", "name", "score")
+    placed = pairs.withColumn("place", F.row_number().over(Window.partitionBy("supplier").orderBy(*order)))
+    return (placed.filter(F.col("place") <= limit) if limit is not None else placed).select("supplier", "place", "name", "score")
+
+
+def _blocks(rows: Iterator, size: int) -> Iterator[list]:
+    while block := list(islice(rows, size)):
+        yield block
+
+
+def _liken(queries: list[str], limit: int | None):
+    """A scan of folder names (_b, _first) that gives _a, _b, score of the pairs at ``FOLDER_CUTOFF`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = [[] for _ in queries]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                piece = batch.slice(low, 512)
+                names, firsts = piece.column("_b").to_pylist(), piece.column("_first").to_pylist()
+                scores = token_set_ratios(queries, names, FOLDER_CUTOFF)
+                for q, n in zip(*np.nonzero(np.round(scores, 9) >= FOLDER_CUTOFF), strict=True):
+                    held[q].append((-half_up(scores[q, n]), firsts[n], names[n]))
+                if limit is not None:
+                    held = [sorted(h)[:limit] if len(h) > limit else h for h in held]
+        rows = [(q, name, -score) for q, h in zip(queries, held, strict=True) for score, _, name in h]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["_a", "_b", "score"])
+
+    return run
 
 
 def suggest_folders(supplier: str, docs: DataFrame, limit: int = 3, prefix: Sequence[str] = ()) -> DataFrame:
     """The folders under ``prefix`` whose names are most like the supplier's."""
     one = docs.sparkSession.createDataFrame([(supplier,)], "supplier string")
     folders = browse_folders(docs, prefix)
-    return folder_scores(one, folders).join(folders, "name").orderBy(F.desc("score"), F.lower("name")).limit(limit)
+    return folder_scores(one, folders.select("name"), limit).join(folders, "name").orderBy("place")

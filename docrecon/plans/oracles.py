@@ -239,6 +239,15 @@ def _search() -> str:
     SELECT doc_id, round(CASE WHEN contains(hay, '{" ".join(_QUERY)}') THEN least(100, mean + 12) ELSE mean END, 1) AS score, doc_type FROM means JOIN hays USING (doc_id)"""
 
 
+_FOLDERS = f"""{_PLAN}, wanted_names AS MATERIALIZED (SELECT DISTINCT supplier, {_name('supplier')} AS a FROM return_clean), folder_names AS MATERIALIZED (SELECT DISTINCT company AS name, {_name('company')} AS b FROM docs WHERE company IS NOT NULL
+), met AS (SELECT a, b, string_split(a, ' ') AS aw, string_split(b, ' ') AS bw, list_intersect(string_split(a, ' '), string_split(b, ' ')) AS j FROM (SELECT DISTINCT a FROM wanted_names WHERE a <> ''), (SELECT DISTINCT b FROM folder_names WHERE b <> '')
+), rests AS (SELECT a, b, length(array_to_string(j, ' ')) + CASE WHEN len(j) > 0 THEN 1 ELSE 0 END AS n, array_to_string(list_sort(list_filter(list_distinct(aw), lambda w: NOT list_contains(j, w))), ' ') AS u, array_to_string(list_sort(list_filter(list_distinct(bw), lambda w: NOT list_contains(j, w))), ' ') AS v FROM met
+), likely AS (SELECT * FROM rests WHERE (n > 0 AND (u = '' OR v = '')) OR 100.0::DOUBLE * (1 - (length(u) + length(v) - 2 * least(length(u), length(v)))::DOUBLE / (2 * n + length(u) + length(v))) >= 70 OR n::DOUBLE / (2 * n + least(length(u), length(v))) >= 0.35
+), likened_names AS (SELECT a, b, CASE WHEN n > 0 AND (u = '' OR v = '') THEN 100.0::DOUBLE ELSE greatest(100.0::DOUBLE * (1.0::DOUBLE - (length(u) + length(v) - 2 * {_lcs('u', 'v')}) / (2 * n + length(u) + length(v))::DOUBLE),
+    CASE WHEN n > 0 THEN 200.0::DOUBLE * (n - 1) / (2 * n - 1 + length(u)) ELSE 0 END, CASE WHEN n > 0 THEN 200.0::DOUBLE * (n - 1) / (2 * n - 1 + length(v)) ELSE 0 END) END AS s FROM likely
+)
+SELECT supplier, row_number() OVER (PARTITION BY supplier ORDER BY round(s, 1) DESC, lower(name), name)::INTEGER AS place, name, round(s, 1) AS score
+FROM likened_names JOIN wanted_names USING (a) JOIN folder_names USING (b) WHERE s >= 70 QUALIFY place <= 3"""
 _FIELDS = "invoice_no_content, vendor_name_pdf, vendor_gstin, bill_to_gstin, bill_to_name, invoice_date_raw, invoice_date, taxable_value, total_value"
 _NAMED = f"SELECT row, {_REF} AS name FROM"
 _CELLS = f"""numbered AS (
@@ -289,6 +298,7 @@ ORACLES = {
     "grep_docs": f"{_DOCS} SELECT k, filename FROM docs WHERE contains(lower(array_to_string(parts, ' ') || ' ' || text), 'tax') AND contains(lower(array_to_string(parts, ' ') || ' ' || text), '00012') AND contains(lower(array_to_string(parts, ' ') || ' ' || text), 'pune')",
     "browse_level": f"{_DOCS} SELECT parts[1] AS name, count(*) AS pdfs, count_if(doc_type = 'invoice')::BIGINT AS invoices FROM docs GROUP BY 1",
     "browse_deep": f"{_DOCS} SELECT parts[4] AS name, count(*) AS pdfs, count_if(doc_type = 'invoice')::BIGINT AS invoices FROM docs WHERE len(parts) > 4 GROUP BY 1",
+    "folder_suggest": _FOLDERS,
     "ledger_lww": "SELECT user_id AS source_key, arg_max(event_id, event_id) AS seq, arg_max(event_type, event_id) AS event_type, min(event_id) AS position FROM events GROUP BY user_id",
     "ledger_overlay": f"WITH {DOCS.format(**_FIXTURE)} SELECT k, path AS source_key, CASE WHEN k % 3 = 0 THEN 'snapshot' ELSE 'ledger' END AS origin FROM inv_docs WHERE k % 3 = 0 OR k % 2 = 0",
     "resume_skip": f"WITH {DOCS.format(**_FIXTURE)} SELECT k, path AS source_key FROM inv_docs WHERE k % 3 <> 0",

@@ -189,9 +189,8 @@ def browse_deep(spark, sf_dir):
 
 
 def folder_suggest(spark, sf_dir):
-    docs = processed(spark, sf_dir).filter("company IS NOT NULL")
-    suppliers = returned(spark, sf_dir).select("supplier").distinct()
-    return finder.folder_scores(suppliers, docs.select(F.col("company").alias("name")).distinct()).select("supplier", "name", "score")
+    folders = processed(spark, sf_dir).filter("company IS NOT NULL").select(F.col("company").alias("name")).distinct()
+    return finder.folder_scores(returned(spark, sf_dir).select("supplier").distinct(), folders)
 
 
 def ledger_lww(spark, sf_dir):
