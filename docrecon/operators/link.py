@@ -6,14 +6,21 @@ documents. Matching is pure: run it again on changed documents or decisions. All
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrecon.functions.fuzzy import ratio
+from docrecon.functions.fuzzy import lcs_pairs, ratio
 from docrecon.functions.norm import blank_to_null, gstin_key, invoice_key, reference_name, supplier_key
 from docrecon.operators.corpus import invoices
 
 UNRESOLVED = ("not_found", "ambiguous")
+#: Rows that a task compares with invoices at once.
+BLOCK = 2048
 MANUAL, SKIPPED, MISSING = "row int, bound_doc string", "supplier_key string", "row int"
 
 
@@ -24,26 +31,25 @@ def match_index(docs: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """row, doc_id, doc_gstin, confidence: invoices of a row's tax id and number, or of its number alone if there are none."""
-    keys = match_index(docs).select("doc_id", F.col("number").alias("k_number"), F.col("gstin").alias("k_gstin"), "confidence")
+    """row, copies, ids (distinct tax ids), best, candidates (sorted): the invoices of a row's tax id and number, or of its
+    number alone if there are none.
+
+    Invoices are gathered by their keys first, so each join finds one row at most: a number that many rows and many
+    invoices share (a short one) makes no pairs. Only rows that the exact tier leaves over look at the second.
+    """
+    keys = match_index(docs).select("doc_id", F.col("number").alias("n"), F.col("gstin").alias("k"), "confidence")
+    gathered = [F.count("*").alias("copies"), F.count_distinct(blank_to_null(F.col("k"))).alias("ids"), F.max_by("doc_id", F.struct("confidence", "doc_id")).alias("best"), F.array_sort(F.collect_list("doc_id")).alias("candidates")]
     wanted = rows.select("row", gstin_key(F.col("gstin")).alias("g"), invoice_key(F.col("invoice_no")).alias("n")).filter("n != ''")
-    by_number = wanted.join(keys, F.col("n") == F.col("k_number"))
-    # Both tiers come from one join on the number; the first counts where the row has any of it.
-    exact = (F.col("g") != "") & (F.col("g") == F.col("k_gstin"))
-    tiered = by_number.withColumn("exact", exact).groupBy("row").agg(F.max("exact").alias("has"))
-    out = by_number.withColumn("exact", exact).join(tiered, "row").filter(~F.col("has") | F.col("exact"))
-    return out.select("row", "doc_id", F.col("k_gstin").alias("doc_gstin"), "confidence").distinct()
+    by_both = keys.filter("k != ''").withColumn("g", F.col("k")).groupBy("n", "g").agg(*gathered)
+    tiered = wanted.join(by_both, ["n", "g"], "left")
+    rest = tiered.filter("copies IS NULL").select("row", "n").join(keys.groupBy("n").agg(*gathered), "n")
+    cols = ["row", "copies", "ids", "best", "candidates"]
+    return tiered.filter("copies IS NOT NULL").select(*cols).unionByName(rest.select(*cols))
 
 
 def outcomes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows with status, doc_id, candidates (sorted) and copies, without decisions."""
-    summed = candidates(rows, docs).groupBy("row").agg(
-        F.count("*").alias("copies"),
-        F.count_distinct(blank_to_null(F.col("doc_gstin"))).alias("ids"),
-        F.max_by("doc_id", F.struct("confidence", "doc_id")).alias("best"),
-        F.array_sort(F.collect_list("doc_id")).alias("candidates"),
-    )
-    out = rows.join(summed, "row", "left")
+    out = rows.join(candidates(rows, docs), "row", "left")
     unclear = (F.col("copies") > 1) & (F.col("ids") > 1)
     status = F.when(F.col("copies").isNull(), "not_found").when(unclear, "ambiguous").otherwise("matched")
     few = F.when(F.col("copies") > 1, F.col("candidates")).otherwise(F.array().cast("array<string>"))
@@ -118,15 +124,70 @@ def _scored(df: DataFrame) -> DataFrame:
 
 
 def suggest_bulk(rows: DataFrame, docs: DataFrame, limit: int = 5) -> DataFrame:
-    """row, doc_id, score: suggestions for many rows at once, among invoices that share the row's tax id.
+    """row, place, doc_id, score: the nearest of all invoices for many rows at once.
 
-    The block by tax id is an equi-join; ``suggest`` looks at all invoices, for one row.
+    The rows are a query set: tasks hold them in blocks of ``BLOCK``, and invoices are scanned where they lie. A task
+    compares a block with some invoices at a time in vectors and hands on the best ``limit`` of each row.
     """
-    keyed = rows.select("row", gstin_key(F.col("gstin")).alias("_g"), invoice_key(F.col("invoice_no")).alias("_n")).filter("_g != ''")
-    own = invoices(docs).withColumn("_dg", gstin_key(F.col("vendor_gstin")))
-    scored = _scored(keyed.join(own, F.col("_g") == F.col("_dg")))
+    lacking = (F.coalesce("invoice_id", F.lit("")) == "") & (F.coalesce("invoice_no_content", F.lit("")) == "") & (F.coalesce("vendor_gstin", F.lit("")) == "")
+    keyed = invoices(docs).filter(~lacking).select("doc_id", gstin_key(F.col("vendor_gstin")).alias("g"), invoice_key(F.col("invoice_id")).alias("n1"), invoice_key(F.col("invoice_no_content")).alias("n2"))
+    want = rows.select("row", gstin_key(F.col("gstin")).alias("g"), invoice_key(F.col("invoice_no")).alias("n")).orderBy("row")
+    found = None
+    for block in _blocks(want.toLocalIterator(), BLOCK):
+        more = keyed.mapInArrow(_nearest(block, limit), "row int, doc_id string, score double")
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        return rows.select("row", F.lit(1).alias("place"), F.lit("").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
     best = Window.partitionBy("row").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select("row", "place", "doc_id", "score")
+    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select("row", "place", "doc_id", "score")
+
+
+def _blocks(rows: Iterator, size: int) -> Iterator[list]:
+    while block := list(islice(rows, size)):
+        yield block
+
+
+def _nearest(block: list, limit: int):
+    """A scan of invoices (doc_id, g, n1, n2) that gives the best ``limit`` of each row (row, g, n) of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = {n: i for i, n in enumerate(dict.fromkeys(r["n"] for r in block))}
+        place = np.array([numbers[r["n"]] for r in block])
+        ids = {g: i for i, g in enumerate(dict.fromkeys(r["g"] for r in block if r["g"]))}
+        own = np.array([ids.get(r["g"], -1) for r in block])
+        held: list[list[tuple]] = [[] for _ in block]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                piece = batch.slice(low, 1024).to_pydict()
+                other = {n: i for i, n in enumerate(dict.fromkeys([*piece["n1"], *piece["n2"]]))}
+                x, y = (v.ravel() for v in np.indices((len(numbers), len(other))))
+                length = [np.array([len(s) for s in side]) for side in (numbers, other)]
+                alike = 200.0 * lcs_pairs(list(numbers), list(other), x, y).reshape(len(numbers), len(other)) / np.maximum(length[0][:, None] + length[1], 1)
+                alike[:, length[1] == 0] = 0.0
+                number = np.maximum(*(alike[:, [other[n] for n in piece[c]]] for c in ("n1", "n2")))
+                same = own[:, None] == np.array([ids.get(g, -2) for g in piece["g"]])
+                score = np.floor((0.75 * number[place] + np.where(same, 25.0, 0.0)) * 10 + 0.5).astype(np.int64)
+                order = np.argsort(np.array(piece["doc_id"], object), kind="stable")  # of equal scores the first id
+                rank = score[:, order] * len(order) + np.arange(len(order))[::-1]
+                top = np.argpartition(-rank, min(limit, len(order)) - 1, axis=1)[:, :limit]
+                for r, cols in enumerate(order[top].tolist()):
+                    new = [(-int(score[r, c]), piece["doc_id"][c]) for c in cols if score[r, c] > 0]
+                    held[r] = sorted(held[r] + new)[:limit]
+        out = [(r["row"], doc, -s / 10) for r, h in zip(block, held, strict=True) for s, doc in h]
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.float64()))], ["row", "doc_id", "score"])
+
+    return run
+
+
+def row_candidates(plan: DataFrame, docs: DataFrame) -> DataFrame:
+    """row, doc_id, filename, path, score (null): of each ambiguous row its own candidates, which stand for suggestions there."""
+    own = plan.filter("status = 'ambiguous'").select("row", F.explode("candidates").alias("doc_id"))
+    return own.join(docs.select("doc_id", "filename", "path"), "doc_id").select("row", "doc_id", "filename", "path", F.lit(None).cast("double").alias("score"))
+
+
+def unmatched_by_supplier(plan: DataFrame) -> DataFrame:
+    """supplier, rows: unresolved rows of each supplier."""
+    return plan.filter(F.col("status").isin(*UNRESOLVED)).groupBy("supplier").agg(F.count("*").alias("rows"))
 
 
 def cells(plan: DataFrame, docs: DataFrame) -> DataFrame:

@@ -283,10 +283,17 @@ ORACLES = {
         ), unclear AS (SELECT DISTINCT t.d AS doc_id FROM plan, UNNEST(string_split(candidates, ',')) AS t(d) WHERE status = 'ambiguous')
         SELECT i.doc_id, CASE WHEN l.row IS NOT NULL THEN 'matched' WHEN u.doc_id IS NOT NULL THEN 'ambiguous' ELSE 'unreferenced' END AS link_status, l.row AS gstr_row, l.ref AS gstr_ref
         FROM docs i LEFT JOIN last_rows l USING (doc_id) LEFT JOIN unclear u ON u.doc_id = i.doc_id WHERE doc_type = 'invoice'""",
-    "suggest_topk": f"""{_PLAN}, lost AS (SELECT row, {_tax('gstin')} AS g, {_key('invoice_no')} AS n FROM plan WHERE status = 'not_found'
-        ), near AS (SELECT row, doc_id, n, {_key('invoice_id')} AS n1, {_key('invoice_no_content')} AS n2 FROM lost JOIN docs ON lost.g = {_tax('vendor_gstin')} WHERE lost.g <> '' AND doc_type = 'invoice'
-        ), points AS (SELECT row, doc_id, round(0.75::DOUBLE * greatest(CASE WHEN n1 = '' THEN 0 ELSE {_ratio('n', 'n1')} END, CASE WHEN n2 = '' THEN 0 ELSE {_ratio('n', 'n2')} END) + 25, 1) AS score FROM near)
-        SELECT row, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id)::INTEGER AS place, doc_id, score FROM points QUALIFY place <= 5""",
+    # The edit distance bounds the common subsequence from both sides; only what these bounds leave open is worked out.
+    "suggest_topk": f"""{_PLAN}, lost AS MATERIALIZED (SELECT row, {_tax('gstin')} AS g, {_key('invoice_no')} AS n FROM plan WHERE status = 'not_found'
+        ), own AS MATERIALIZED (SELECT doc_id, {_tax('vendor_gstin')} AS dg, {_key('invoice_id')} AS n1, {_key('invoice_no_content')} AS n2 FROM docs WHERE doc_type = 'invoice' AND coalesce(invoice_id, invoice_no_content, vendor_gstin) IS NOT NULL
+        ), apart AS (SELECT row, doc_id, n, n1, n2, CASE WHEN g <> '' AND g = dg THEN 25 ELSE 0 END AS extra, levenshtein(n, n1)::DOUBLE / greatest(length(n) + length(n1), 1) AS d1, levenshtein(n, n2)::DOUBLE / greatest(length(n) + length(n2), 1) AS d2 FROM lost, own
+        ), bounds AS (SELECT *, extra + 75 * greatest(CASE WHEN n1 = '' THEN 0 ELSE 1 - 2 * d1 END, CASE WHEN n2 = '' THEN 0 ELSE 1 - 2 * d2 END, 0) AS low, extra + 75 * greatest(CASE WHEN n1 = '' THEN 0 ELSE 1 - d1 END, CASE WHEN n2 = '' THEN 0 ELSE 1 - d2 END) AS high FROM apart
+        ), fifth AS (SELECT row, list_min(max(low, 5)) AS least FROM bounds GROUP BY row
+        ), near AS (SELECT b.* FROM bounds b JOIN fifth USING (row) WHERE high >= least - 0.2
+        ), points AS (SELECT row, doc_id, round(0.75::DOUBLE * greatest(CASE WHEN n1 = '' THEN 0 ELSE {_ratio('n', 'n1')} END, CASE WHEN n2 = '' THEN 0 ELSE {_ratio('n', 'n2')} END) + extra, 1) AS score FROM near)
+        SELECT row, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id)::INTEGER AS place, doc_id, score FROM points WHERE score > 0 QUALIFY place <= 5""",
+    "unmatched_by_supplier": f"{_PLAN} SELECT supplier, count(*) AS rows FROM plan WHERE status IN ('not_found', 'ambiguous') GROUP BY supplier",
+    "row_candidates": f"{_PLAN} SELECT row, t.d AS doc_id, filename, path, NULL::DOUBLE AS score FROM plan, UNNEST(string_split(candidates, ',')) AS t(d) JOIN docs ON docs.doc_id = t.d WHERE status = 'ambiguous'",
     "ref_names": f"WITH {ROWS.format(**_FIXTURE)} SELECT row, name, row_number() OVER (PARTITION BY name ORDER BY row) - 1 AS nth FROM ({_NAMED} return_rows)",
     "link_cells": f"{_PLAN}, {_CELLS} SELECT row, coalesce(name, kept, CASE WHEN status = 'ambiguous' THEN 'AMBIGUOUS (' || CAST(len(string_split(candidates, ',')) AS VARCHAR) || ')' ELSE 'NOT FOUND' END) AS cell, name FROM cells",
     "link_report": f"""{_PLAN}, one AS (SELECT count(*) AS b2b_rows, count_if(status = 'matched') AS matched, count_if(status = 'not_found') AS not_found, count_if(status = 'ambiguous') AS ambiguous, 0 AS skipped, 0 AS reviewer_confirmed_not_found,

@@ -146,6 +146,14 @@ def suggest_topk(spark, sf_dir):
     return link.suggest_bulk(plan.filter("status = 'not_found'").select("row", "gstin", "invoice_no"), docs)
 
 
+def unmatched_by_supplier(spark, sf_dir):
+    return link.unmatched_by_supplier(_plan(spark, sf_dir)[0])
+
+
+def row_candidates(spark, sf_dir):
+    return link.row_candidates(*_plan(spark, sf_dir))
+
+
 def ref_names(spark, sf_dir):
     named = returned(spark, sf_dir).select("row", reference_name(F.col("gstin"), F.col("invoice_no")).alias("name"))
     return runs.duplicates_numbered(named, "name", "row").select("row", "name", F.col("nth").cast("long").alias("nth"))
@@ -245,7 +253,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         classify_docs, parse_fields, vendor_override, path_labels, confidence, vendor_similarity, reconcile_flags, doc_summary, doc_types, canonical_vendor, duplicate_ids, master_sheet, exceptions_sheet,
-        match_index, match_rows, match_counts, match_manual, match_skips, unreferenced, stamp_links, suggest_topk, ref_names, link_cells, link_report, backfill, postings, token_search, grep_docs,
+        match_index, match_rows, match_counts, match_manual, match_skips, unreferenced, stamp_links, suggest_topk, unmatched_by_supplier, row_candidates, ref_names, link_cells, link_report, backfill, postings, token_search, grep_docs,
         browse_level, browse_deep, folder_suggest, ledger_lww, ledger_overlay, resume_skip, ocr_lines, bindings, decisions_overlay, next_unresolved, stable_ids,
     )
 } | {"running_tally": running_tallies}
