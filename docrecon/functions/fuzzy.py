@@ -9,6 +9,7 @@ in vectors, for tasks that compare a block of queries with what they scan.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,11 +97,37 @@ def name_score(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 100.0).otherwise(token_set_ratio(a, b))
 
 
-def half_up(x: float, places: int = 1) -> float:
-    """Rounded as SQL does, halves away from zero."""
-    from decimal import ROUND_HALF_UP, Decimal
-
-    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+def name_scores(a: Column, b: Column) -> Column:
+    """``name_score`` of each row's two names, null where one is. For whole tables: a batch's pairs recur (a supplier's
+    folder holds many of its invoices), so each is worked out once, on integers, and not as an expression for each row."""
+
+    @F.pandas_udf("double")
+    def scores(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[tuple, float | None] = {}
+        for pair in zip(a, b, strict=True):
+            if pair not in known:
+                known[pair] = None if None in pair else _name_score(*pair)
+        return pd.Series([known[pair] for pair in zip(a, b, strict=True)], dtype="float64")
+
+    return scores(a, b)
+
+
+def _name_score(a: str, b: str) -> float:
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 100.0
+    x, y = (list(dict.fromkeys(w for w in s.split(" ") if w)) for s in (a, b))
+    if not x or not y:
+        return 0.0
+    both = [w for w in x if w in y]
+    left, right = (" ".join(sorted(w for w in own if w not in both)) for own in (x, y))
+    if both and not (left and right):
+        return 100.0
+    n, gap = len(" ".join(both)), min(len(both), 1)
+    whole = 2 * (n + gap) + len(left) + len(right)
+    one = [200.0 * n / (2 * n + gap + len(part)) if both else 0.0 for part in (left, right)]
+    return max(100.0 * (1.0 - (len(left) + len(right) - 2 * _common(left, right)) / whole), *one)
 
 
 def _common(a: str, b: str) -> int:

@@ -16,9 +16,9 @@ def blank_to_null(c: Column) -> Column:
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
-    """The first match's group, or null; letters match in either case."""
-    text = F.coalesce(c, F.lit(""))
-    return F.when(text.rlike("(?iU)" + pattern), F.regexp_extract(text, "(?iU)" + pattern, group))
+    """The first match's group, or null; letters match in either case. No pattern here has an empty group where it
+    matches, so that one search tells both."""
+    return blank_to_null(F.regexp_extract(F.coalesce(c, F.lit("")), "(?iU)" + pattern, group))
 
 
 def company_name(c: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrecon.functions.fuzzy import half_up, lcs, partial_ratio, ratio, token_set_ratios
+from docrecon.functions.fuzzy import lcs, partial_ratio, ratio, token_set_ratios
 from docrecon.functions.norm import company_name, search_key
 from docrecon.settings import FOLDER_CUTOFF, LITERAL_BONUS, PARTIAL_SHADE, SEARCH_CUTOFF, SHORT_TOKEN, TOKEN_CUTOFF
 
@@ -158,7 +158,7 @@ def _liken(queries: list[str], limit: int | None):
                 names, firsts = piece.column("_b").to_pylist(), piece.column("_first").to_pylist()
                 scores = token_set_ratios(queries, names, FOLDER_CUTOFF)
                 for q, n in zip(*np.nonzero(np.round(scores, 9) >= FOLDER_CUTOFF), strict=True):
-                    held[q].append((-half_up(scores[q, n]), firsts[n], names[n]))
+                    held[q].append((-np.floor(scores[q, n] * 10 + 0.5) / 10, firsts[n], names[n]))
                 if limit is not None:
                     held = [sorted(h)[:limit] if len(h) > limit else h for h in held]
         rows = [(q, name, -score) for q, h in zip(queries, held, strict=True) for score, _, name in h]

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.functions.fuzzy import name_score
+from docrecon.functions.fuzzy import name_scores
 from docrecon.functions.norm import LINE_END, blank_to_null, company_name, day_first, found, invoice_key, money
 from docrecon.settings import (
     APPROVAL_MARKER, BILL_TO, DATE_FOLDER, DEFAULTS, FILENAME_APPROVAL, FILENAME_INVOICE, FY_FOLDER, GSTIN, ID_FROM_FILENAME, INVOICE_DATE, INVOICE_NO, INVOICE_SIGNALS, MONTH_FOLDER,
@@ -98,15 +98,18 @@ def extract(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def classify(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """classify_score (rounded), doc_type, reasons, and the flag of a file name that says something else."""
-    text, name = F.col("text"), F.col("filename")
-    has = lambda pattern: text.rlike("(?iU)" + pattern)
-    weigh = lambda signals: reduce(lambda a, b: a + b, [F.when(has(p), F.lit(w)).otherwise(0.0) for p, w, _ in signals])
+    name = F.col("filename")
+    signals = [(p, w, why, 1.0) for p, w, why in INVOICE_SIGNALS] + [(p, w, why, -1.0) for p, w, why in OTHER_SIGNALS]
+    # Each pattern is searched once; the score, the reasons and the type read what was found.
+    df = df.withColumn("_hits", F.array(*[F.col("text").rlike("(?iU)" + p) for p, *_ in signals]))
+    hit = {p: F.col("_hits")[i] for i, (p, *_) in enumerate(signals)}
     as_invoice, as_approval = name.rlike("(?iU)" + FILENAME_INVOICE), name.rlike("(?iU)" + FILENAME_APPROVAL)
     hint = F.when(as_invoice, settings.filename_hint).when(as_approval, -settings.filename_hint).otherwise(0.0)
-    reasons = [*(F.when(has(p), F.lit(f"+{w} {why}")) for p, w, why in INVOICE_SIGNALS), *(F.when(has(p), F.lit(f"-{w} {why}")) for p, w, why in OTHER_SIGNALS), F.when(as_invoice, F.lit(f"+{settings.filename_hint} filename~invoice")).when(as_approval, F.lit(f"-{settings.filename_hint} filename~approval"))]
-    df = df.withColumn("score", weigh(INVOICE_SIGNALS) - weigh(OTHER_SIGNALS) + hint)
-    kind = F.when(has(APPROVAL_MARKER), "approval").when(has(RETURN_MARKER), "gstr2a").when(F.col("score") >= settings.invoice_score, "invoice").when(text == "", "unknown").otherwise("other")
-    df = df.withColumns({"doc_type": kind, "reasons": F.array_join(F.array_compact(F.array(*reasons)), "; ")})
+    weigh = lambda sign: reduce(lambda a, b: a + b, [F.when(hit[p], F.lit(w)).otherwise(0.0) for p, w, _, s in signals if s == sign])
+    reasons = [*(F.when(hit[p], F.lit(f"{'+' if s > 0 else '-'}{w} {why}")) for p, w, why, s in signals), F.when(as_invoice, F.lit(f"+{settings.filename_hint} filename~invoice")).when(as_approval, F.lit(f"-{settings.filename_hint} filename~approval"))]
+    df = df.withColumn("score", weigh(1.0) - weigh(-1.0) + hint)
+    kind = F.when(hit[APPROVAL_MARKER], "approval").when(hit[RETURN_MARKER], "gstr2a").when(F.col("score") >= settings.invoice_score, "invoice").when(F.col("text") == "", "unknown").otherwise("other")
+    df = df.withColumns({"doc_type": kind, "reasons": F.array_join(F.array_compact(F.array(*reasons)), "; ")}).drop("_hits")
     looks = F.concat(F.lit("filename looks like invoice but classified "), "doc_type", F.format_string(" (score %.1f)", F.col("score")))
     df = with_flags(
         df,
@@ -211,8 +214,8 @@ def reconcile(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     invoice = F.col("doc_type") == "invoice"
     company, vendor = blank_to_null(F.col("company")), blank_to_null(F.col("vendor_name_pdf"))
     both = invoice & company.isNotNull() & vendor.isNotNull()
-    df = df.withColumns({"_a": company_name(F.col("company")), "_b": company_name(F.col("vendor_name_pdf"))})
-    df = df.withColumn("company_score", F.when(both, name_score(F.col("_a"), F.col("_b")))).drop("_a", "_b")
+    names = [F.when(both, company_name(F.col(c))) for c in ("company", "vendor_name_pdf")]
+    df = df.withColumn("company_score", name_scores(*names))
     score = F.col("company_score")
     text = F.concat(F.lit("folder '"), "company", F.lit("' vs PDF '"), "vendor_name_pdf", F.format_string("' (fuzzy %.0f)", score))
     number, own = blank_to_null(F.col("invoice_no_content")), blank_to_null(F.col("invoice_id"))

@@ -80,8 +80,11 @@ def _read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, filename, text, source of the rendered documents, and k."""
-    return _read(spark, sf_dir, f"WITH {DOCS} SELECT * FROM inv_docs")
+    """path, filename, text, source of the rendered documents, and k.
+
+    A small table makes them, and their stages take much longer than reading it, so they are dealt to all partitions.
+    """
+    return _read(spark, sf_dir, f"WITH {DOCS} SELECT * FROM inv_docs").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def return_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
