@@ -44,6 +44,11 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The same of texts that are encoded already."""
+    return located(raw)[:2]
+
+
+def located(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and the texts' bytes laid end to end, with where each word begins and ends in them."""
     data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
     gap = _SPACE[data]
     first = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
@@ -53,7 +58,7 @@ def hash_words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_TABLE[data] * _power("up", len(data)), out=total[1:])
     hashes = mix((total[last] - total[first]) * _power("down", len(data))[first])
     begins = np.cumsum([1, *(len(r) + 1 for r in raw)])
-    return hashes, np.searchsorted(first, begins)
+    return hashes, np.searchsorted(first, begins), data, first, last
 
 
 def shingles(texts: list[str | None], size: int = 5) -> tuple[np.ndarray, np.ndarray]:

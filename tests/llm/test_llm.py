@@ -322,8 +322,8 @@ def test_language_model_learns_from_every_training_document(spark):
     own = docs.select("text", F.col("doc_id")).withColumn("held_out", lm.held_out(F.col("doc_id")))
     # A feature that only one document has is met, whichever document it is.
     one = own.unionByName(spark.createDataFrame([(f"only{i} next{i}", i, False) for i in range(9000, 9040)], "text string, doc_id long, held_out boolean"))
-    weights = lm.learn(one, lm.materialize(lm.counted(one), "test-counts")).weights
-    met = [weights[lm.features([f"only{i} next{i}"])[0][1]].any(axis=1).all() for i in range(9000, 9040)]
+    model = lm.learn(one, lm.materialize(lm.counted(one), "test-counts"))
+    met = [model.weights[lm.contexts([f"only{i} next{i}"], model.own)[0][1]].any(axis=1).all() for i in range(9000, 9040)]
     assert all(met)
 
 
