@@ -19,6 +19,21 @@ TEXT_FIELDS = ("company", "invoice_no_content", "vendor_name_pdf", "vendor_gstin
 MONEY_FIELDS = ("taxable_value", "total_value")
 
 
+def bad_amounts(payload: str | None) -> list[str]:
+    """Names of the money fields of an edit that hold something that is no amount."""
+    import json
+
+    fields, bad = json.loads(payload) if payload else {}, []
+    for name in MONEY_FIELDS:
+        value = str(fields.get(name) or "").strip()
+        try:
+            if value:
+                float(value.replace(",", ""))
+        except ValueError:
+            bad.append(name)
+    return bad
+
+
 def latest(log: DataFrame) -> DataFrame:
     """kind, key, payload, seq of the decisions that hold. Suppliers are one key however they are spelled."""
     key = F.when(F.col("kind") == "skip", supplier_key(F.col("key"))).otherwise(F.col("key"))

@@ -190,11 +190,11 @@ def unmatched_by_supplier(plan: DataFrame) -> DataFrame:
     return plan.filter(F.col("status").isin(*UNRESOLVED)).groupBy("supplier").agg(F.count("*").alias("rows"))
 
 
-def cells(plan: DataFrame, docs: DataFrame) -> DataFrame:
+def cells(plan: DataFrame, docs: DataFrame, copied: DataFrame | None = None) -> DataFrame:
     """row, cell, name: what is written into each row's reference cell.
 
-    A matched row gets its file name, made unique in row order by ``-dup``; an unresolved one keeps the reference it
-    came with, else says why it has none.
+    A matched row gets its file name, made unique in row order by ``-dup``, or a remark if its copy failed (``copied``:
+    row, ok); an unresolved one keeps the reference it came with, else says why it has none.
     """
     known = invoices(docs).select("doc_id").distinct().withColumn("known", F.lit(True))
     out = plan.join(known, "doc_id", "left")
@@ -203,18 +203,56 @@ def cells(plan: DataFrame, docs: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("base").orderBy("row")) - 1
     taken = out.filter("base IS NOT NULL").withColumn("name", F.concat(F.expr("substring(base, 1, length(base) - 4)"), F.repeat(F.lit("-dup"), nth), F.lit(".pdf"))).select(F.col("row").alias("r"), "name")
     out = out.join(taken, F.col("row") == F.col("r"), "left").drop("r")
+    if copied is not None:
+        out = out.join(copied.filter("NOT ok").select(F.col("row").alias("r"), F.lit(True).alias("failed")).distinct(), F.col("row") == F.col("r"), "left").drop("r")
+    failed = F.coalesce("failed", F.lit(False)) if copied is not None else F.lit(False)
     why = F.when(F.col("status") == "skipped", "SKIPPED").when(F.col("status") == "ambiguous", F.concat(F.lit("AMBIGUOUS ("), F.size("candidates").cast("string"), F.lit(")"))).otherwise("NOT FOUND")
     kept = blank_to_null(F.col("existing_ref"))
-    return out.select("row", F.coalesce("name", kept, why).alias("cell"), "name", "status", (F.col("status") == "matched").alias("was_matched"))
+    cell = F.when(F.col("name").isNotNull() & failed, "COPY FAILED").otherwise(F.coalesce("name", kept, why))
+    return out.select("row", cell.alias("cell"), "name", "status", (F.col("status") == "matched").alias("was_matched"), (F.col("name").isNotNull() & failed).alias("failed"))
 
 
-def report(plan: DataFrame, docs: DataFrame) -> DataFrame:
-    """metric, value: the link report's counters. Copies that fail are counted by the one who copies."""
-    c = cells(plan, docs)
-    done = c.agg(F.count("*").alias("b2b_rows"), F.count_if(F.col("name").isNotNull()).alias("matched"), F.count_if((F.col("status") == "not_found") | (F.col("was_matched") & F.col("name").isNull())).alias("not_found"))
+def report(plan: DataFrame, docs: DataFrame, copied: DataFrame | None = None, template: str | None = None, sheet: str = "") -> DataFrame:
+    """metric, value: the link report's counters. Matched are rows whose copies are there. With a template the values are
+    text, and its name and sheet stand first."""
+    c = cells(plan, docs, copied)
+    done = c.agg(
+        F.count("*").alias("b2b_rows"), F.count_if(F.col("name").isNotNull() & ~F.col("failed")).alias("matched"),
+        F.count_if((F.col("status") == "not_found") | (F.col("was_matched") & F.col("name").isNull())).alias("not_found"), F.count_if(F.col("failed")).alias("copy_failed"))
     more = counts(plan, docs).select("ambiguous", "skipped", F.col("manual_not_found").alias("reviewer_confirmed_not_found"), "duplicate_filings", F.col("unreferenced").alias("detected_invoices_unreferenced"))
-    one = done.crossJoin(more)  # one row each
-    return one.select(F.expr(f"stack({len(one.columns)}, " + ", ".join(f"'{n}', {n}" for n in one.columns) + ") as (metric, value)"))
+    names = ["b2b_rows", "matched", "not_found", "ambiguous", "skipped", "reviewer_confirmed_not_found", "copy_failed", "duplicate_filings", "detected_invoices_unreferenced"]
+    one = done.crossJoin(more).select(*names)  # one row each
+    if template is None:
+        return one.select(F.expr(f"stack({len(names)}, " + ", ".join(f"'{n}', {n}" for n in names) + ") as (metric, value)"))
+    text = one.select(F.lit(template).alias("source_template"), F.lit(sheet).alias("b2b_sheet"), *[F.col(n).cast("string").alias(n) for n in names])
+    return text.select(F.expr(f"stack({len(text.columns)}, " + ", ".join(f"'{n}', {n}" for n in text.columns) + ") as (metric, value)"))
+
+
+# Titles of the report's sections and headers of their columns.
+SECTIONS = {
+    "not_found": "NOT FOUND — no PDF matched these B2B rows",
+    "ambiguous": "AMBIGUOUS — multiple conflicting matches",
+    "skipped": "SKIPPED — supplier skipped by the reviewer",
+    "manual_not_found": "NOT FOUND — reviewer searched by hand and confirmed no PDF exists",
+}
+HEADERS = {"gstin": "GSTIN of Supplier", "invoice_no": "Invoice Number", "supplier": "Supplier"}
+
+
+def section_header(columns: list[str]) -> list[str]:
+    return [HEADERS.get(c, c) for c in columns]
+
+
+def report_sections(plan: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
+    """The report's detail tables by section. A row whose document is no invoice any more counts as not found."""
+    lost = cells(plan, docs).filter("was_matched AND name IS NULL").select("row").withColumn("lost", F.lit(True))
+    rows = plan.join(lost, "row", "left")
+    of = lambda status: rows.filter(F.col("status") == status)
+    return {
+        "not_found": rows.filter("status = 'not_found' OR lost").select("row", "gstin", "invoice_no"),
+        "ambiguous": of("ambiguous").select("row", "gstin", "invoice_no", F.size("candidates").alias("candidates")),
+        "skipped": of("skipped").select("row", "gstin", "invoice_no", "supplier"),
+        "manual_not_found": of("manual_not_found").select("row", "gstin", "invoice_no", "supplier"),
+    }
 
 
 def backfill(rows: DataFrame, prior: DataFrame, docs: DataFrame, manual: DataFrame | None = None) -> DataFrame:

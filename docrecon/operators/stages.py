@@ -93,7 +93,14 @@ def extract(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Where the text came from. Needs text; source is derived if it isn't there."""
     if "source" not in df.columns:
         df = df.withColumn("source", F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0, "text").otherwise("none"))
-    return with_flags(df.withColumn("text", F.coalesce("text", F.lit(""))), flag(F.col("source") == "none", "no_text", "no extractable text"))
+    df = df.withColumn("text", F.coalesce("text", F.lit("")))
+    if "text_notes" in df.columns:
+        lines = F.filter(F.split(F.coalesce("text_notes", F.lit("")), "\n"), lambda x: x != "")
+        part = lambda x, i: F.element_at(F.split(x, "\t"), i)
+        told = F.transform(lines, lambda x: F.struct(part(x, 2).alias("code"), part(x, 3).alias("message"), part(x, 1).alias("severity")))
+        df = df.withColumn("flags", F.concat("flags", F.filter(told, lambda x: ~F.exists("flags", lambda h: h["code"] == x["code"])))).drop("text_notes")
+    failed = F.coalesce(F.col("error") != "", F.lit(False)) if "error" in df.columns else F.lit(False)
+    return with_flags(df, flag((F.col("source") == "none") & ~failed, "no_text", "no extractable text even after OCR"))
 
 
 def classify(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

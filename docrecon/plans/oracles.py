@@ -296,14 +296,22 @@ ORACLES = {
     "row_candidates": f"{_PLAN} SELECT row, t.d AS doc_id, filename, path, NULL::DOUBLE AS score FROM plan, UNNEST(string_split(candidates, ',')) AS t(d) JOIN docs ON docs.doc_id = t.d WHERE status = 'ambiguous'",
     "ref_names": f"WITH {ROWS.format(**_FIXTURE)} SELECT row, name, row_number() OVER (PARTITION BY name ORDER BY row) - 1 AS nth FROM ({_NAMED} return_rows)",
     "link_cells": f"{_PLAN}, {_CELLS} SELECT row, coalesce(name, kept, CASE WHEN status = 'ambiguous' THEN 'AMBIGUOUS (' || CAST(len(string_split(candidates, ',')) AS VARCHAR) || ')' ELSE 'NOT FOUND' END) AS cell, name FROM cells",
-    "link_report": f"""{_PLAN}, one AS (SELECT count(*) AS b2b_rows, count_if(status = 'matched') AS matched, count_if(status = 'not_found') AS not_found, count_if(status = 'ambiguous') AS ambiguous, 0 AS skipped, 0 AS reviewer_confirmed_not_found,
+    "link_report": f"""{_PLAN}, one AS (SELECT count(*) AS b2b_rows, count_if(status = 'matched') AS matched, count_if(status = 'not_found') AS not_found, count_if(status = 'ambiguous') AS ambiguous, 0 AS skipped, 0 AS reviewer_confirmed_not_found, 0 AS copy_failed,
         count_if(status = 'matched' AND copies > 1) AS duplicate_filings, (SELECT count(*) FROM docs WHERE doc_type = 'invoice' AND doc_id NOT IN (SELECT doc_id FROM plan WHERE doc_id IS NOT NULL)) AS detected_invoices_unreferenced FROM plan)
-        SELECT name AS metric, value::BIGINT AS value FROM (UNPIVOT (SELECT {", ".join(f"{c}::BIGINT AS {c}" for c in ("b2b_rows", "matched", "not_found", "ambiguous", "skipped", "reviewer_confirmed_not_found", "duplicate_filings", "detected_invoices_unreferenced"))} FROM one) ON *)""",
+        SELECT name AS metric, value::BIGINT AS value FROM (UNPIVOT (SELECT {", ".join(f"{c}::BIGINT AS {c}" for c in ("b2b_rows", "matched", "not_found", "ambiguous", "skipped", "reviewer_confirmed_not_found", "copy_failed", "duplicate_filings", "detected_invoices_unreferenced"))} FROM one) ON *)""",
     "backfill": _BACKFILL,
     "postings": f"{_POSTS} SELECT token, count(*) AS docs FROM posts GROUP BY token",
     "token_search": _search(),
     "grep_docs": f"{_DOCS} SELECT k, filename FROM docs WHERE contains(lower(array_to_string(parts, ' ') || ' ' || text), 'tax') AND contains(lower(array_to_string(parts, ' ') || ' ' || text), '00012') AND contains(lower(array_to_string(parts, ' ') || ' ' || text), 'pune')",
     "browse_level": f"{_DOCS} SELECT parts[1] AS name, count(*) AS pdfs, count_if(doc_type = 'invoice')::BIGINT AS invoices FROM docs GROUP BY 1",
+    "browse_prefix": f"{_DOCS} SELECT parts[4] AS name, count(*) AS pdfs, count_if(doc_type = 'invoice')::BIGINT AS invoices FROM docs WHERE parts[1:3] = ['FY 95-96', 'Payments', 'Kotak'] AND len(parts) > 4 GROUP BY 1",
+    "browse_files": f"{_DOCS} SELECT k, filename FROM docs WHERE parts[1:3] = ['FY 95-96', 'Payments', 'Kotak']",
+    "tallies": f"""{_DOCS} SELECT count(*) AS pdfs, count_if(doc_type = 'invoice')::BIGINT AS invoices, count_if(doc_type = 'approval')::BIGINT AS approvals, count_if(source = 'ocr')::BIGINT AS ocr, count_if(len(flags) > 0)::BIGINT AS flagged, 0::BIGINT AS errors FROM docs""",
+    "picker_hits": f"""{_DOCS} SELECT doc_id AS id, array_to_string(folders, '/') AS folder, array_to_string(parts, '/') AS rel, invoice_id, vendor_gstin AS gstin, vendor_name_pdf AS vendor, invoice_date AS date, total_value AS amount, company,
+        doc_type = 'invoice' AS is_invoice, doc_type, false AS hidden FROM docs""",
+    "report_not_found": f"{_PLAN} SELECT row, gstin, invoice_no FROM plan WHERE status = 'not_found'",
+    "report_ambiguous": f"{_PLAN} SELECT row, gstin, invoice_no, len(string_split(candidates, ',')) AS candidates FROM plan WHERE status = 'ambiguous'",
+    "search_top": f"SELECT *, row_number() OVER (ORDER BY score DESC, doc_type <> 'invoice', doc_id) AS place FROM ({_search()}) QUALIFY place <= 20",
     "browse_deep": f"{_DOCS} SELECT parts[4] AS name, count(*) AS pdfs, count_if(doc_type = 'invoice')::BIGINT AS invoices FROM docs WHERE len(parts) > 4 GROUP BY 1",
     "folder_suggest": _FOLDERS,
     "ledger_lww": "SELECT user_id AS source_key, arg_max(event_id, event_id) AS seq, arg_max(event_type, event_id) AS event_type, min(event_id) AS position FROM events GROUP BY user_id",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docrecon.functions.fuzzy import name_score
 from docrecon.functions.norm import company_name, reference_name
-from docrecon.operators import corpus, decisions, finder, link, stages
+from docrecon.operators import corpus, decisions, finder, link, stages, views
 from docrecon.plans import fixtures
 from docrecon.settings import Settings
 from docrecon.sources import runs, text
@@ -16,6 +16,7 @@ from docrecon.streaming.ingest import running_tally
 
 SETTINGS = Settings(root=fixtures.ROOT)
 QUERY = "apex consultnts 0000123"
+PREFIX = ("FY 95-96", "Payments", "Kotak")
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +184,12 @@ def token_search(spark, sf_dir):
     return finder.search(processed(spark, sf_dir), QUERY, limit=None)
 
 
+def search_top(spark, sf_dir):
+    best = finder.search(processed(spark, sf_dir), QUERY, limit=20)
+    order = Window.orderBy(F.desc("score"), F.col("doc_type") != "invoice", "doc_id")  # of the 20 rows that are left
+    return best.withColumn("place", F.row_number().over(order))
+
+
 def grep_docs(spark, sf_dir):
     return finder.grep(processed(spark, sf_dir), "tax 00012 pune").select("k", "filename")
 
@@ -191,6 +198,31 @@ def browse_level(spark, sf_dir):
     return finder.browse_folders(processed(spark, sf_dir), ())
 
 
+def browse_prefix(spark, sf_dir):
+    return finder.browse_folders(processed(spark, sf_dir), PREFIX)
+
+
+def browse_files(spark, sf_dir):
+    docs = processed(spark, sf_dir).withColumn("rel_parts", F.concat(F.slice("rel_parts", 1, 3), F.slice("rel_parts", -1, 1)))
+    return finder.browse_files(docs, PREFIX).select("k", "filename")
+
+
+def tallies(spark, sf_dir):
+    return views.tallies(processed(spark, sf_dir))
+
+
+def picker_hits(spark, sf_dir):
+    return views.hits(processed(spark, sf_dir)).select("id", "folder", "rel", "invoice_id", "gstin", "vendor", "date", "amount", "company", "is_invoice", "doc_type", "hidden")
+
+
+def report_not_found(spark, sf_dir):
+    return link.report_sections(*_plan(spark, sf_dir))["not_found"]
+
+
+def report_ambiguous(spark, sf_dir):
+    return link.report_sections(*_plan(spark, sf_dir))["ambiguous"]
+
+
 def browse_deep(spark, sf_dir):
     docs = processed(spark, sf_dir).withColumn("rel_parts", F.slice("rel_parts", 4, 9))
     return finder.browse_folders(docs, ())
@@ -253,7 +285,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         classify_docs, parse_fields, vendor_override, path_labels, confidence, vendor_similarity, reconcile_flags, doc_summary, doc_types, canonical_vendor, duplicate_ids, master_sheet, exceptions_sheet,
-        match_index, match_rows, match_counts, match_manual, match_skips, unreferenced, stamp_links, suggest_topk, unmatched_by_supplier, row_candidates, ref_names, link_cells, link_report, backfill, postings, token_search, grep_docs,
-        browse_level, browse_deep, folder_suggest, ledger_lww, ledger_overlay, resume_skip, ocr_lines, bindings, decisions_overlay, next_unresolved, stable_ids,
+        match_index, match_rows, match_counts, match_manual, match_skips, unreferenced, stamp_links, suggest_topk, unmatched_by_supplier, row_candidates, ref_names, link_cells, link_report, backfill, postings, token_search, search_top, grep_docs,
+        browse_level, browse_prefix, browse_files, browse_deep, folder_suggest, tallies, picker_hits, report_not_found, report_ambiguous, ledger_lww, ledger_overlay, resume_skip, ocr_lines, bindings, decisions_overlay, next_unresolved, stable_ids,
     )
 } | {"running_tally": running_tallies}

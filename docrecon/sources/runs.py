@@ -1,6 +1,8 @@
 """Run folders: snapshot, ledger, metadata and decisions of a scan, and how runs are found again.
 
-A run folder holds ``snapshot`` and ``ledger`` (Parquet), ``decisions`` (Parquet, appended), and ``run_meta.json``.
+A run folder holds versions of ``snapshot`` and ``link`` and the ``ledger`` (Parquet), ``decisions`` (Parquet, appended),
+the return's workbook, and ``run_meta.json``. Run folders lie on a file system that is mounted on the driver and, for
+what executors write, on all executors.
 """
 
 from __future__ import annotations
@@ -9,6 +11,10 @@ import datetime as dt
 import json
 import os
 import re
+import shutil
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,9 +43,31 @@ def read_meta(run: str) -> dict:
         return {}
 
 
-def write_meta(run: str, **changes) -> dict:
-    """Merge ``changes`` into the metadata; the file is replaced at once."""
-    meta = read_meta(run) | changes
+@contextmanager
+def locked(run: str, wait: float = 30.0, stale: float = 120.0) -> Iterator[None]:
+    """Hold the run's lock file, which one process can make. One that is older than ``stale`` seconds was left by a crash."""
+    path, until = os.path.join(run, META + ".lock"), time.monotonic() + wait
+    while True:
+        try:
+            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            break
+        except FileExistsError:
+            try:
+                if time.time() - os.stat(path).st_mtime > stale:
+                    os.unlink(path)
+                    continue
+            except FileNotFoundError:
+                continue
+            if time.monotonic() > until:
+                raise TimeoutError(f"{path} is held by another process") from None
+            time.sleep(0.02)
+    try:
+        yield
+    finally:
+        os.unlink(path)
+
+
+def _put_meta(run: str, meta: dict) -> dict:
     path = os.path.join(run, META)
     with open(path + ".tmp", "w", encoding="utf-8") as file:
         json.dump(meta, file, indent=1)
@@ -47,6 +75,75 @@ def write_meta(run: str, **changes) -> dict:
     return meta
 
 
+def write_meta(run: str, **changes) -> dict:
+    """Merge ``changes`` into the metadata; the file is replaced at once, by one process at a time."""
+    with locked(run):
+        return _put_meta(run, read_meta(run) | changes)
+
+
+def next_number(run: str, name: str) -> int:
+    """A number of the run that nobody else gets."""
+    with locked(run):
+        meta = read_meta(run)
+        return _put_meta(run, meta | {name: meta.get(name, 0) + 1})[name]
+
+
+@contextmanager
+def busy(run: str, what: str) -> Iterator[None]:
+    """Mark the run as scanning or exporting; edits are refused meanwhile, and so is a second such job."""
+    with locked(run):
+        meta = read_meta(run)
+        if meta.get("busy"):
+            raise RuntimeError(f"the run is busy: {meta['busy']}")
+        _put_meta(run, meta | {"busy": what})
+    try:
+        yield
+    finally:
+        write_meta(run, busy=None)
+
+
+def keep_workbook(run: str, path: str) -> str:
+    """Copy the return into the run, so that the run stays whole if the original moves; returns the path to use from now on."""
+    kept = os.path.abspath(os.path.join(run, os.path.basename(path)))
+    try:
+        if os.path.abspath(path) != kept:
+            shutil.copy2(path, kept)
+    except OSError:
+        kept = os.path.abspath(path)
+    write_meta(run, gstr_path=kept, gstr_original=os.path.abspath(path))
+    return kept
+
+
+def find_workbook(run: str) -> str | None:
+    """The run's return: where the metadata says, else the copy of that name in the run folder, else where it came from."""
+    meta = read_meta(run)
+    named = meta.get("gstr_path")
+    tried = [named, os.path.join(run, os.path.basename(named)) if named else None, meta.get("gstr_original")]
+    return next((p for p in tried if p and os.path.isfile(p)), None)
+
+
+def save_table(spark: SparkSession, run: str, name: str, df: DataFrame) -> None:
+    """Write a table of the run beside its last version, then point the metadata at it, which is one replacement of a
+    file: whoever reads sees the one or the other. The version before last goes."""
+    number = next_number(run, f"{name}_version")
+    fresh = f"{name}-{number:06d}"
+    df.write.mode("overwrite").parquet(os.path.join(run, fresh))
+    old = read_meta(run).get(name)
+    write_meta(run, **{name: fresh, f"{name}_before": old})
+    for entry in os.listdir(run):
+        if re.fullmatch(rf"{name}-[0-9]{{6}}", entry) and entry not in (fresh, old):
+            shutil.rmtree(os.path.join(run, entry), ignore_errors=True)
+
+
+def load_table(spark: SparkSession, run: str, name: str) -> DataFrame | None:
+    """The table's last version, None where there is none or it can't be read."""
+    here = read_meta(run).get(name)
+    path = os.path.join(run, here) if here else None
+    if not path or not os.path.isfile(os.path.join(path, "_SUCCESS")):
+        return None
+    return spark.read.parquet(path)
+
+
 def recent_runs(out_root: str, limit: int = 10) -> list[dict]:
     """The newest valid run folders, by time of change."""
     found = []
@@ -76,7 +173,7 @@ def describe(spark: SparkSession, run: str) -> dict:
     if not meta.get("root"):
         raise ValueError(f"{run} is no run folder")
     done = spark.read.parquet(ledger).agg(F.count_distinct("source_key")).first()[0] if os.path.isdir(ledger) else 0
-    return {k: meta.get(k) for k in ("root", "fy", "pages", "complete", "gstr_path")} | {"done": done, "tree_exists": os.path.isdir(meta["root"])}
+    return {k: meta.get(k) for k in ("root", "fy", "pages", "complete")} | {"gstr_path": find_workbook(run), "done": done, "tree_exists": os.path.isdir(meta["root"])}
 
 
 def read_ledger_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Text of documents: pluggable providers, and the assembly of recognised words into lines.
 
-A provider maps (bytes, page or None) to (text, kind), kind being text, ocr or none. None is built in, since no PDF or
-recognition library can be counted on; ``register`` one, or bring a text column.
+A provider maps (bytes, page or None) to (text, kind), kind being text, ocr or none, or to (text, kind, notes), notes
+being (code, message) of what it has to say of the document. None is built in, since no PDF or recognition library can
+be counted on; ``register`` one (``pages.layered`` makes one of a library's functions), or bring a text column.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Provider = Callable[[bytes, int | None], tuple[str, str]]
+Provider = Callable[[bytes, int | None], tuple]
 _providers: dict[str, Provider] = {}
 
 
@@ -22,7 +23,8 @@ def register(name: str, provider: Provider) -> None:
 
 
 def with_text(files: DataFrame, provider: str | Provider) -> DataFrame:
-    """Add text, source and error. A document that a provider fails on keeps its row, with the error."""
+    """Add text, source, error and text_notes (lines of severity, code and message). A document that a provider fails on
+    keeps its row and goes through the later stages, with the error."""
     run = _providers.get(provider) if isinstance(provider, str) else provider
     if run is None:
         raise NotImplementedError(f"no text provider {provider!r} is registered; PDF text and recognition need a library of your choice")
@@ -32,14 +34,16 @@ def with_text(files: DataFrame, provider: str | Provider) -> DataFrame:
             out = []
             for content, page in zip(batch["content"], batch["page_index"], strict=True):
                 try:
-                    out.append((*run(bytes(content), None if pd.isna(page) else int(page)), None))
+                    got = run(bytes(content), None if pd.isna(page) else int(page))
+                    notes = [f"warn\t{code}\t{' '.join(message.split())}" for code, message in (got[2] if len(got) > 2 else ())]
+                    out.append((got[0], got[1], None, "\n".join(notes)))
                 except Exception as error:  # one bad document must not end the job
-                    out.append(("", "none", f"{type(error).__name__}: {error}"))
+                    out.append(("", "none", f"extract: {error!r}", f"error\tstage_error\textract failed: {' '.join(str(error).split())}"))
             rest = batch.drop(columns="content")
-            yield rest.assign(**{c: [o[i] for o in out] for i, c in enumerate(("text", "source", "error"))})
+            yield rest.assign(**{c: [o[i] for o in out] for i, c in enumerate(("text", "source", "error", "text_notes"))})
 
     kept = [f for f in files.schema.fields if f.name != "content"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, source string, error string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, source string, error string, text_notes string"
     return files.mapInPandas(read, schema)
 
 

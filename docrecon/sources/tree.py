@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrecon.settings import DEFAULTS, FY_FOLDER, Settings
+from docrecon.sources.shared import snapshot
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -41,6 +44,43 @@ def scan_tree(spark: SparkSession, root: str, settings: Settings = DEFAULTS, con
     return named(files, content)
 
 
+def walk(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """path, filename, size_bytes of the PDF files under ``root``, names that begin with a dot or an underscore among them,
+    which Spark's file source leaves out.
+
+    Executors list the folders, a level of the tree at a time; only the folders of a level are a table, and it is written
+    between levels. With a year set, other years' folders are left out at any depth. Folders that can't be read hold nothing.
+    """
+    own = _year(settings.fy_scope) if settings.fy_scope else None
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for folder in batch.column("path").to_pylist():
+                try:
+                    with os.scandir(folder) as found:
+                        for e in found:
+                            if e.is_dir(follow_symlinks=False):
+                                if not (own and re.match(FY_FOLDER, e.name) and _year(e.name) != own):
+                                    rows.append((e.path, e.name, None, True))
+                            elif e.name.lower().endswith(".pdf"):
+                                rows.append((e.path, e.name, e.stat().st_size, False))
+                except OSError:
+                    continue
+            kinds = {"path": pa.string(), "filename": pa.string(), "size_bytes": pa.int64(), "folder": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
+
+    level, files = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        here = snapshot(level.mapInArrow(listed, "path string, filename string, size_bytes long, folder boolean"), "tree-level")
+        own_files = here.filter("NOT folder").drop("folder")
+        files = own_files if files is None else files.unionByName(own_files)
+        level = here.filter("folder").select("path")
+        if level.isEmpty():
+            return files
+        level = level.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def named(files: DataFrame, content: bool = False) -> DataFrame:
     """Files of the binary reader with plain paths."""
     path = F.regexp_replace("path", "^file:/*", "/")

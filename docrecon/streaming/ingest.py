@@ -1,80 +1,93 @@
 """Scanning as a stream: files come in, stages run, and finished documents are appended to the run's ledger.
 
 Structured Streaming's checkpoint is the resume point: started again on the same run, only files that it hasn't seen are
-processed. The number of files in flight is bounded by ``max_files``.
+processed. The number of files in flight is bounded by ``max_files``. A gate pauses or stops the scan between
+micro-batches; what a stopped scan left is taken up by the next one on the same run.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 
-from docrecon.operators.stages import process
+from docrecon.operators.stages import process, seed
+from docrecon.operators.views import recent, tallies
 from docrecon.settings import DEFAULTS, Settings
-from docrecon.sources.runs import write_meta
+from docrecon.sources.pages import Counter, count_pages, walk_pages
+from docrecon.sources.runs import busy, unfinished, write_meta
 from docrecon.sources.text import Provider, with_text
 from docrecon.sources.tree import FILES, named
+from docrecon.streaming.control import Gate, Status, Stopped
 
 
-def append_ledger(run: str) -> Callable[[DataFrame, int], None]:
+def append_ledger(run: str, gate: Gate | None = None, status: Status | None = None) -> Callable[[DataFrame, int], None]:
     """A sink that appends each micro-batch once, even if it is run again: its own folder is replaced."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("seq", F.lit(number).cast("long")).write.mode("overwrite").parquet(os.path.join(run, "ledger", f"batch={number}"))
+        if gate:
+            gate.check()
+        path = os.path.join(run, "ledger", f"batch={number}")
+        batch.withColumn("seq", F.lit(number).cast("long")).write.mode("overwrite").parquet(path)
+        if status:
+            done = batch.sparkSession.read.parquet(path)
+            counts = tallies(done).first().asDict()
+            status.finished(counts["pdfs"], counts, [r.asDict() for r in recent(done).collect()])
 
     return write
 
 
-def start(spark: SparkSession, run: str, root: str, provider: str | Provider, settings: Settings = DEFAULTS, max_files: int = 32, once: bool = True) -> StreamingQuery:
-    """Start (or go on with) the scan of ``root`` into ``run``."""
-    reader = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").option("maxFilesPerTrigger", max_files)
-    files = named(reader.load(root), content=True).withColumn("page_index", F.lit(None).cast("int"))
-    done = process(with_text(files, provider), settings)
-    writer = done.writeStream.foreachBatch(append_ledger(run)).option("checkpointLocation", os.path.join(run, "checkpoint"))
+def _reader(source, settings: Settings):
+    return source.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]")
+
+
+def start(spark: SparkSession, run: str, root: str, provider: str | Provider, settings: Settings = DEFAULTS, max_files: int = 32, once: bool = True, gate: Gate | None = None, status: Status | None = None, counter: Counter = count_pages) -> StreamingQuery:
+    """Start (or go on with) the scan of ``root`` into ``run``. Files of several pages become a document a page."""
+    files = named(_reader(spark.readStream.format("binaryFile").schema(FILES), settings).option("maxFilesPerTrigger", max_files).load(root), content=True)
+    done = process(with_text(walk_pages(files, settings, counter), provider), settings)
+    writer = done.writeStream.foreachBatch(append_ledger(run, gate, status)).option("checkpointLocation", os.path.join(run, "checkpoint"))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
 
-def scan(spark: SparkSession, run: str, root: str, provider: str | Provider, settings: Settings = DEFAULTS, max_files: int = 32) -> bool:
-    """Run the scan to its end; the run is complete if it ends by itself."""
-    query = start(spark, run, root, provider, settings, max_files)
-    query.awaitTermination()
-    complete = query.exception() is None
+def scan(spark: SparkSession, run: str, root: str, provider: str | Provider, settings: Settings = DEFAULTS, max_files: int = 32, gate: Gate | None = None, status: Status | None = None, counter: Counter = count_pages) -> bool:
+    """Run the scan to its end, during which the run is locked for edits.
+
+    The run is complete if every file in scope is in the ledger afterwards: a scan that its gate, or anyone else, has
+    stopped isn't, however it ended.
+    """
+    found = named(_reader(spark.read.format("binaryFile"), settings).load(root), content=False)
+    wanted = seed(found, settings).select("path")
+    if status:
+        status.discovered(wanted.count(), _seen(spark, run).count())
+    with busy(run, "scan"):
+        query = start(spark, run, root, provider, settings, max_files, gate=gate, status=status, counter=counter)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if not (gate and gate.stopped):
+                if status:
+                    status.end("error")
+                raise
+    complete = not (gate and gate.stopped) and unfinished(wanted, _seen(spark, run), "path").isEmpty()
     write_meta(run, complete=complete)
+    if status:
+        status.end("done" if complete else "stopped")
     return complete
 
 
+def _seen(spark: SparkSession, run: str) -> DataFrame:
+    """Paths in the ledger."""
+    ledger = os.path.join(run, "ledger")
+    return spark.read.parquet(ledger).select("path").distinct() if os.path.isdir(ledger) else spark.createDataFrame([], "path string")
+
+
 def running_tally(events: DataFrame) -> DataFrame:
     """Running totals by kind, for batch or stream (complete mode): kind, n, total."""
     return events.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
 
 
-class Progress(StreamingQueryListener):
-    """Writes the stream's progress as a small JSON file, replaced at once. No share or time left while files are being found."""
-
-    def __init__(self, path: str):
-        self.path, self.rows, self.seconds = path, 0, 0.0
-
-    def _put(self, **status) -> None:
-        with open(self.path + ".tmp", "w", encoding="utf-8") as file:
-            json.dump(status, file)
-        os.replace(self.path + ".tmp", self.path)
-
-    def onQueryStarted(self, event) -> None:
-        self._put(phase="scanning", done=0)
-
-    def onQueryProgress(self, event) -> None:
-        p = event.progress
-        self.rows += p.numInputRows
-        self.seconds += sum(p.durationMs.values()) / 1000 if p.durationMs else 0
-        self._put(phase="scanning", done=self.rows, rate=self.rows / self.seconds if self.seconds else None, eta=None)
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        self._put(phase="error" if event.exception else "done", done=self.rows)
+__all__ = ["Gate", "Status", "Stopped", "append_ledger", "running_tally", "scan", "start"]
