@@ -331,7 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     ids = {r["id"]: r["toxic"] for r in chosen.collect()}  # at most 2 * sample rows
     spark = docs.sparkSession
     small = spark.createDataFrame(list(ids.items()) or [(None, None)], "id long, toxic int")
-    rows = docs.join(F.broadcast(small), F.col("doc_id").cast("long") == F.col("id")).select("id", "toxic", F.col("text").cast("string").alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text"))
+    rows = narrow.join(F.broadcast(small), F.col("own_id") == F.col("id")).select("id", "toxic", "text")
     first = materialize(rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("id")), "toxicity-sample")  # one row an id, so the sample stays bounded
     room, last = SAMPLE_BYTES, None
     for r in first.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h", "n").collect():
