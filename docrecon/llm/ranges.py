@@ -76,7 +76,7 @@ def bounded_sample(df: DataFrame, *key: str, rows: int) -> DataFrame:
     return df.limit(0) if last is None else hashed.filter(F.col("sample_hash") <= last).dropDuplicates(["sample_hash"]).drop("sample_hash")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int, size: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], rows: int, size: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of ``rows`` rows and of ``size`` bytes of ``column`` at most; a longer text is a piece by itself."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

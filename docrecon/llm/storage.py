@@ -16,7 +16,7 @@ from docrecon.sources.shared import shared_dir
 
 
 #: Bytes of an Arrow batch.
-BATCH = 8 << 20
+BATCH = 4 << 20
 _UNBOUNDED = (1 << 31) - 1
 
 

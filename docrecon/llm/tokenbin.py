@@ -31,7 +31,7 @@ from docrecon.llm.storage import bounded, create, fresh_path, map_array, materia
 MAGIC = b"TOKIDX01"
 MANIFEST = "shard int, bin string, idx string, width int, n_docs long, n_tokens long"
 #: Chunks that a Python worker remembers before it starts anew.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 400_000
 _TAIL = ".,;:!?*%&$#|"
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 

@@ -40,7 +40,7 @@ BITS = 18
 SIZES = (3, 4, 5, 6, 7)
 WEAK = 0.1
 TOKEN = re.compile(r"[^\W\d_]+")
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 200_000
 
 
 def features(word: str) -> list[int]:
