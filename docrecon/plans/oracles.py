@@ -29,6 +29,14 @@ def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN {a} = '' AND {b} = '' THEN 100.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE 200.0::DOUBLE * {_lcs(a, b)} / (length({a}) + length({b})) END"
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _spelled(c: str, prefix: str) -> str:
+    """How often each letter and digit stands in a string, as columns."""
+    return ", ".join(f"(length({c}) - length(replace({c}, '{x}', '')))::SMALLINT AS {prefix}{x}" for x in _LETTERS)
+
+
 def _name(c: str) -> str:
     s = rf"regexp_replace(lower({c}), '\(.*?\)', ' ', 'g')"
     s = rf"trim(regexp_replace(regexp_replace(replace({s}, '&', ' and '), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
@@ -283,14 +291,16 @@ ORACLES = {
         ), unclear AS (SELECT DISTINCT t.d AS doc_id FROM plan, UNNEST(string_split(candidates, ',')) AS t(d) WHERE status = 'ambiguous')
         SELECT i.doc_id, CASE WHEN l.row IS NOT NULL THEN 'matched' WHEN u.doc_id IS NOT NULL THEN 'ambiguous' ELSE 'unreferenced' END AS link_status, l.row AS gstr_row, l.ref AS gstr_ref
         FROM docs i LEFT JOIN last_rows l USING (doc_id) LEFT JOIN unclear u ON u.doc_id = i.doc_id WHERE doc_type = 'invoice'""",
-    # The edit distance bounds the common subsequence from both sides; only what these bounds leave open is worked out.
+    # The edit distance bounds a score from below and the letters in common from above; only what these leave open is worked out.
     "suggest_topk": f"""{_PLAN}, lost AS MATERIALIZED (SELECT row, {_tax('gstin')} AS g, {_key('invoice_no')} AS n FROM plan WHERE status = 'not_found'
         ), own AS MATERIALIZED (SELECT doc_id, {_tax('vendor_gstin')} AS dg, {_key('invoice_id')} AS n1, {_key('invoice_no_content')} AS n2 FROM docs WHERE doc_type = 'invoice' AND coalesce(invoice_id, invoice_no_content, vendor_gstin) IS NOT NULL
-        ), apart AS (SELECT row, doc_id, n, n1, n2, CASE WHEN g <> '' AND g = dg THEN 25 ELSE 0 END AS extra, levenshtein(n, n1)::DOUBLE / greatest(length(n) + length(n1), 1) AS d1, levenshtein(n, n2)::DOUBLE / greatest(length(n) + length(n2), 1) AS d2 FROM lost, own
-        ), bounds AS (SELECT *, extra + 75 * greatest(CASE WHEN n1 = '' THEN 0 ELSE 1 - 2 * d1 END, CASE WHEN n2 = '' THEN 0 ELSE 1 - 2 * d2 END, 0) AS low, extra + 75 * greatest(CASE WHEN n1 = '' THEN 0 ELSE 1 - d1 END, CASE WHEN n2 = '' THEN 0 ELSE 1 - d2 END) AS high FROM apart
-        ), fifth AS (SELECT row, list_min(max(low, 5)) AS least FROM bounds GROUP BY row
-        ), near AS (SELECT b.* FROM bounds b JOIN fifth USING (row) WHERE high >= least - 0.2
-        ), points AS (SELECT row, doc_id, round(0.75::DOUBLE * greatest(CASE WHEN n1 = '' THEN 0 ELSE {_ratio('n', 'n1')} END, CASE WHEN n2 = '' THEN 0 ELSE {_ratio('n', 'n2')} END) + extra, 1) AS score FROM near)
+        ), owned AS MATERIALIZED (SELECT doc_id, dg, n1 AS m, true AS one FROM own UNION ALL SELECT doc_id, dg, n2, false FROM own WHERE n2 <> n1
+        ), spelled AS MATERIALIZED (SELECT *, {_spelled('m', 'd_')} FROM owned), asked AS MATERIALIZED (SELECT *, {_spelled('n', 'r_')} FROM lost
+        ), bounds AS MATERIALIZED (SELECT row, doc_id, n, m, one, CASE WHEN g <> '' AND g = dg THEN 25 ELSE 0 END AS extra, CASE WHEN m = '' THEN 0 ELSE 150.0::DOUBLE * ({" + ".join(f"least(r_{c}, d_{c})" for c in _LETTERS)}) / (length(n) + length(m)) END AS most,
+            CASE WHEN m = '' OR NOT one THEN 0 ELSE 75 * greatest(0, 1 - 2 * levenshtein(n, m)::DOUBLE / (length(n) + length(m))) END AS low FROM asked, spelled
+        ), fifth AS (SELECT row, list_min(max(low + extra, 5)) AS least FROM bounds WHERE one GROUP BY row
+        ), near AS (SELECT b.* FROM bounds b JOIN fifth USING (row) WHERE most + extra >= least - 0.2
+        ), points AS (SELECT row, doc_id, round(max(0.75::DOUBLE * CASE WHEN m = '' THEN 0 ELSE {_ratio('n', 'm')} END + extra), 1) AS score FROM near GROUP BY row, doc_id)
         SELECT row, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id)::INTEGER AS place, doc_id, score FROM points WHERE score > 0 QUALIFY place <= 5""",
     "unmatched_by_supplier": f"{_PLAN} SELECT supplier, count(*) AS rows FROM plan WHERE status IN ('not_found', 'ambiguous') GROUP BY supplier",
     "row_candidates": f"{_PLAN} SELECT row, t.d AS doc_id, filename, path, NULL::DOUBLE AS score FROM plan, UNNEST(string_split(candidates, ',')) AS t(d) JOIN docs ON docs.doc_id = t.d WHERE status = 'ambiguous'",
