@@ -79,7 +79,7 @@ def bag_minhash(found: np.ndarray, times: np.ndarray, begins: np.ndarray, slots:
         key = (times_.astype(np.float32).view(np.uint32).astype(np.uint64) << _U(32)) | (g >> _U(32))
         where = ((g & _U(0xFFFFFFFF)) * _U(slots) >> _U(32)).astype(np.int64) + (doc * slots)[:, None]
         if (wide := width > 1).any():  # the point's place within its interval must lie below the weight
-            place = low[:, None] + ((h & _U(0x7FF)).astype(np.float64) / 2048 * width[:, None]).astype(np.int64)
+            place = low[:, None] + ((mix(h ^ _U(0x3C3C3C3CC3C3C3C3)) >> _U(11)).astype(np.float64) * 2.0**-53 * width[:, None]).astype(np.int64)
             counts = ~wide[:, None] | (place < weight[:, None])
             np.minimum.at(flat, where[counts], key[counts])
         else:

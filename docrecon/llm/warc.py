@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.ranges import bucket_of, cut_points, shuffle_parts, spread_of
+from docrecon.llm.ranges import bucket_of, shuffle_parts, spread_of
 from docrecon.llm.storage import bounded, create, fresh_path, materialize, open_random
 
 BLOCK = 1024
