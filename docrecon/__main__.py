@@ -1,4 +1,4 @@
-"""Command line: ``python -m docrecon`` scan, years, runs, export, link-gstr."""
+"""Command line: ``python -m docrecon`` scan, gate, years, runs, export, link-gstr."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from docrecon.settings import Settings
 from docrecon.sources import runs, tree
 from docrecon.sources.workbook import REF_HEADER, SHEET
 from docrecon.streaming import ingest
-from docrecon.streaming.control import Gate, Status, terminal
+from docrecon.streaming.control import Gate, Progress, terminal
 
 
 def _spark():
@@ -45,14 +45,18 @@ def cmd_scan(args) -> None:
             raise SystemExit(f"{run} is no run folder")
     elif args.root:
         root, fy = os.path.abspath(args.root), args.fy
+        years = tree.fy_folders(root)
+        if fy and tree.year_name(fy) not in map(tree.year_name, years):
+            raise SystemExit(f"no folder of {fy} under {root}; there are: {', '.join(years) or 'none'}")
         run = runs.find_resumable(args.out, root, fy) or runs.new_run(args.out, root, fy)
     else:
         raise SystemExit("--root or --continue-run is needed")
     if args.gstr:
         runs.keep_workbook(run, args.gstr)
-    spark, gate = _spark(), Gate()
-    status = Status(os.path.join(run, "status.json"), gate, () if args.quiet else (terminal(sys.stderr),))
-    complete = ingest.scan(spark, run, root, _named(args.provider), Settings(root=root, fy_scope=fy), gate=gate, status=status)
+    spark, gate = _spark(), Gate(os.path.join(run, "gate"))
+    gate.reopen()
+    progress = Progress(os.path.join(run, "status.json"), gate, () if args.quiet else (terminal(sys.stderr),))
+    complete = ingest.scan(spark, run, root, _named(args.provider), Settings(root=root, fy_scope=fy), gate=gate, progress=progress)
     docs = api.load(spark, run)
     if docs is not None:
         api.save(api.corpus_passes(docs), run)
@@ -68,6 +72,11 @@ def cmd_runs(args) -> None:
         print(r["run_id"], r["root"], r.get("fy") or "-", "complete" if r.get("complete") else "incomplete")
 
 
+def cmd_gate(args) -> None:
+    """Pause, resume or stop the scan of a run, which another process may be running."""
+    getattr(Gate(os.path.join(_run(args), "gate")), args.do)()
+
+
 def cmd_export(args) -> None:
     run, spark = _run(args), _spark()
     docs = api.load(spark, run)
@@ -107,6 +116,10 @@ def parser() -> argparse.ArgumentParser:
     years.add_argument("--root", required=True)
     years.set_defaults(run_command=cmd_years)
     sub.add_parser("runs", help="the newest runs").set_defaults(run_command=cmd_runs)
+    gate = sub.add_parser("gate", help="pause, resume or stop a run's scan")
+    gate.add_argument("do", choices=["pause", "resume", "stop"])
+    gate.add_argument("--run")
+    gate.set_defaults(run_command=cmd_gate)
     export = sub.add_parser("export", help="write a run's sheets again")
     export.add_argument("--run")
     export.set_defaults(run_command=cmd_export)

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrecon.operators import decisions, link
-from docrecon.operators.corpus import corpus_passes, exceptions_sheet, master_sheet, summary_sheet
+from docrecon.operators.corpus import corpus_passes, exceptions_sheet, master_sheet, needs_review, summary_sheet
 from docrecon.operators.stages import process
 from docrecon.operators.views import with_event
 from docrecon.settings import DEFAULTS, Settings
-from docrecon.sources import runs
+from docrecon.sources import lease, runs
 from docrecon.sources.shared import snapshot
 from docrecon.sources.workbook import REF_HEADER, REPORT_SHEET, SHEET, fill_workbook, read_return
+from docrecon.streaming import ingest
 
 PageWriter = Callable[[bytes, int], bytes]
 
@@ -34,14 +35,14 @@ def save(docs: DataFrame, run: str) -> None:
 
 def load(spark: SparkSession, run: str) -> DataFrame | None:
     """Snapshot and what the ledger has beyond it. While a scan runs this is a live view of what is finished."""
-    ledger = os.path.join(run, "ledger")
-    done = runs.last_write(spark.read.parquet(ledger).drop("batch")).drop("seq", "position") if os.path.isdir(ledger) else None
+    found = ingest.ledger(spark, run)
+    done = found if found is None else runs.last_write(found.drop("pass", "batch")).drop("seq", "position")
     kept = runs.load_table(spark, run, "snapshot")
     return kept if done is None else done if kept is None else runs.overlay_ledger(kept, done)
 
 
-def save_plan(plan: DataFrame, run: str) -> None:
-    runs.save_table(plan.sparkSession, run, "link", plan)
+def save_plan(plan: DataFrame, run: str, own: lease.Lease | None = None) -> None:
+    runs.save_table(plan.sparkSession, run, "link", plan, own)
 
 
 def load_plan(spark: SparkSession, run: str) -> DataFrame | None:
@@ -52,22 +53,18 @@ def load_plan(spark: SparkSession, run: str) -> DataFrame | None:
 def decide(spark: SparkSession, run: str, kind: str, key: str, payload: str | None = None) -> list[str]:
     """Append a decision. Refused while the run is scanning or exporting. Returns the amounts of an edit that are none;
     the rest of the edit holds."""
-    if what := runs.read_meta(run).get("busy"):
-        raise RuntimeError(f"the run is busy: {what}")
-    seq = runs.next_number(run, "decisions")
-    spark.createDataFrame([(seq, kind, key, payload)], decisions.SCHEMA).write.mode("append").parquet(os.path.join(run, "decisions"))
+    with lease.edited(run, "decisions") as seq:
+        spark.createDataFrame([(seq, kind, key, payload)], decisions.SCHEMA).write.mode("append").parquet(os.path.join(run, "decisions"))
     return decisions.bad_amounts(payload) if kind == "confirm" else []
 
 
 def approve_all(spark: SparkSession, run: str, docs: DataFrame) -> int:
     """One decision for each document that needs review, in one append; nothing is matched again."""
-    todo = flagged(docs).select("doc_id")
+    todo = snapshot(docs.filter(needs_review()).select("doc_id"), "approved")
     n = todo.count()
     if n:
-        if what := runs.read_meta(run).get("busy"):
-            raise RuntimeError(f"the run is busy: {what}")
-        seq = runs.next_number(run, "decisions")
-        todo.select(F.lit(seq).cast("long").alias("seq"), F.lit("approve").alias("kind"), F.col("doc_id").alias("key"), F.lit(None).cast("string").alias("payload")).write.mode("append").parquet(os.path.join(run, "decisions"))
+        with lease.edited(run, "decisions") as seq:
+            todo.select(F.lit(seq).cast("long").alias("seq"), F.lit("approve").alias("kind"), F.col("doc_id").alias("key"), F.lit(None).cast("string").alias("payload")).write.mode("append").parquet(os.path.join(run, "decisions"))
     return n
 
 
@@ -136,7 +133,7 @@ def copy_matched(plan: DataFrame, docs: DataFrame, folder: str, page_writer: Pag
 
 def copy_flagged(docs: DataFrame, folder: str, page_writer: PageWriter | None = None) -> DataFrame:
     """The documents, those that need review with ``review_pdf_path``, or an event if their copy failed."""
-    todo = flagged(docs).join(_pages(docs).select("doc_id", F.col("page_index").alias("_page")), "doc_id")
+    todo = docs.filter(needs_review()).join(_pages(docs).select("doc_id", F.col("page_index").alias("_page")), "doc_id")
     todo = todo.select("doc_id", F.lit(0).alias("row"), F.concat("doc_id", F.lit("__"), "filename").alias("name"), "path", F.col("_page").alias("page_index"))
     done = snapshot(copy_files(todo, folder, page_writer), "copied").select(F.split("name", "__")[0].alias("_id"), F.col("name").alias("_name"), "ok")
     out = docs.join(done, F.col("doc_id") == F.col("_id"), "left").withColumn("review_pdf_path", F.when(F.col("ok"), F.concat(F.lit(folder.rstrip("/") + "/"), "_name")))
@@ -146,7 +143,7 @@ def copy_flagged(docs: DataFrame, folder: str, page_writer: PageWriter | None =
 def link_workbook(spark: SparkSession, run: str, template: str, docs: DataFrame, now: DataFrame, page_writer: PageWriter | None = None, sheet: str = SHEET, ref_header: str = REF_HEADER) -> tuple[str, DataFrame]:
     """Match the return, copy the matched files flat, and write the return with its references and the report beside the
     template's sheets: the workbook's path and the plan. The run is locked for edits meanwhile."""
-    with runs.busy(run, "export"):
+    with lease.Lease(run, "export") as own:
         plan, whole = link_now(docs, read_return(spark, template, sheet, ref_header), now)
         copied = copy_matched(plan, whole, os.path.join(run, "linked"), page_writer)
         out = os.path.join(run, os.path.splitext(os.path.basename(template))[0] + "_linked.xlsx")
@@ -157,10 +154,10 @@ def link_workbook(spark: SparkSession, run: str, template: str, docs: DataFrame,
             if rows:
                 report += [[], [link.SECTIONS[title]], link.section_header(section.columns), *rows]
         fill_workbook(template, out, sheet, ref_header, cells, {REPORT_SHEET: report})
-        save_plan(plan, run)
+        save_plan(plan, run, own)
     return out, plan
 
 
 def flagged(docs: DataFrame) -> DataFrame:
     """Documents that need review, the least sure first."""
-    return docs.filter((F.size("flags") > 0) & ~F.col("reviewed")).orderBy("confidence", "path")
+    return docs.filter(needs_review()).orderBy("confidence", "path")

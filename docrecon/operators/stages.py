@@ -262,6 +262,11 @@ def process(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     df = seed(docs, settings)
     for stage in STAGES:
         df = df.transform(stage, settings)
+    return finish(df)
+
+
+def finish(df: DataFrame) -> DataFrame:
+    """Documents of all stages with the columns that reviews and failures fill."""
     for column, value in (("reviewed", False), ("hidden", False)):
         if column not in df.columns:
             df = df.withColumn(column, F.lit(value))

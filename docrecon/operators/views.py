@@ -54,6 +54,11 @@ def stage_events(docs: DataFrame) -> DataFrame:
     return with_event(docs, F.lit(True), "classify", "classified", F.concat("doc_type", F.lit(": "), "reasons"))
 
 
+def failed_in(stage: str) -> Column:
+    """Whether a document failed in a stage."""
+    return F.exists("flags", lambda x: (x["code"] == "stage_error") & x["message"].startswith(f"{stage} "))
+
+
 def tallies(docs: DataFrame) -> DataFrame:
     """One row: pdfs, invoices, approvals, ocr, flagged, errors. Over a stream it is a running tally (complete mode)."""
     return docs.agg(
@@ -76,7 +81,6 @@ def timed(docs: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, Da
         began = time.monotonic()
         now = snapshot(stage(now, settings), f"stage-{stage.__name__}")
         took = time.monotonic() - began
-        failed = F.count_if(F.exists("flags", lambda x: (x["code"] == "stage_error") & x["message"].startswith(f"{stage.__name__} ")))
-        n, errors = now.agg(F.count("*"), failed).first()
+        n, errors = now.agg(F.count("*"), F.count_if(failed_in(stage.__name__))).first()
         rows.append((stage.__name__, n, errors, took, 1000 * took / n if n else 0.0))
     return now, docs.sparkSession.createDataFrame(rows, "stage string, docs long, errors long, seconds double, ms_per_doc double")

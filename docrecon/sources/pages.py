@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.settings import DEFAULTS, Settings
-from docrecon.sources.text import Provider
+from docrecon.sources.text import Provider, contents
 from docrecon.sources.tree import explode_pages
+from docrecon.streaming.control import Gate
 
 Counter = Callable[[bytes], int | None]
 
@@ -28,15 +29,15 @@ def count_pages(content: bytes) -> int | None:
     return max(trees, default=0) or single or None
 
 
-def with_pages(files: DataFrame, counter: Counter = count_pages) -> DataFrame:
-    """Add ``pages``, null where the counter can't tell or fails. Needs content."""
+def with_pages(files: DataFrame, counter: Counter = count_pages, gate: Gate | None = None) -> DataFrame:
+    """Add ``pages``, null where the counter can't tell or fails, of the column ``content`` or else of the file at the path."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for content in batch["content"]:
+            for content in contents(batch, gate):
                 try:
-                    found.append(counter(bytes(content)))
+                    found.append(counter(content()))
                 except Exception:  # an unreadable file stays one document, and extraction will tell why
                     found.append(None)
             yield batch.assign(pages=pd.array(found, dtype="Int32"))
@@ -45,11 +46,11 @@ def with_pages(files: DataFrame, counter: Counter = count_pages) -> DataFrame:
     return files.mapInPandas(count, schema + ", pages int")
 
 
-def walk_pages(files: DataFrame, settings: Settings = DEFAULTS, counter: Counter = count_pages) -> DataFrame:
+def walk_pages(files: DataFrame, settings: Settings = DEFAULTS, counter: Counter = count_pages, gate: Gate | None = None) -> DataFrame:
     """Files with a row for each page of those that have several, or files as they are if the settings say so."""
     if not settings.explode_pages:
         return files.withColumn("page_index", F.lit(None).cast("int")).withColumn("source_key", F.concat(F.lit("local:"), "path"))
-    return explode_pages(with_pages(files, counter))
+    return explode_pages(with_pages(files, counter, gate))
 
 
 def escalating(cheap: Callable[[bytes, int], tuple[str, float]], careful: Callable[[bytes, int], tuple[str, float]], floor: float = 55.0) -> Callable[[bytes, int], tuple[str, float]]:

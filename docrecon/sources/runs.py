@@ -8,18 +8,14 @@ what executors write, on all executors.
 from __future__ import annotations
 
 import datetime as dt
-import json
 import os
 import re
 import shutil
-import time
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-META = "run_meta.json"
+from docrecon.sources.lease import Lease, locked, put_meta, read_meta, write_meta
 
 
 def slug(text: str) -> str:
@@ -35,73 +31,6 @@ def new_run(out_root: str, root: str, fy: str | None = None, pages: bool = True)
     return path
 
 
-def read_meta(run: str) -> dict:
-    try:
-        with open(os.path.join(run, META), encoding="utf-8") as file:
-            return json.load(file)
-    except (OSError, ValueError):
-        return {}
-
-
-@contextmanager
-def locked(run: str, wait: float = 30.0, stale: float = 120.0) -> Iterator[None]:
-    """Hold the run's lock file, which one process can make. One that is older than ``stale`` seconds was left by a crash."""
-    path, until = os.path.join(run, META + ".lock"), time.monotonic() + wait
-    while True:
-        try:
-            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-            break
-        except FileExistsError:
-            try:
-                if time.time() - os.stat(path).st_mtime > stale:
-                    os.unlink(path)
-                    continue
-            except FileNotFoundError:
-                continue
-            if time.monotonic() > until:
-                raise TimeoutError(f"{path} is held by another process") from None
-            time.sleep(0.02)
-    try:
-        yield
-    finally:
-        os.unlink(path)
-
-
-def _put_meta(run: str, meta: dict) -> dict:
-    path = os.path.join(run, META)
-    with open(path + ".tmp", "w", encoding="utf-8") as file:
-        json.dump(meta, file, indent=1)
-    os.replace(path + ".tmp", path)
-    return meta
-
-
-def write_meta(run: str, **changes) -> dict:
-    """Merge ``changes`` into the metadata; the file is replaced at once, by one process at a time."""
-    with locked(run):
-        return _put_meta(run, read_meta(run) | changes)
-
-
-def next_number(run: str, name: str) -> int:
-    """A number of the run that nobody else gets."""
-    with locked(run):
-        meta = read_meta(run)
-        return _put_meta(run, meta | {name: meta.get(name, 0) + 1})[name]
-
-
-@contextmanager
-def busy(run: str, what: str) -> Iterator[None]:
-    """Mark the run as scanning or exporting; edits are refused meanwhile, and so is a second such job."""
-    with locked(run):
-        meta = read_meta(run)
-        if meta.get("busy"):
-            raise RuntimeError(f"the run is busy: {meta['busy']}")
-        _put_meta(run, meta | {"busy": what})
-    try:
-        yield
-    finally:
-        write_meta(run, busy=None)
-
-
 def keep_workbook(run: str, path: str) -> str:
     """Copy the return into the run, so that the run stays whole if the original moves; returns the path to use from now on."""
     kept = os.path.abspath(os.path.join(run, os.path.basename(path)))
@@ -122,16 +51,22 @@ def find_workbook(run: str) -> str | None:
     return next((p for p in tried if p and os.path.isfile(p)), None)
 
 
-def save_table(spark: SparkSession, run: str, name: str, df: DataFrame) -> None:
+def save_table(spark: SparkSession, run: str, name: str, df: DataFrame, lease: Lease | None = None) -> None:
     """Write a table of the run beside its last version, then point the metadata at it, which is one replacement of a
-    file: whoever reads sees the one or the other. The version before last goes."""
-    number = next_number(run, f"{name}_version")
+    file: whoever reads sees the one or the other. The version before last goes. For a job its ``lease`` is asked before
+    the metadata changes."""
+    with locked(run):
+        meta = read_meta(run)
+        number = meta.get(f"{name}_version", 0) + 1
+        put_meta(run, meta | {f"{name}_version": number})
     fresh = f"{name}-{number:06d}"
     df.write.mode("overwrite").parquet(os.path.join(run, fresh))
-    old = read_meta(run).get(name)
-    write_meta(run, **{name: fresh, f"{name}_before": old})
+    with lease.writing() if lease else locked(run):
+        meta = read_meta(run)
+        old = meta.get(name)
+        put_meta(run, meta | {name: fresh, f"{name}_before": old})
     for entry in os.listdir(run):
-        if re.fullmatch(rf"{name}-[0-9]{{6}}", entry) and entry not in (fresh, old):
+        if re.fullmatch(rf"{name}-[0-9]{{6}}", entry) and entry < fresh and entry != old:
             shutil.rmtree(os.path.join(run, entry), ignore_errors=True)
 
 
@@ -161,9 +96,9 @@ def latest_run(out_root: str) -> str | None:
 
 
 def find_resumable(out_root: str, root: str, fy: str | None, pages: bool | None = None) -> str | None:
-    """The newest incomplete run of the same tree and year (and page mode, if given) that has a ledger."""
+    """The newest incomplete run of the same tree and year (and page mode, if given) whose scan has begun."""
     own = lambda m: m.get("root") == root and m.get("fy") == fy and not m.get("complete") and (pages is None or m.get("pages") == pages)
-    found = [e.path for e in os.scandir(out_root) if e.is_dir() and own(read_meta(e.path)) and os.path.isdir(os.path.join(e.path, "ledger"))] if os.path.isdir(out_root) else []
+    found = [e.path for e in os.scandir(out_root) if e.is_dir() and own(m := read_meta(e.path)) and (m.get("pass") or os.path.isdir(os.path.join(e.path, "ledger")))] if os.path.isdir(out_root) else []
     return max(found, default=None)
 
 
@@ -172,7 +107,7 @@ def describe(spark: SparkSession, run: str) -> dict:
     meta, ledger = read_meta(run), os.path.join(run, "ledger")
     if not meta.get("root"):
         raise ValueError(f"{run} is no run folder")
-    done = spark.read.parquet(ledger).agg(F.count_distinct("source_key")).first()[0] if os.path.isdir(ledger) else 0
+    done = spark.read.parquet(ledger).agg(F.count_distinct("source_key")).first()[0] if os.path.isdir(ledger) and os.listdir(ledger) else 0
     return {k: meta.get(k) for k in ("root", "fy", "pages", "complete")} | {"gstr_path": find_workbook(run), "done": done, "tree_exists": os.path.isdir(meta["root"])}
 
 

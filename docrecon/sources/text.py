@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docrecon.streaming.control import Gate
+
 Provider = Callable[[bytes, int | None], tuple]
 _providers: dict[str, Provider] = {}
 
@@ -22,9 +24,31 @@ def register(name: str, provider: Provider) -> None:
     _providers[name] = provider
 
 
-def with_text(files: DataFrame, provider: str | Provider) -> DataFrame:
-    """Add text, source, error and text_notes (lines of severity, code and message). A document that a provider fails on
-    keeps its row and goes through the later stages, with the error."""
+def contents(batch: pd.DataFrame, gate: Gate | None = None) -> Iterator[Callable[[], bytes]]:
+    """What opens each row's file: its column ``content``, or the file at its path, kept while rows of the same file follow.
+    Before each row the gate is waited for."""
+    path, held = None, b""
+
+    def read(at: str) -> bytes:
+        nonlocal path, held
+        if at != path:
+            with open(at, "rb") as file:
+                path, held = None, file.read()
+            path = at
+        return held
+
+    for row in batch["content"] if "content" in batch else batch["path"]:
+        if gate:
+            gate.wait()
+        yield (lambda row=row: bytes(row)) if "content" in batch else (lambda row=row: read(row))
+
+
+def with_text(files: DataFrame, provider: str | Provider, gate: Gate | None = None) -> DataFrame:
+    """Add text, source, error and text_notes (lines of severity, code and message). A document that a provider fails on,
+    or that can't be opened, keeps its row and goes through the later stages, with the error.
+
+    Without a column ``content`` the tasks open the files themselves, so bytes never travel between tasks.
+    """
     run = _providers.get(provider) if isinstance(provider, str) else provider
     if run is None:
         raise NotImplementedError(f"no text provider {provider!r} is registered; PDF text and recognition need a library of your choice")
@@ -32,14 +56,14 @@ def with_text(files: DataFrame, provider: str | Provider) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for content, page in zip(batch["content"], batch["page_index"], strict=True):
+            for content, page in zip(contents(batch, gate), batch["page_index"], strict=True):
                 try:
-                    got = run(bytes(content), None if pd.isna(page) else int(page))
+                    got = run(content(), None if pd.isna(page) else int(page))
                     notes = [f"warn\t{code}\t{' '.join(message.split())}" for code, message in (got[2] if len(got) > 2 else ())]
                     out.append((got[0], got[1], None, "\n".join(notes)))
                 except Exception as error:  # one bad document must not end the job
                     out.append(("", "none", f"extract: {error!r}", f"error\tstage_error\textract failed: {' '.join(str(error).split())}"))
-            rest = batch.drop(columns="content")
+            rest = batch.drop(columns="content", errors="ignore")
             yield rest.assign(**{c: [o[i] for o in out] for i, c in enumerate(("text", "source", "error", "text_notes"))})
 
     kept = [f for f in files.schema.fields if f.name != "content"]

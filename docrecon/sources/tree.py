@@ -11,15 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrecon.settings import DEFAULTS, FY_FOLDER, Settings
+from docrecon.sources.folders import list_folder, year_name
 from docrecon.sources.shared import snapshot
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _year(name: str) -> str:
-    return "".join(name.split()).upper()
-
-
 def fy_folders(root: str) -> list[str]:
     """Names of the financial-year folders directly under ``root``, sorted; none if it can't be read."""
     try:
@@ -38,7 +35,7 @@ def scan_tree(spark: SparkSession, root: str, settings: Settings = DEFAULTS, con
     paths = [root]
     if settings.fy_scope and names:
         with os.scandir(root) as found:
-            paths = [e.path for e in found if e.is_dir() and (e.name not in names or _year(e.name) == _year(settings.fy_scope))]
+            paths = [e.path for e in found if e.is_dir() and (e.name not in names or year_name(e.name) == year_name(settings.fy_scope))]
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]")
     files = reader.load(paths) if paths else spark.createDataFrame([], FILES)
     return named(files, content)
@@ -49,24 +46,15 @@ def walk(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> DataF
     which Spark's file source leaves out.
 
     Executors list the folders, a level of the tree at a time; only the folders of a level are a table, and it is written
-    between levels. With a year set, other years' folders are left out at any depth. Folders that can't be read hold nothing.
+    between levels. Other banks' folders, and with a year set those of other years, are left out at any depth. Folders that
+    can't be read hold nothing.
     """
-    own = _year(settings.fy_scope) if settings.fy_scope else None
-
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for folder in batch.column("path").to_pylist():
-                try:
-                    with os.scandir(folder) as found:
-                        for e in found:
-                            if e.is_dir(follow_symlinks=False):
-                                if not (own and re.match(FY_FOLDER, e.name) and _year(e.name) != own):
-                                    rows.append((e.path, e.name, None, True))
-                            elif e.name.lower().endswith(".pdf"):
-                                rows.append((e.path, e.name, e.stat().st_size, False))
-                except OSError:
-                    continue
+                folders, files = list_folder(folder, settings.root, settings.fy_scope, settings.bank_scope)
+                rows += [(path, None, None, True) for path in folders] + [(*file, False) for file in files]
             kinds = {"path": pa.string(), "filename": pa.string(), "size_bytes": pa.int64(), "folder": pa.bool_()}
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
 

@@ -1,15 +1,23 @@
-"""Pausing and stopping a scan, its status file, and jobs in the background, one at a time."""
+"""Control of a scan from outside, and its progress as the stream itself measures it.
+
+The gate is a file in the run's folder: whoever can write there pauses or stops the scan, from any process, and tasks on
+any machine see it between two folders or documents. Progress comes from the events of the query's listener: the counts
+are observed by the plan while it runs, one set for each micro-batch, so one that is run again counts once.
+"""
 
 from __future__ import annotations
 
 import json
 import os
-import threading
 import time
-from collections import deque
 from collections.abc import Callable
 
-RECENT = 40
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
+
+#: Notes of finished documents that a feed shows; seconds between two looks at a shut gate.
+RECENT, LOOK = 40, 0.25
 
 
 class Stopped(Exception):
@@ -17,103 +25,138 @@ class Stopped(Exception):
 
 
 class Gate:
-    """Pause, resume and stop, asked for by any thread and heeded between micro-batches (``check``)."""
+    """``open``, ``paused`` or ``stopped``, in a file that has the time it was shut and the seconds it was before."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
 
-    def __init__(self) -> None:
-        self._change = threading.Condition()
-        self._since: float | None = None
-        self._waited = 0.0
-        self.stopped = False
+    def _read(self) -> dict:
+        try:
+            with open(self.path, encoding="utf-8") as file:
+                return json.load(file)
+        except (OSError, ValueError):
+            return {"state": "open", "shut_s": 0.0}
 
     @property
-    def paused(self) -> bool:
-        return self._since is not None and not self.stopped
+    def state(self) -> str:
+        return self._read()["state"]
 
-    def pause(self) -> None:
-        with self._change:
-            if self._since is None and not self.stopped:
-                self._since = time.monotonic()
+    def shut_seconds(self) -> float:
+        """How long the gate has been paused in all."""
+        now = self._read()
+        return now["shut_s"] + (time.time() - now["since"] if now["state"] == "paused" else 0.0)
+
+    def put(self, state: str) -> None:
+        if state != self.state:
+            now = {"state": state, "shut_s": self.shut_seconds(), "since": time.time()}
+            with open(f"{self.path}.tmp", "w", encoding="utf-8") as file:
+                json.dump(now, file)
+            os.replace(f"{self.path}.tmp", self.path)
 
-    def _go(self) -> None:
-        if self._since is not None:
-            self._waited += time.monotonic() - self._since
-            self._since = None
-        self._change.notify_all()
+    def pause(self) -> None:
+        if self.state == "open":
+            self.put("paused")
 
     def resume(self) -> None:
-        with self._change:
-            self._go()
+        if self.state == "paused":
+            self.put("open")
 
     def stop(self) -> None:
-        with self._change:
-            self.stopped = True
-            self._go()  # whoever waits must wake up to see it
-
-    def paused_seconds(self) -> float:
-        with self._change:
-            return self._waited + (time.monotonic() - self._since if self._since is not None else 0.0)
-
-    def check(self) -> None:
-        """Wait while paused; raise ``Stopped`` if stopped."""
-        with self._change:
-            while self._since is not None and not self.stopped:
-                self._change.wait()
-            if self.stopped:
+        self.put("stopped")
+
+    def reopen(self) -> None:
+        """For a new session, whatever ended the last."""
+        self.put("open")
+
+    def wait(self) -> None:
+        """Return once the gate is open; for tasks, between two pieces of work."""
+        while (state := self.state) != "open":
+            if state == "stopped":
                 raise Stopped
+            time.sleep(LOOK)
+
+
+def watched(df: DataFrame, name: str, **counts: Column) -> DataFrame:
+    """``df``, whose rows are counted as ``name`` while they pass, with other aggregates."""
+    return df.observe(name, F.count(F.lit(1)).alias("docs"), *[c.alias(k) for k, c in counts.items()])
 
 
-class Status:
-    """A small JSON file of a scan's progress, replaced at once at every change, and given to each of ``listeners``.
+class Progress(StreamingQueryListener):
+    """The progress of one scan: a small JSON file, replaced at every micro-batch, which ``listeners`` get as well.
 
-    While files are still being found there is neither a share nor a time left, since either would be of a part. Rate
-    and time left count this session alone, without its pauses.
+    As long as folders are being listed there is neither a share nor a time left, since they would be of a part. Rate and
+    time left are of this session: its documents, and the time that its micro-batches took less what the gate was shut.
     """
 
     def __init__(self, path: str, gate: Gate | None = None, listeners: tuple[Callable[[dict], None], ...] = ()) -> None:
         self.path, self.gate, self.listeners = path, gate, listeners
-        self.began, self.total, self.before, self.done, self.discovering = time.monotonic(), 0, 0, 0, True
-        self.counts: dict = {}
-        self.recent: deque[dict] = deque(maxlen=RECENT)
-
-    def elapsed(self) -> float:
-        return max(0.0, time.monotonic() - self.began - (self.gate.paused_seconds() if self.gate else 0.0))
-
-    def estimate(self) -> tuple[float | None, float | None]:
-        """Seconds left and documents a second, None until they can be told."""
-        fresh, took = self.done - self.before, self.elapsed()
-        if self.discovering or fresh <= 0 or took <= 0 or self.total <= 0:
-            return None, None
-        return max(0, self.total - self.done) * took / fresh, fresh / took
-
-    def put(self, state: str = "running", **more) -> dict:
-        left, rate = self.estimate()
-        known = self.total and not self.discovering
-        payload = {
-            "state": state, "done": self.done, "total": self.total, "discovering": self.discovering, "counts": self.counts, "pct": round(100 * self.done / self.total, 1) if known else 0.0,
-            "recent": list(self.recent), "paused": bool(self.gate and self.gate.paused), "elapsed_s": round(self.elapsed(), 1),
-            "eta_s": round(left) if left is not None else None, "rate": round(rate, 2) if rate is not None else None,
-        } | more
-        with open(self.path + ".tmp", "w", encoding="utf-8") as file:
-            json.dump(payload, file)
-        os.replace(self.path + ".tmp", self.path)
+        self.query, self.discovering, self.total, self.before = "", True, 0, 0
+        self.batches: dict[int, dict] = {}
+        self.seconds: dict[int, float] = {}
+        self.notes: dict[int, list[dict]] = {}
+        self._shut = gate.shut_seconds() if gate else 0.0
+
+    def begin(self, query: str, total: int, before: int) -> None:
+        """``before`` of ``total`` documents were finished in earlier sessions; the query's events count from now on."""
+        self.query, self.total, self.before, self.discovering = query, total, before, False
+        self.publish()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.name == self.query:
+            self.batch(event.progress.batchId, {k: r.asDict() for k, r in event.progress.observedMetrics.items()}, event.progress.durationMs.get("triggerExecution", 0) / 1000)
+
+    def batch(self, number: int, observed: dict[str, dict], seconds: float) -> None:
+        """What was observed of a micro-batch; the last report of a batch holds."""
+        if observed:
+            self.batches[number], self.seconds[number] = observed, seconds
+            self.publish()
+
+    def noted(self, number: int, notes: list[dict]) -> None:
+        self.notes[number] = notes
+        for old in sorted(self.notes)[:-RECENT]:
+            del self.notes[old]
+
+    def counts(self, name: str) -> dict:
+        """The sums of what was observed as ``name``."""
+        out: dict = {}
+        for observed in self.batches.values():
+            for k, v in observed.get(name, {}).items():
+                out[k] = out.get(k, 0) + (v or 0)
+        return out
+
+    def stages(self) -> list[dict]:
+        """stage, docs, errors and ms_per_doc of the scan so far; stages run as one, so their time is shared."""
+        names = dict.fromkeys(k for observed in self.batches.values() for k in observed if k.startswith("stage_"))
+        spent, done = sum(self.seconds.values()), self.counts("finished").get("docs", 0)
+        return [{"stage": n.removeprefix("stage_"), "ms_per_doc": 1000 * spent / done if done else 0.0} | self.counts(n) for n in names]
+
+    def publish(self, state: str = "running") -> dict:
+        counts = self.counts("finished")
+        fresh = counts.pop("docs", 0)
+        spent = max(0.0, sum(self.seconds.values()) - (self.gate.shut_seconds() - self._shut if self.gate else 0.0))
+        done, known = self.before + fresh, bool(self.total) and not self.discovering
+        rate = fresh / spent if fresh and spent and known else None
+        notes = [n for number in sorted(self.notes, reverse=True) for n in self.notes[number]]
+        told = {
+            "state": state, "discovering": self.discovering, "done": done, "total": self.total, "counts": counts, "recent": notes[:RECENT], "stages": self.stages(),
+            "paused": bool(self.gate and self.gate.state == "paused"), "elapsed_s": round(spent, 1), "rate": rate and round(rate, 2),
+            "pct": 100.0 if state == "done" else round(100 * done / self.total, 1) if known else 0.0, "eta_s": 0 if state == "done" else round((self.total - done) / rate) if rate else None,
+        }
+        with open(f"{self.path}.tmp", "w", encoding="utf-8") as file:
+            json.dump(told, file)
+        os.replace(f"{self.path}.tmp", self.path)
         for listener in self.listeners:
-            listener(payload)
-        return payload
-
-    def discovered(self, total: int, done: int = 0, complete: bool = True) -> None:
-        """``done`` of ``total`` documents were finished in earlier sessions."""
-        self.total, self.before, self.done, self.discovering = total, done, done, not complete
-        self.put()
-
-    def finished(self, n: int, counts: dict, notes: list[dict]) -> None:
-        self.done += n
-        self.counts = {k: self.counts.get(k, 0) + v for k, v in counts.items()}
-        self.recent.extendleft(notes)
-        self.put()
-
-    def end(self, state: str = "done") -> None:
-        self.discovering = False
-        self.put(state, **({"pct": 100.0, "eta_s": 0} if state == "done" else {}))
+            listener(told)
+        return told
 
 
 def terminal(out) -> Callable[[dict], None]:
@@ -125,33 +168,3 @@ def terminal(out) -> Callable[[dict], None]:
         out.flush()
 
     return show
-
-
-class Background:
-    """A long job in a thread; a second one is refused while it runs. The job gets a function that publishes done, total."""
-
-    def __init__(self) -> None:
-        self._lock, self._thread = threading.Lock(), None
-        self.state: dict = {"name": None, "running": False, "done": 0, "total": 0, "error": None}
-
-    def start(self, name: str, job: Callable[[Callable[[int, int], None]], object]) -> bool:
-        with self._lock:
-            if self.state["running"]:
-                return False
-            self.state = {"name": name, "running": True, "done": 0, "total": 0, "error": None}
-
-        def run() -> None:
-            try:
-                job(lambda done, total: self.state.update(done=done, total=total))
-            except Exception as error:  # told by the state, as nobody waits for the thread
-                self.state["error"] = f"{type(error).__name__}: {error}"
-            finally:
-                self.state["running"] = False
-
-        self._thread = threading.Thread(target=run, daemon=True)
-        self._thread.start()
-        return True
-
-    def join(self, timeout: float | None = None) -> None:
-        if self._thread:
-            self._thread.join(timeout)

@@ -1,9 +1,7 @@
 """Pages, providers, run state, control of a scan, workbooks and the command line."""
 
-import io
 import json
 import threading
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from docrecon import __main__ as cli
 from docrecon import api
 from docrecon.operators import decisions, link, stages, views
 from docrecon.settings import Settings
-from docrecon.sources import pages, runs, text, tree, workbook
+from docrecon.sources import lease, pages, runs, text, tree, workbook
 from docrecon.streaming import control, ingest
 
 BODY = "TAX INVOICE\nApex Traders\nGSTIN: 27AAACA1234B1Z5\nInvoice No: INV/{n}\nInvoice Date: 06-Sep-2022\nTaxable Value Rs. 100.00\nTotal Invoice Value Rs. 118.00\n"
@@ -76,65 +74,6 @@ def test_walk_lists_what_the_file_source_hides(spark, tmp_path):
     assert tree.walk(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_gate():
-    gate = control.Gate()
-    gate.pause()
-    waited = []
-    thread = threading.Thread(target=lambda: (gate.check(), waited.append(True)))
-    thread.start()
-    time.sleep(0.2)
-    assert gate.paused and not waited
-    gate.resume()
-    thread.join(5)
-    assert waited and not gate.paused and gate.paused_seconds() >= 0.2
-    gate.pause()
-    gate.stop()
-    with pytest.raises(control.Stopped):
-        gate.check()
-    assert not gate.paused and gate.stopped
-
-
-def test_status(tmp_path):
-    seen, out = [], io.StringIO()
-    status = control.Status(str(tmp_path / "s.json"), None, (seen.append, control.terminal(out)))
-    status.discovered(0, complete=False)
-    assert seen[-1]["pct"] == 0.0 and seen[-1]["eta_s"] is None
-    status.discovered(10, done=4)
-    status.began -= 10
-    status.finished(3, {"pdfs": 3}, [{"doc_id": "a"}])
-    now = json.loads((tmp_path / "s.json").read_text())
-    assert now["pct"] == 70.0 and now["rate"] == 0.3 and now["eta_s"] == 10 and now["recent"] == [{"doc_id": "a"}] and now["counts"] == {"pdfs": 3}
-    status.end()
-    assert seen[-1]["state"] == "done" and "done" in out.getvalue()
-
-
-def test_a_second_job_is_refused():
-    jobs, go = control.Background(), threading.Event()
-    assert jobs.start("export", lambda told: (told(1, 2), go.wait(5)))
-    assert not jobs.start("export", lambda told: None)
-    time.sleep(0.1)
-    assert jobs.state["done"] == 1 and jobs.state["total"] == 2
-    go.set()
-    jobs.join(5)
-    assert not jobs.state["running"] and jobs.start("bad", lambda told: 1 / 0)
-    jobs.join(5)
-    assert jobs.state["error"].startswith("ZeroDivisionError")
-
-
-def test_a_stopped_scan_is_not_complete(spark, tmp_path):
-    root, _ = make_tree(tmp_path)
-    run, settings = runs.new_run(str(tmp_path / "out"), root), Settings(root=root)
-    gate = control.Gate()
-    gate.stop()
-    assert not ingest.scan(spark, run, root, reader(), settings, gate=gate)
-    assert not runs.read_meta(run)["complete"] and runs.read_meta(run)["busy"] is None
-    status = control.Status(str(tmp_path / "s.json"))
-    assert ingest.scan(spark, run, root, reader(), settings, max_files=1, status=status) and runs.read_meta(run)["complete"]
-    last = json.loads((tmp_path / "s.json").read_text())
-    assert last["state"] == "done" and last["counts"]["invoices"] == 3 and len(last["recent"]) == 3
-    assert api.load(spark, run).count() == 3
-
-
 def test_run_state(spark, tmp_path):
     run = runs.new_run(str(tmp_path), "/tree")
     one, two = spark.range(1).withColumn("source_key", F.lit("a")), spark.range(2).withColumn("source_key", F.lit("b"))
@@ -143,14 +82,19 @@ def test_run_state(spark, tmp_path):
         api.save(df, run)
         assert api.load(spark, run).count() == df.count()
     assert len([p for p in (tmp_path / run).iterdir() if p.name.startswith("snapshot-")]) == 2
-    with runs.busy(run, "export"):
-        with pytest.raises(RuntimeError):
+    with lease.Lease(run, "export"):
+        with pytest.raises(lease.Busy):
             api.decide(spark, run, "approve", "a")
-        with pytest.raises(RuntimeError), runs.busy(run, "scan"):
+        with pytest.raises(lease.Busy), lease.Lease(run, "scan"):
             pass
     assert api.decide(spark, run, "confirm", "a", json.dumps({"total_value": "12x", "taxable_value": "1,000.5"})) == ["total_value"]
     numbers = []
-    threads = [threading.Thread(target=lambda: numbers.append(runs.next_number(run, "n"))) for _ in range(8)]
+
+    def edit():
+        with lease.edited(run, "n") as number:
+            numbers.append(number)
+
+    threads = [threading.Thread(target=edit) for _ in range(8)]
     [t.start() for t in threads], [t.join() for t in threads]
     assert sorted(numbers) == list(range(1, 9))
     book = tmp_path / "r.xlsx"
@@ -216,3 +160,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     cli.main([*out, "export"])
     said = capsys.readouterr().out
     assert " complete" in said and "FY 22-23" in said and "export" in said
+    with pytest.raises(SystemExit, match="FY 22-23"):
+        cli.main([*out, "scan", "--root", root, "--fy", "FY 23-24", "--provider", "tests.test_runs:read", "--quiet"])
+    cli.main([*out, "gate", "stop"])
+    assert control.Gate(runs.latest_run(str(tmp_path / "out")) + "/gate").state == "stopped"
