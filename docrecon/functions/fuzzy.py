@@ -2,8 +2,7 @@
 
 The subsequence comes from the bit-parallel recurrence: one long integer holds the dynamic programme's row for the
 shorter string, and each character of the longer one is a few operations on it. Strings longer than the integer take the
-row as an array. ``lcs_pairs`` and ``token_set_ratios`` do the same for all pairs of two lists of normalised names at once,
-in vectors, for tasks that compare a block of queries with what they scan.
+row as an array. ``lcs_pairs`` does the same for many pairs at once, in vectors.
 """
 
 from __future__ import annotations
@@ -106,13 +105,14 @@ def name_scores(a: Column, b: Column) -> Column:
         known: dict[tuple, float | None] = {}
         for pair in zip(a, b, strict=True):
             if pair not in known:
-                known[pair] = None if None in pair else _name_score(*pair)
+                known[pair] = None if None in pair else name_score_of(*pair)
         return pd.Series([known[pair] for pair in zip(a, b, strict=True)], dtype="float64")
 
     return scores(a, b)
 
 
-def _name_score(a: str, b: str) -> float:
+def name_score_of(a: str, b: str) -> float:
+    """``name_score`` of two strings."""
     if not a or not b:
         return 0.0
     if a == b:
@@ -166,50 +166,3 @@ def lcs_pairs(left: list[str], right: list[str], x: np.ndarray, y: np.ndarray) -
     for p in np.flatnonzero(n[x] > BITS):
         out[p] = _common(left[x[p]], right[y[p]])
     return out
-
-
-def token_set_ratios(left: list[str], right: list[str], floor: float) -> np.ndarray:
-    """``token_set_ratio`` of all pairs of two lists of normalised names; below ``floor`` it may be less than that.
-
-    Shared words and the letters that the others can have in common come from products of matrices. Only pairs that
-    these let reach the floor have their subsequences taken.
-    """
-    bags = [[list(dict.fromkeys(w for w in s.split(" ") if w)) for s in side] for side in (left, right)]
-    words = {w: k for k, w in enumerate(dict.fromkeys(w for side in bags for bag in side for w in bag))}
-    sizes = np.array([len(w) for w in words] or [0], np.float32)
-    letters = sorted({ch for w in words for ch in w})
-    marks, own, spelled = [], [], []
-    for side in bags:
-        mark = np.zeros((len(side), len(sizes)), np.float32)
-        for i, bag in enumerate(side):
-            mark[i, [words[w] for w in bag]] = 1
-        marks.append(mark)
-        own.append((mark @ sizes, mark.sum(axis=1)))
-        spelled.append(np.array([[sum(w.count(ch) for w in bag) for ch in letters] for bag in side], np.int32).reshape(len(side), len(letters)))
-    count = marks[0] @ marks[1].T
-    inside = (marks[0] * sizes) @ marks[1].T
-    gap = (count > 0).astype(np.int64)
-    base = (inside + count - gap).astype(np.int64)
-    rest = []  # letters and words that one name has alone, and the length of these words joined
-    for k, expand in ((0, lambda v: v[:, None]), (1, lambda v: v[None, :])):
-        n = expand(own[k][1]) - count
-        rest.append((expand(own[k][0]) - inside + np.maximum(n - 1, 0)).astype(np.int64))
-    shared_letters = sum((np.minimum(spelled[0][:, k, None], spelled[1][None, :, k]) for k in range(len(letters))), np.zeros(count.shape, np.int32))
-    spaces = np.maximum(np.minimum(own[0][1][:, None], own[1][1][None, :]) - count - 1, 0)
-    whole = np.maximum(2 * (base + gap) + rest[0] + rest[1], 1)
-    most = 100.0 * (1.0 - (rest[0] + rest[1] - 2 * np.minimum(shared_letters - inside + spaces, np.minimum(*rest))) / whole)
-    x, y = np.nonzero((most >= floor - 1e-6) & (rest[0] > 0) & (rest[1] > 0))
-    sets = [[set(bag) for bag in side] for side in bags]
-    alone: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    at = np.zeros((2, len(x)), np.int64)
-    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
-        a, b = sets[0][i], sets[1][j]
-        at[0, k] = alone[0].setdefault(" ".join(sorted(a - b)), len(alone[0]))
-        at[1, k] = alone[1].setdefault(" ".join(sorted(b - a)), len(alone[1]))
-    common = np.zeros(count.shape, np.int64)
-    common[x, y] = lcs_pairs(list(alone[0]), list(alone[1]), at[0], at[1])
-    best = 100.0 * (1.0 - (rest[0] + rest[1] - 2 * common) / whole)
-    for part in rest:
-        best = np.maximum(best, np.where(gap > 0, 200.0 * base / np.maximum(2 * base + gap + part, 1), 0.0))
-    best = np.where((gap > 0) & ((rest[0] == 0) | (rest[1] == 0)), 100.0, best)
-    return np.where((own[0][1][:, None] == 0) | (own[1][1][None, :] == 0), 0.0, best)

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import islice
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrecon.functions.fuzzy import lcs, partial_ratio, ratio, token_set_ratios
+from docrecon.functions.fuzzy import lcs, name_score_of, name_scores, partial_ratio, ratio
 from docrecon.functions.norm import company_name, search_key
+from docrecon.operators.nearest import nearest_numbers
 from docrecon.settings import FOLDER_CUTOFF, LITERAL_BONUS, PARTIAL_SHADE, SEARCH_CUTOFF, SHORT_TOKEN, TOKEN_CUTOFF
+from docrecon.sources.shared import snapshot
 
-#: Suppliers that a task compares with folders at once.
-BLOCK = 2048
+#: Words of a name up to which all sets of them are looked at, and floors of likeness in a search for names.
+WORDS, NAME_LADDER = 6, ((88, 2), (78, 2), (70, 2))
 
 
 def haystack() -> Column:
@@ -116,55 +116,73 @@ def browse_files(docs: DataFrame, prefix: Sequence[str] = (), include_hidden: bo
     return _under(docs, prefix, include_hidden).filter(F.size("rel_parts") <= depth + 1).orderBy(F.lower("filename"), "doc_id")
 
 
+def name_words(c: Column) -> Column:
+    """The distinct words of a company's normalised name in order; names of the same words score alike."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(company_name(c), " "), lambda w: w != "")))
+
+
 def folder_scores(suppliers: DataFrame, folders: DataFrame, limit: int | None = 3) -> DataFrame:
     """supplier, place, name, score: of each supplier the folders whose names are alike enough, best first, ``limit`` of them.
 
-    Every supplier is compared with every folder, names that normalise alike as one. Suppliers are a query set: they are
-    held by the tasks in blocks of ``BLOCK`` names, and folders are scanned where they lie. A block's pairs are compared
-    in vectors, and of each task only the best ``limit`` folders a supplier are handed on, so nothing grows with the
-    product of both tables but the comparisons themselves.
+    A score is the best of three, and each has its way to the pairs that can have it. Likeness of the letters is found as
+    that of numbers is. A supplier that consists for the most part of the words that it shares scores alike with all
+    folders that hold these words, so the first of them stand for all; and of the folders that consist of them for the
+    most part those with the least beside stand for the others. Both meet under sets of words; names of more words than
+    ``WORDS`` meet all that share a word with them.
     """
-    want = suppliers.select("supplier", company_name(F.col("supplier")).alias("_a")).filter("_a != ''").distinct()
-    have = folders.select("name", company_name(F.col("name")).alias("_b")).filter("_b != ''").distinct()
-    order = [F.desc("score"), F.lower("name"), "name"]
-    names = have.groupBy("_b").agg(F.min(F.lower("name")).alias("_first"))
-    found = None
-    for block in _blocks(want.select("_a").distinct().orderBy("_a").toLocalIterator(), BLOCK):
-        more = names.mapInArrow(_liken([r["_a"] for r in block], limit), "_a string, _b string, score double")
-        found = more if found is None else found.unionByName(more)
-    if found is None:
-        return suppliers.select("supplier", F.lit(1).alias("place"), F.lit("").alias("name"), F.lit(0.0).alias("score")).limit(0)
-    if limit is not None:  # of what the tasks hand on; a normalised name has a folder at least
+    most = limit if limit is not None else (1 << 31) - 1
+    want = snapshot(suppliers.select("supplier", name_words(F.col("supplier")).alias("words")).filter("size(words) > 0").distinct().withColumn("_a", F.array_join("words", " ")), "suppliers")
+    have = snapshot(folders.select("name", name_words(F.col("name")).alias("words")).filter("size(words) > 0").distinct().withColumn("_b", F.array_join("words", " ")), "folders")
+    asked = want.groupBy("_a").agg(F.first("words").alias("words"))
+    names = have.groupBy("_b").agg(F.first("words").alias("words"), F.min(F.lower("name")).alias("_first"))
+    queries = asked.select(F.lit("").alias("scope"), F.col("_a").alias("n"), F.lit(0.0).alias("more"), F.lit(int(10 * FOLDER_CUTOFF)).cast("long").alias("least"))
+    items = names.select(F.lit("").alias("scope"), F.col("_b").alias("number"), F.col("_first").alias("first"))
+    alike = nearest_numbers(queries, items, most, _name_tenths, 1.0, NAME_LADDER).select(F.col("n").alias("_a"), F.col("number").alias("_b"))
+    pairs = snapshot(alike.unionByName(_by_words(asked, names, most)).distinct(), "name-pairs")
+    scored = pairs.withColumn("score", name_scores(F.col("_a"), F.col("_b"))).filter(F.round("score", 9) >= FOLDER_CUTOFF)
+    found = scored.withColumn("score", F.floor(F.col("score") * 10 + 0.5) / 10)
+    if limit is not None:  # a normalised name has a folder at least
         best = Window.partitionBy("_a").orderBy(F.desc("score"), "_first", "_b")
-        found = found.join(names, "_b").withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= limit).drop("_nth", "_first")
-    pairs = found.join(want, "_a").join(have, "_b").select("supplier", "name", "score")
-    placed = pairs.withColumn("place", F.row_number().over(Window.partitionBy("supplier").orderBy(*order)))
+        found = found.join(names.drop("words"), "_b").withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= limit).drop("_nth", "_first")
+    each = found.join(want.drop("words"), "_a").join(have.drop("words"), "_b").select("supplier", "name", "score")
+    placed = each.withColumn("place", F.row_number().over(Window.partitionBy("supplier").orderBy(F.desc("score"), F.lower("name"), "name")))
     return (placed.filter(F.col("place") <= limit) if limit is not None else placed).select("supplier", "place", "name", "score")
 
 
-def _blocks(rows: Iterator, size: int) -> Iterator[list]:
-    while block := list(islice(rows, size)):
-        yield block
+def _name_tenths(left: list[str], right: list[str], x: np.ndarray, y: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Scores of pairs of names in tenths, 0 below the cut-off."""
+    pairs, where = np.unique(x * len(right) + y, return_inverse=True)
+    scores = np.array([name_score_of(left[k // len(right)], right[k % len(right)]) for k in pairs.tolist()] or [0.0])
+    return np.where(np.round(scores, 9) >= FOLDER_CUTOFF, np.floor(scores * 10 + 0.5), 0).astype(np.int64)[where.ravel()]
+
+
+def _subsets(df: DataFrame) -> DataFrame:
+    """``df`` with a row for each set of words of its names, as ``shared``, and ``beside``, the length of the other words."""
+    step = lambda sets, w: F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(w))))
+    sets = F.aggregate("words", F.array(F.array().cast("array<string>")), step)
+    each = df.filter(F.size("words") <= WORDS).withColumn("set", F.explode(sets)).filter("size(set) > 0")
+    return each.withColumns({"shared": F.array_join("set", " "), "beside": F.length(F.array_join(F.array_except("words", "set"), " "))})
+
+
+def _mostly(shared: Column, beside: Column) -> Column:
+    """Whether the shared words make up a score by themselves: 200 n / (2 n + 1 + beside) at the cut-off, or nothing beside."""
+    return (beside == 0) | (200 * F.length(shared) >= FOLDER_CUTOFF * (2 * F.length(shared) + 1 + beside))
 
 
-def _liken(queries: list[str], limit: int | None):
-    """A scan of folder names (_b, _first) that gives _a, _b, score of the pairs at ``FOLDER_CUTOFF`` or more."""
+def _by_words(asked: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """_a, _b: pairs whose shared words alone may reach the cut-off; of those that score alike by them the first ``most``."""
+    a, b = _subsets(asked).select("_a", "shared", "beside"), _subsets(names).select("_b", "_first", "shared", "beside")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple]] = [[] for _ in queries]
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                piece = batch.slice(low, 512)
-                names, firsts = piece.column("_b").to_pylist(), piece.column("_first").to_pylist()
-                scores = token_set_ratios(queries, names, FOLDER_CUTOFF)
-                for q, n in zip(*np.nonzero(np.round(scores, 9) >= FOLDER_CUTOFF), strict=True):
-                    held[q].append((-np.floor(scores[q, n] * 10 + 0.5) / 10, firsts[n], names[n]))
-                if limit is not None:
-                    held = [sorted(h)[:limit] if len(h) > limit else h for h in held]
-        rows = [(q, name, -score) for q, h in zip(queries, held, strict=True) for score, _, name in h]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["_a", "_b", "score"])
+    def leading(df: DataFrame, *order: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("shared").orderBy(*order))
+        return df.withColumn("_nth", nth).filter(F.col("_nth") <= most).select("shared", "_b")
 
-    return run
+    heavy = _mostly(F.col("shared"), F.col("beside"))
+    found = a.filter(heavy).join(leading(b, "_first", "_b"), "shared").select("_a", "_b")
+    found = found.unionByName(a.join(leading(b.filter(heavy), "beside", "_first", "_b"), "shared").select("_a", "_b"))
+    long_ = F.size("words") > WORDS
+    each = lambda df, c: df.select(c, F.explode("words").alias("word"))
+    return found.unionByName(each(asked.filter(long_), "_a").join(each(names, "_b"), "word").select("_a", "_b")).unionByName(each(asked, "_a").join(each(names.filter(long_), "_b"), "word").select("_a", "_b"))
 
 
 def suggest_folders(supplier: str, docs: DataFrame, limit: int = 3, prefix: Sequence[str] = ()) -> DataFrame:

@@ -6,21 +6,16 @@ documents. Matching is pure: run it again on changed documents or decisions. All
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrecon.functions.fuzzy import lcs_pairs, ratio
+from docrecon.functions.fuzzy import ratio
 from docrecon.functions.norm import blank_to_null, gstin_key, invoice_key, reference_name, supplier_key
 from docrecon.operators.corpus import invoices
+from docrecon.operators.nearest import alike, nearest_numbers
+from docrecon.sources.shared import snapshot
 
 UNRESOLVED = ("not_found", "ambiguous")
-#: Rows that a task compares with invoices at once.
-BLOCK = 2048
 MANUAL, SKIPPED, MISSING = "row int, bound_doc string", "supplier_key string", "row int"
 
 
@@ -126,57 +121,43 @@ def _scored(df: DataFrame) -> DataFrame:
 def suggest_bulk(rows: DataFrame, docs: DataFrame, limit: int = 5) -> DataFrame:
     """row, place, doc_id, score: the nearest of all invoices for many rows at once.
 
-    The rows are a query set: tasks hold them in blocks of ``BLOCK``, and invoices are scanned where they lie. A task
-    compares a block with some invoices at a time in vectors and hands on the best ``limit`` of each row.
+    Distinct numbers are asked, among the invoices of the row's tax id and then among all; the second search stops at what
+    the first has found. An invoice has two numbers at most, so the invoices of the best ``2 * limit`` numbers hold the
+    best ``limit``, and of the invoices of one number those with the first ids do. These few are scored.
     """
     lacking = (F.coalesce("invoice_id", F.lit("")) == "") & (F.coalesce("invoice_no_content", F.lit("")) == "") & (F.coalesce("vendor_gstin", F.lit("")) == "")
     keyed = invoices(docs).filter(~lacking).select("doc_id", gstin_key(F.col("vendor_gstin")).alias("g"), invoice_key(F.col("invoice_id")).alias("n1"), invoice_key(F.col("invoice_no_content")).alias("n2"))
-    want = rows.select("row", gstin_key(F.col("gstin")).alias("g"), invoice_key(F.col("invoice_no")).alias("n")).orderBy("row")
-    found = None
-    for block in _blocks(want.toLocalIterator(), BLOCK):
-        more = keyed.mapInArrow(_nearest(block, limit), "row int, doc_id string, score double")
-        found = more if found is None else found.unionByName(more)
-    if found is None:
-        return rows.select("row", F.lit(1).alias("place"), F.lit("").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    best = Window.partitionBy("row").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select("row", "place", "doc_id", "score")
-
-
-def _blocks(rows: Iterator, size: int) -> Iterator[list]:
-    while block := list(islice(rows, size)):
-        yield block
-
-
-def _nearest(block: list, limit: int):
-    """A scan of invoices (doc_id, g, n1, n2) that gives the best ``limit`` of each row (row, g, n) of the block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {n: i for i, n in enumerate(dict.fromkeys(r["n"] for r in block))}
-        place = np.array([numbers[r["n"]] for r in block])
-        ids = {g: i for i, g in enumerate(dict.fromkeys(r["g"] for r in block if r["g"]))}
-        own = np.array([ids.get(r["g"], -1) for r in block])
-        held: list[list[tuple]] = [[] for _ in block]
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                piece = batch.slice(low, 1024).to_pydict()
-                other = {n: i for i, n in enumerate(dict.fromkeys([*piece["n1"], *piece["n2"]]))}
-                x, y = (v.ravel() for v in np.indices((len(numbers), len(other))))
-                length = [np.array([len(s) for s in side]) for side in (numbers, other)]
-                alike = 200.0 * lcs_pairs(list(numbers), list(other), x, y).reshape(len(numbers), len(other)) / np.maximum(length[0][:, None] + length[1], 1)
-                alike[:, length[1] == 0] = 0.0
-                number = np.maximum(*(alike[:, [other[n] for n in piece[c]]] for c in ("n1", "n2")))
-                same = own[:, None] == np.array([ids.get(g, -2) for g in piece["g"]])
-                score = np.floor((0.75 * number[place] + np.where(same, 25.0, 0.0)) * 10 + 0.5).astype(np.int64)
-                order = np.argsort(np.array(piece["doc_id"], object), kind="stable")  # of equal scores the first id
-                rank = score[:, order] * len(order) + np.arange(len(order))[::-1]
-                top = np.argpartition(-rank, min(limit, len(order)) - 1, axis=1)[:, :limit]
-                for r, cols in enumerate(order[top].tolist()):
-                    new = [(-int(score[r, c]), piece["doc_id"][c]) for c in cols if score[r, c] > 0]
-                    held[r] = sorted(held[r] + new)[:limit]
-        out = [(r["row"], doc, -s / 10) for r, h in zip(block, held, strict=True) for s, doc in h]
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.float64()))], ["row", "doc_id", "score"])
-
-    return run
+    keyed = snapshot(keyed, "invoices")
+    want = snapshot(rows.select("row", gstin_key(F.col("gstin")).alias("g"), invoice_key(F.col("invoice_no")).alias("n")), "rows")
+    numbers = keyed.select("doc_id", "g", F.explode(F.array_distinct(F.array("n1", "n2"))).alias("number")).filter("number != ''")
+    items = numbers.filter("g != ''").groupBy(F.col("g").alias("scope"), "number").agg(F.min("doc_id").alias("first"))
+    own = want.filter("g != '' AND n != ''").select(F.col("g").alias("scope"), "n").distinct().withColumns({"more": F.lit(25.0), "least": F.lit(1).cast("long")})
+    near = snapshot(nearest_numbers(own, items, 2 * limit).select("scope", "n", "number"), "near-own")
+    firsts = _first_ids(numbers.filter("g != ''").select(F.col("g").alias("scope"), "number", "doc_id"), ["scope", "number"], limit)
+    by_id = want.join(_first_ids(keyed.filter("g != ''").select("g", "doc_id"), ["g"], limit), "g").select("row", "doc_id")
+    by_own = want.join(near, (F.col("g") == F.col("scope")) & (want["n"] == near["n"])).select("row", "scope", "number").join(firsts, ["scope", "number"]).select("row", "doc_id")
+    held = snapshot(_scored_pairs(by_id.unionByName(by_own).distinct(), want, keyed, limit), "suggested")
+    floors = want.filter("n != ''").join(held.filter(F.col("place") == limit).select("row", F.col("tenths").alias("least")), "row", "left")
+    everywhere = floors.groupBy("n").agg(F.min(F.coalesce("least", F.lit(1))).cast("long").alias("least")).withColumns({"scope": F.lit(""), "more": F.lit(0.0)})
+    items = numbers.groupBy("number").agg(F.min("doc_id").alias("first")).withColumn("scope", F.lit(""))
+    near = nearest_numbers(everywhere, items, 2 * limit).select("n", "number")
+    by_any = want.select("row", "n").join(near, "n").join(_first_ids(numbers.select("number", "doc_id"), ["number"], limit), "number").select("row", "doc_id")
+    every = _scored_pairs(by_any.unionByName(held.select("row", "doc_id")).distinct(), want, keyed, limit)
+    return every.select("row", "place", "doc_id", (F.col("tenths") / 10).alias("score"))
+
+
+def _first_ids(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The rows of the first ``limit`` ids of each key; Spark limits the groups before it shuffles them."""
+    return df.distinct().withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id"))).filter(F.col("_nth") <= limit).drop("_nth")
+
+
+def _scored_pairs(pairs: DataFrame, want: DataFrame, keyed: DataFrame, limit: int) -> DataFrame:
+    """row, doc_id, tenths, place: the best of the pairs (row, doc_id) by their scores, those of no score left out."""
+    both = pairs.join(want, "row").join(keyed.withColumnRenamed("g", "_g"), "doc_id")
+    more = F.when((F.col("g") != "") & (F.col("g") == F.col("_g")), 25.0).otherwise(0.0)
+    scored = both.withColumn("tenths", F.greatest(alike(F.col("n"), F.col("n1"), more), alike(F.col("n"), F.col("n2"), more))).filter("tenths > 0")
+    order = Window.partitionBy("row").orderBy(F.desc("tenths"), "doc_id")
+    return scored.select("row", "doc_id", "tenths").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
 def row_candidates(plan: DataFrame, docs: DataFrame) -> DataFrame:
