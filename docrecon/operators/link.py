@@ -25,14 +25,14 @@ def match_index(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(numbers).alias("number"), gstin_key(F.col("vendor_gstin")).alias("gstin"), "confidence")
 
 
-def candidates(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, index: DataFrame) -> DataFrame:
     """row, copies, ids (distinct tax ids), best, candidates (sorted): the invoices of a row's tax id and number, or of its
     number alone if there are none.
 
     Invoices are gathered by their keys first, so each join finds one row at most: a number that many rows and many
     invoices share (a short one) makes no pairs. Only rows that the exact tier leaves over look at the second.
     """
-    keys = match_index(docs).select("doc_id", F.col("number").alias("n"), F.col("gstin").alias("k"), "confidence")
+    keys = index.select("doc_id", F.col("number").alias("n"), F.col("gstin").alias("k"), "confidence")
     gathered = [F.count("*").alias("copies"), F.count_distinct(blank_to_null(F.col("k"))).alias("ids"), F.max_by("doc_id", F.struct("confidence", "doc_id")).alias("best"), F.array_sort(F.collect_list("doc_id")).alias("candidates")]
     wanted = rows.select("row", gstin_key(F.col("gstin")).alias("g"), invoice_key(F.col("invoice_no")).alias("n")).filter("n != ''")
     by_both = keys.filter("k != ''").withColumn("g", F.col("k")).groupBy("n", "g").agg(*gathered)
@@ -44,7 +44,12 @@ def candidates(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def outcomes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows with status, doc_id, candidates (sorted) and copies, without decisions."""
-    out = rows.join(candidates(rows, docs), "row", "left")
+    return outcomes_of(rows, match_index(docs))
+
+
+def outcomes_of(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """The same from a match index."""
+    out = rows.join(candidates(rows, index), "row", "left")
     unclear = (F.col("copies") > 1) & (F.col("ids") > 1)
     status = F.when(F.col("copies").isNull(), "not_found").when(unclear, "ambiguous").otherwise("matched")
     few = F.when(F.col("copies") > 1, F.col("candidates")).otherwise(F.array().cast("array<string>"))
@@ -57,11 +62,18 @@ def match(rows: DataFrame, docs: DataFrame, manual: DataFrame | None = None, ski
     ``manual`` (row, bound_doc) wins wherever its document is an invoice now; ``missing`` (row), rows that a reviewer found
     no document for, comes next; then ``skipped`` (supplier). The latter two only touch rows that are unresolved.
     """
-    spark = rows.sparkSession
     found = invoices(docs)
-    plan = outcomes(rows, found)
-    manual = manual if manual is not None else spark.createDataFrame([], MANUAL)
-    valid = manual.join(found.select(F.col("doc_id").alias("bound_doc")).distinct(), "bound_doc", "left_semi").groupBy("row").agg(F.max("bound_doc").alias("bound_doc"))
+    manual = manual if manual is not None else rows.sparkSession.createDataFrame([], MANUAL)
+    return resolve(outcomes(rows, found), valid_links(manual, found), missing, skipped)
+
+
+def valid_links(manual: DataFrame, found: DataFrame) -> DataFrame:
+    """row, bound_doc of the bindings whose documents are among the invoices ``found``."""
+    return manual.join(found.select(F.col("doc_id").alias("bound_doc")).distinct(), "bound_doc", "left_semi").groupBy("row").agg(F.max("bound_doc").alias("bound_doc"))
+
+
+def resolve(plan: DataFrame, valid: DataFrame, missing: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """Outcomes with the decisions about their rows, in the order that ``match`` tells."""
     plan = plan.join(valid, "row", "left")
     bound = F.col("bound_doc").isNotNull()
     none = F.array().cast("array<string>")

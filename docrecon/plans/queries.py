@@ -53,8 +53,9 @@ def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The plan, matched once and kept as a run keeps it, and the documents."""
     docs = processed(spark, sf_dir)
-    return link.match(returned(spark, sf_dir), docs), docs
+    return snapshot_once(spark, f"plan {sf_dir}", lambda: link.match(returned(spark, sf_dir), docs)), docs
 
 
 def classify_docs(spark, sf_dir):
@@ -116,7 +117,7 @@ def match_index(spark, sf_dir):
 
 
 def match_rows(spark, sf_dir):
-    plan, _ = _plan(spark, sf_dir)
+    plan = link.match(returned(spark, sf_dir), processed(spark, sf_dir))
     return plan.select("row", "status", "doc_id", F.array_join("candidates", ",").alias("candidates"))
 
 
