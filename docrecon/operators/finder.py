@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -56,26 +57,35 @@ def token_scores(words: Sequence[str], posts: DataFrame) -> DataFrame:
     return found
 
 
+def query_words(query: str) -> tuple[str, list[str]]:
+    """A query normalised as what it is held against, and its words."""
+    key = re.sub("[^a-z0-9]+", " ", query.lower()).strip()
+    return key, key.split()
+
+
+def searched(docs: DataFrame, invoices_only: bool, include_hidden: bool) -> DataFrame:
+    """The documents that a search looks at."""
+    pool = docs.filter("doc_type = 'invoice'") if invoices_only else docs
+    return pool if include_hidden else pool.filter("NOT hidden")
+
+
+def ranked(pool: DataFrame, key: str, means: DataFrame, limit: int | None) -> DataFrame:
+    """doc_id, score, doc_type of the documents whose mean (doc_id, mean) is high enough, best first."""
+    hits = means.filter(F.col("mean") >= SEARCH_CUTOFF).join(pool.select("doc_id", "doc_type", haystack().alias("hay")), "doc_id")
+    score = F.when(F.contains("hay", F.lit(key)), F.least(F.lit(100.0), F.col("mean") + LITERAL_BONUS)).otherwise(F.col("mean"))
+    out = hits.select("doc_id", F.round(score, 1).alias("score"), "doc_type").orderBy(F.desc("score"), F.col("doc_type") != "invoice", "doc_id")
+    return out.limit(limit) if limit is not None else out
+
+
 def search(docs: DataFrame, query: str, limit: int | None = 20, invoices_only: bool = False, include_hidden: bool = False) -> DataFrame:
     """doc_id, score, doc_type: documents by the mean of how well they answer each word of the query, best first."""
-    import re
-
-    key = re.sub("[^a-z0-9]+", " ", query.lower()).strip()
-    words = key.split()
+    key, words = query_words(query)
     if not words:
         return docs.select("doc_id", F.lit(0.0).alias("score"), "doc_type").limit(0)
-    pool = docs
-    if invoices_only:
-        pool = pool.filter("doc_type = 'invoice'")
-    if not include_hidden:
-        pool = pool.filter("NOT hidden")
+    pool = searched(docs, invoices_only, include_hidden)
     posts = postings(pool)
     per_word = token_scores(words, posts).join(posts, "token").groupBy("doc_id", "pos").agg(F.max("s").alias("s"))
-    means = per_word.groupBy("doc_id").agg((F.sum("s") / len(words)).alias("mean")).filter(F.col("mean") >= SEARCH_CUTOFF)
-    hits = means.join(pool.select("doc_id", "doc_type", haystack().alias("hay")), "doc_id")
-    score = F.when(F.contains("hay", F.lit(key)), F.least(F.lit(100.0), F.col("mean") + LITERAL_BONUS)).otherwise(F.col("mean"))
-    out = hits.select("doc_id", F.round(score, 1).alias("score"), "doc_type").orderBy(F.desc("score"), F.col("doc_type") != "invoice", "doc_id")
-    return out.limit(limit) if limit is not None else out
+    return ranked(pool, key, per_word.groupBy("doc_id").agg((F.sum("s") / len(words)).alias("mean")), limit)
 
 
 def grep(docs: DataFrame, query: str, include_hidden: bool = False) -> DataFrame:

@@ -317,10 +317,12 @@ ORACLES = {
     "browse_prefix": f"{_DOCS} SELECT parts[4] AS name, count(*) AS pdfs, count_if(doc_type = 'invoice')::BIGINT AS invoices FROM docs WHERE parts[1:3] = ['FY 95-96', 'Payments', 'Kotak'] AND len(parts) > 4 GROUP BY 1",
     "browse_files": f"{_DOCS} SELECT k, filename FROM docs WHERE parts[1:3] = ['FY 95-96', 'Payments', 'Kotak']",
     "tallies": f"""{_DOCS} SELECT count(*) AS pdfs, count_if(doc_type = 'invoice')::BIGINT AS invoices, count_if(doc_type = 'approval')::BIGINT AS approvals, count_if(source = 'ocr')::BIGINT AS ocr, count_if(len(flags) > 0)::BIGINT AS flagged, 0::BIGINT AS errors FROM docs""",
-    "picker_hits": f"""{_DOCS} SELECT doc_id AS id, array_to_string(folders, '/') AS folder, array_to_string(parts, '/') AS rel, invoice_id, vendor_gstin AS gstin, vendor_name_pdf AS vendor, invoice_date AS date, total_value AS amount, company,
+    "picker_hits": f"""{_DOCS} SELECT doc_id AS id, filename, array_to_string(folders, '/') AS folder, array_to_string(parts, '/') AS rel, invoice_id, vendor_gstin AS gstin, vendor_name_pdf AS vendor, invoice_date AS date, total_value AS amount, company,
         doc_type = 'invoice' AS is_invoice, doc_type, false AS hidden FROM docs""",
     "report_not_found": f"{_PLAN} SELECT row, gstin, invoice_no FROM plan WHERE status = 'not_found'",
     "report_ambiguous": f"{_PLAN} SELECT row, gstin, invoice_no, len(string_split(candidates, ',')) AS candidates FROM plan WHERE status = 'ambiguous'",
+    "report_skipped": f"{_DECIDED} SELECT row, gstin, invoice_no, supplier FROM final WHERE status = 'skipped'",
+    "report_manual_not_found": f"{_DECIDED} SELECT row, gstin, invoice_no, supplier FROM final WHERE status = 'manual_not_found'",
     "search_top": f"SELECT *, row_number() OVER (ORDER BY score DESC, doc_type <> 'invoice', doc_id) AS place FROM ({_search()}) QUALIFY place <= 20",
     "browse_deep": f"{_DOCS} SELECT parts[4] AS name, count(*) AS pdfs, count_if(doc_type = 'invoice')::BIGINT AS invoices FROM docs WHERE len(parts) > 4 GROUP BY 1",
     "folder_suggest": _FOLDERS,

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from docrecon.functions.fuzzy import name_score
 from docrecon.functions.norm import company_name, reference_name
-from docrecon.operators import corpus, decisions, finder, link, stages, views
+from docrecon.operators import corpus, decisions, finder, index, link, stages, views
 from docrecon.plans import fixtures
 from docrecon.settings import Settings
 from docrecon.sources import runs, text
-from docrecon.sources.shared import snapshot_once
+from docrecon.sources.shared import folder_once, snapshot_once
 from docrecon.streaming.ingest import running_tally
 
 SETTINGS = Settings(root=fixtures.ROOT)
@@ -186,7 +186,8 @@ def token_search(spark, sf_dir):
 
 
 def search_top(spark, sf_dir):
-    best = finder.search(processed(spark, sf_dir), QUERY, limit=20)
+    docs = processed(spark, sf_dir)
+    best = index.search(docs, folder_once(spark, f"index {sf_dir}", lambda path: index.add(docs, path)), QUERY, limit=20)
     order = Window.orderBy(F.desc("score"), F.col("doc_type") != "invoice", "doc_id")  # of the 20 rows that are left
     return best.withColumn("place", F.row_number().over(order))
 
@@ -213,7 +214,7 @@ def tallies(spark, sf_dir):
 
 
 def picker_hits(spark, sf_dir):
-    return views.hits(processed(spark, sf_dir)).select("id", "folder", "rel", "invoice_id", "gstin", "vendor", "date", "amount", "company", "is_invoice", "doc_type", "hidden")
+    return views.hits(processed(spark, sf_dir)).select("id", "filename", "folder", "rel", "invoice_id", "gstin", "vendor", "date", "amount", "company", "is_invoice", "doc_type", "hidden")
 
 
 def report_not_found(spark, sf_dir):
@@ -224,6 +225,20 @@ def report_ambiguous(spark, sf_dir):
     return link.report_sections(*_plan(spark, sf_dir))["ambiguous"]
 
 
+def _final(spark, sf_dir):
+    """The plan with all kinds of decisions, likewise, and the documents."""
+    rows, docs, now = _decided(spark, sf_dir)
+    return snapshot_once(spark, f"final {sf_dir}", lambda: link.match(rows, docs, decisions.manual_links(now), decisions.skipped_suppliers(now), decisions.missing_rows(now))), docs
+
+
+def report_skipped(spark, sf_dir):
+    return link.report_sections(*_final(spark, sf_dir))["skipped"]
+
+
+def report_manual_not_found(spark, sf_dir):
+    return link.report_sections(*_final(spark, sf_dir))["manual_not_found"]
+
+
 def browse_deep(spark, sf_dir):
     docs = processed(spark, sf_dir).withColumn("rel_parts", F.slice("rel_parts", 4, 9))
     return finder.browse_folders(docs, ())
@@ -287,6 +302,6 @@ QUERIES = {
     for f in (
         classify_docs, parse_fields, vendor_override, path_labels, confidence, vendor_similarity, reconcile_flags, doc_summary, doc_types, canonical_vendor, duplicate_ids, master_sheet, exceptions_sheet,
         match_index, match_rows, match_counts, match_manual, match_skips, unreferenced, stamp_links, suggest_topk, unmatched_by_supplier, row_candidates, ref_names, link_cells, link_report, backfill, postings, token_search, search_top, grep_docs,
-        browse_level, browse_prefix, browse_files, browse_deep, folder_suggest, tallies, picker_hits, report_not_found, report_ambiguous, ledger_lww, ledger_overlay, resume_skip, ocr_lines, bindings, decisions_overlay, next_unresolved, stable_ids,
+        browse_level, browse_prefix, browse_files, browse_deep, folder_suggest, tallies, picker_hits, report_not_found, report_ambiguous, report_skipped, report_manual_not_found, ledger_lww, ledger_overlay, resume_skip, ocr_lines, bindings, decisions_overlay, next_unresolved, stable_ids,
     )
 } | {"running_tally": running_tallies}

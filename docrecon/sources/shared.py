@@ -33,14 +33,19 @@ def snapshot(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def snapshot_once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The snapshot of this name that the application has made already, else a new one."""
+def folder_once(spark: SparkSession, name: str, make: Callable[[str], None]) -> str:
+    """The folder of this name that the application has filled already, else a new one that ``make`` fills."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _kept:
         path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
-        make().write.parquet(path)
+        make(path)
         _kept[key] = path
-    return spark.read.parquet(_kept[key])
+    return _kept[key]
+
+
+def snapshot_once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The snapshot of this name that the application has made already, else a new one."""
+    return spark.read.parquet(folder_once(spark, name, lambda path: make().write.parquet(path)))
 
 
 def forget() -> None:
