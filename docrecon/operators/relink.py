@@ -146,11 +146,13 @@ def relink_decisions(spark: SparkSession, run: str, docs: DataFrame, was: DataFr
 
 
 def clean(run: str) -> int:
-    """Remove versions that the plan no longer stands on, once nobody reads them: how many."""
+    """Remove the versions of buckets that later ones have replaced, while nobody reads or matches: how many."""
     links, gone = read_meta(run).get("links"), 0
     for name, table in (links["tables"] if links else {}).items():
         folder = os.path.join(run, "links", name)
-        for version in set(os.listdir(folder)) - set(table["parts"].values()):
-            shutil.rmtree(os.path.join(folder, version), ignore_errors=True)
-            gone += 1
+        for version in os.listdir(folder):
+            for entry in os.listdir(os.path.join(folder, version)):
+                if entry.startswith("bucket=") and table["parts"].get(entry.removeprefix("bucket=")) != version:
+                    shutil.rmtree(os.path.join(folder, version, entry), ignore_errors=True)
+                    gone += 1
     return gone
