@@ -9,9 +9,11 @@ an unseen token has a class too. Both factors sum to one, hence so do the probab
 Counts cover the whole training side: a task counts its documents, sums are made by token, and a document's rare tokens
 meet their counts in a join. Only the ``HEAD`` most frequent tokens, a bounded table, are held by every task; they save
 most of the join, and whether a token is among them doesn't change a score. The softmax is fitted by synchronous
-distributed gradient steps over all training documents: in each round every task takes steps of its own through its share
-of them, and the tasks' changes, in 16 bits, are averaged by ranges of features on the executors, so that only the
-averages, whose size is fixed, reach the driver.
+gradients. The first, over all training documents, is taken where all classes are as likely, so that it consists of the
+counts of features and classes; its step goes to smoothed log ratios of these counts. Then the documents, dealt to
+``BLOCKS`` by a hash of the text, give a gradient a block, and each a step whose length the feature's count sets. Tasks hand on
+sums by range of features, which are added on the executors, so that only totals of fixed size reach the driver, and how
+the rows are dealt to tasks changes no weight beyond rounding.
 
 Tokens: letters A to Z are lowered, words are runs of anything but space, tab and the line ends 0x0A to 0x0D, and each
 document ends with one end token, which counts like any other.
@@ -38,10 +40,13 @@ from docrecon.llm.shingles import hash_words, located, mix
 from docrecon.llm.storage import bounded, materialize
 
 ALPHA = 0.1
-#: Tokens held by every task; rounds of the fit over all training documents; buckets of features; classes.
-HEAD, ROUNDS, BITS, CLASSES, OWN_CLASSES = 100_000, 1, 14, 32, 8
-#: Features in a range of weights that is averaged as one; tasks of the fit for each core.
-RANGE, FIT_TASKS = 512, 4
+#: Tokens held by every task; blocks of training documents that give a gradient each; buckets of features; classes.
+HEAD, BLOCKS, BITS, CLASSES, OWN_CLASSES = 100_000, 4, 14, 32, 8
+#: Of the first step: the part of the log ratio that each of the features takes, and the tokens that smooth it.
+SHARE, PRIOR = 0.35, 10.0
+#: Features in a range of weights that is summed as one. A task of the fit reads as many partitions as leave ``FIT_TASKS``
+#: tasks for each core, but ``FIT_PARTS`` at most.
+RANGE, FIT_TASKS, FIT_PARTS = 512, 2, 8
 #: Distinct tokens that a counting task holds before it hands them on.
 HELD = 300_000
 END = b"\n"  # no word has a line end in it
@@ -171,67 +176,82 @@ def class_logs(weights: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> np.nda
     return out
 
 
-def steps(weights: np.ndarray, power: np.ndarray, at: np.ndarray, kinds: np.ndarray, size: int = 1024, rate: float = 0.1) -> None:
-    """Gradient steps in place, by batches of tokens, with rates by feature. ``weights`` must be contiguous."""
-    width = weights.shape[1]
-    flat, along, ones = weights.reshape(-1), np.arange(width), np.ones(width, weights.dtype)
+def add_gradient(total: np.ndarray, count: np.ndarray, weights: np.ndarray | None, at: np.ndarray, kinds: np.ndarray, size: int = 4096) -> None:
+    """Add to ``total`` (features by classes) the classes seen less those expected, and to ``count`` the tokens of each
+    feature. Without weights nothing is expected. ``total`` must be contiguous."""
+    width = total.shape[1]
+    flat, along = total.reshape(-1), np.arange(width)
+    for k in range(at.shape[1]):
+        np.add.at(flat, at[:, k].astype(np.int64) * width + kinds, 1.0)
+        np.add.at(count, at[:, k], 1)
+    if weights is None:
+        return
+    ones = np.ones(width, weights.dtype)
     for low in range(0, len(at), size):
-        part, gold = at[low : low + size], kinds[low : low + size]
+        part = at[low : low + size]
         p = _powers(weights, part)
         p /= (p @ ones)[:, None]
-        p[np.arange(len(part)), gold] -= 1
-        square = (p * p) @ ones / width
+        lost = -p.astype(np.float64).ravel()
         for k in range(part.shape[1]):
-            np.add.at(power, part[:, k], square)
-        for k in range(part.shape[1]):
-            rows = part[:, k].astype(np.int64)
-            change = p * (-rate / np.sqrt(np.take(power, rows)))[:, None]
-            np.add.at(flat, (rows[:, None] * width + along).ravel(), change.ravel())
+            np.add.at(flat, (part[:, k].astype(np.int64)[:, None] * width + along).ravel(), lost)
 
 
-def fit_weights(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the softmax: features by classes, from all training documents."""
+def gradient(train: DataFrame, own: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """``add_gradient`` over all rows of ``train`` (text)."""
     size = (len(_SKIPS) << BITS, CLASSES)
-    weights = np.zeros(size, np.float32)
-    context = docs.sparkSession.sparkContext
-    # Each task hands on as much as the weights take, so their number follows the cluster's and not the corpus's size.
-    train = docs.filter("NOT held_out").select("text").coalesce(FIT_TASKS * context.defaultParallelism)
-    for _ in range(rounds):
-        shared = context.broadcast((model.own, weights))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            frequent, start = shared.value
-            own = start.copy()
-            power = np.full(len(own), 1e-2, np.float32)
-            for piece in pieces(batches, 64, 1 << 20):
-                at, kinds, _ = contexts(piece.column("text").to_pylist(), frequent)
-                steps(own, power, at, kinds)
-            met = (own != start).any(axis=1)
-            for first in range(0, len(own), RANGE):
-                hit = np.flatnonzero(met[first : first + RANGE])
-                if len(hit):
-                    change = (own[first + hit] - start[first + hit]).astype("<f2")
-                    yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([hit.astype("<i4").tobytes()], pa.binary()), pa.array([change.tobytes()], pa.binary())], ["first", "rows", "change"])
-
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """By feature over the tasks that met it; all rows of a range are in one task."""
-            sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for first, rows, change in zip(*(batch.column(c).to_pylist() for c in ("first", "rows", "change")), strict=True):
-                    total, met = sums.setdefault(first, (np.zeros((RANGE, CLASSES)), np.zeros(RANGE)))
-                    hit = np.frombuffer(rows, "<i4")
-                    total[hit] += np.frombuffer(change, "<f2").reshape(-1, CLASSES)
-                    met[hit] += 1
-            for first, (total, met) in sums.items():
-                mean = (total / np.maximum(met, 1)[:, None]).astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["first", "mean"])
-
-        parts = train.mapInArrow(run, "first int, rows binary, change binary").repartition("first")
-        weights = weights.copy()
-        for first, mean in zip(*parts.mapInArrow(average, "first int, mean binary").toArrow().to_pydict().values(), strict=True):  # a row a range: the size of the weights
-            weights[first : first + RANGE] += np.frombuffer(mean, "<f4").reshape(RANGE, CLASSES)
-        shared.destroy()
-    return weights
+    shared = train.sparkSession.sparkContext.broadcast((own, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, start = shared.value
+        total, count = np.zeros(size), np.zeros(size[0], np.int64)
+        for piece in pieces(batches, 64, 1 << 20):
+            at, kinds, _ = contexts(piece.column("text").to_pylist(), frequent)
+            add_gradient(total, count, start, at, kinds)
+        for first in range(0, len(total), RANGE):
+            hit = np.flatnonzero(count[first : first + RANGE])
+            if len(hit):
+                sums = total[first + hit].astype("<f4"), count[first + hit].astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (hit.astype("<i2"), *sums)], ["first", "rows", "total", "count"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All sums of a range are in one task."""
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for first, rows, part, n in zip(*(batch.column(c).to_pylist() for c in ("first", "rows", "total", "count")), strict=True):
+                total, count = sums.setdefault(first, (np.zeros((RANGE, CLASSES)), np.zeros(RANGE, np.int64)))
+                hit = np.frombuffer(rows, "<i2")
+                total[hit] += np.frombuffer(part, "<f4").reshape(-1, CLASSES)
+                count[hit] += np.frombuffer(n, "<i8")
+        for first, (total, count) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary()), pa.array([count.astype("<i8").tobytes()], pa.binary())], ["first", "total", "count"])
+
+    parts = train.mapInArrow(run, "first int, rows binary, total binary, count binary").repartition("first")
+    total, count = np.zeros(size), np.zeros(size[0], np.int64)
+    for first, sums, n in zip(*parts.mapInArrow(add, "first int, total binary, count binary").toArrow().to_pydict().values(), strict=True):  # a row a range: the size of the weights
+        total[first : first + RANGE] = np.frombuffer(sums, "<f4").reshape(RANGE, CLASSES)
+        count[first : first + RANGE] = np.frombuffer(n, "<i8")
+    shared.destroy()
+    return total, count
+
+
+def first_weights(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Weights from the counts of features and classes: the classes' own odds, and part of each feature's log ratio to them."""
+    seen = total[: 1 << BITS].sum(axis=0) + 0.5  # every token has one feature of each kind
+    odds = seen / seen.sum()
+    return SHARE * np.log((total + PRIOR * odds) / (count[:, None] + PRIOR) / odds) + np.log(odds) / len(_SKIPS)
+
+
+def fit_weights(docs: DataFrame, model: Model, blocks: int = BLOCKS) -> np.ndarray:
+    """Weights of the softmax: features by classes, from all training documents."""
+    train = docs.filter("NOT held_out").select("text")
+    parts = train.rdd.getNumPartitions()
+    tasks = max(FIT_TASKS * docs.sparkSession.sparkContext.defaultParallelism, -(-parts // FIT_PARTS))
+    weights = first_weights(*gradient(train.coalesce(tasks), model.own, None))
+    for block in range(blocks):
+        part = train.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).coalesce(tasks)
+        total, count = gradient(part, model.own, weights.astype(np.float32))
+        weights += total / (count[:, None] / 2 + 2)  # the softmax's curvature is half the count at most
+    return weights.astype(np.float32)
 
 
 def learn(docs: DataFrame, counts: DataFrame, head: int = HEAD) -> Model:

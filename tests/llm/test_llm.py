@@ -352,3 +352,45 @@ def test_rare_tokens_count_alike_outside_the_head(docs, monkeypatch):
 def test_extra_columns(spark):
     df = spark.createDataFrame(corpus(20), DOCS).withColumns({"id": F.lit(1), "row": F.lit("x"), "copies": F.lit(2), "bucket": F.lit(3)})
     assert mixing.mixed_documents(df).columns == df.columns and neardup.deduplicated(df).columns == df.columns
+
+
+def test_language_model_is_a_function_of_the_table(docs):
+    parts = [{(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in lm.scores(docs.repartition(n)).collect()} for n in (1, 7, 64)]
+    for other in parts[1:]:
+        assert other.keys() == parts[0].keys() and all(abs(other[k] - s) <= 1e-5 * abs(s) for k, s in parts[0].items())
+
+
+def test_language_model_gradient(spark):
+    texts = ["a b c a b", "b a", None, "", "c c c " * 40]
+    rng = np.random.default_rng(3)
+    own = lm.hash_words([b"a"])[0]
+    weights = rng.normal(size=(4 << lm.BITS, lm.CLASSES)).astype(np.float32)
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for w in (None, weights):
+        total, count = lm.gradient(train, own, w)
+        want, seen = np.zeros(total.shape), np.zeros(len(total))
+        for text in texts:
+            at, kinds, _ = lm.contexts([text], own)
+            for features, kind in zip(at, kinds, strict=True):
+                power = np.exp(weights[features].sum(axis=0, dtype=float))
+                for f in features:
+                    want[f, kind] += 1
+                    want[f] -= power / power.sum() if w is not None else 0
+                    seen[f] += 1
+        assert np.allclose(total, want, atol=1e-4) and (count == seen).all()
+
+
+def test_language_model_beats_counts_on_held_out_texts(spark):
+    rows = [(i, ("the cat sat on the mat " if i % 2 else "a dog ran to a tree ") * (1 + i % 3), "en", "s", 0) for i in range(600)]
+    held = [r for r in lm.scores(spark.createDataFrame(rows, DOCS)).collect() if r["held_out"]]
+    assert held and all(r["score"] > 0.8 * r["base_score"] for r in held)
+
+
+def test_language_model_features_of_one_document_move(spark):
+    rows = [("a b " * 5 if i % 2 else "c d " * 5, i, False) for i in range(500)] + [(f"only{i} next{i}", i, False) for i in range(9000, 9040)]
+    own = spark.createDataFrame(rows, "text string, doc_id long, held_out boolean").repartition(5)
+    model = lm.learn(own, lm.materialize(lm.counted(own), "test-counts"))
+    kinds, times = np.unique(model.weights, axis=0, return_counts=True)
+    unseen = kinds[times.argmax()]  # most of the buckets are empty, and alike
+    for i in range(9000, 9040):
+        assert (model.weights[lm.contexts([f"only{i} next{i}"], model.own)[0][1]] != unseen).any(axis=1).all()
