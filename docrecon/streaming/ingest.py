@@ -21,11 +21,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docrecon.operators.corpus import needs_review
 from docrecon.operators.stages import STAGES, finish, seed
-from docrecon.operators.views import failed_in, recent
+from docrecon.operators.views import failed_in, recent, stage_events
 from docrecon.settings import DEFAULTS, Settings
 from docrecon.sources.folders import SCHEMA, exhausted, read_tree
 from docrecon.sources.lease import TTL, Lease, read_meta, write_meta
 from docrecon.sources.pages import Counter, count_pages, walk_pages
+from docrecon.sources.recognition import Layers, recognised
 from docrecon.sources.runs import unfinished
 from docrecon.sources.text import Provider, with_text
 from docrecon.streaming.control import Gate, Progress, Stopped, watched
@@ -86,7 +87,7 @@ def found_files(spark: SparkSession, run: str, number: int) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path) if os.path.isdir(path) else spark.createDataFrame([], SCHEMA)
 
 
-def start(spark: SparkSession, run: str, number: int, lease: Lease, provider: str | Provider, settings: Settings = DEFAULTS, parts: int | None = None, gate: Gate | None = None, progress: Progress | None = None, counter: Counter = count_pages) -> StreamingQuery:
+def start(spark: SparkSession, run: str, number: int, lease: Lease, provider: str | Provider | Layers, settings: Settings = DEFAULTS, parts: int | None = None, gate: Gate | None = None, progress: Progress | None = None, counter: Counter = count_pages) -> StreamingQuery:
     """Start (or go on with) taking the files that pass ``number`` found through the stages. Files of several pages become
     a document a page, and pages are dealt to all tasks."""
     parts = parts or spark.sparkContext.defaultParallelism
@@ -97,19 +98,20 @@ def start(spark: SparkSession, run: str, number: int, lease: Lease, provider: st
     if before is not None:  # passes before this one never change, so they may be read as they are
         files = files.join(before.filter(F.col("pass") < number).select("path").distinct(), "path", "left_anti")
     pages = walk_pages(files, settings, counter, gate).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_key")
-    docs = seed(with_text(pages, provider, gate), settings)
+    read = recognised(pages, provider, settings, gate) if isinstance(provider, Layers) else with_text(pages, provider, gate)
+    docs = seed(read, settings)
     for stage in STAGES:
         docs = watched(docs.transform(stage, settings), f"stage_{stage.__name__}", errors=F.count_if(failed_in(stage.__name__)))
     of = lambda when: F.count_if(when)
     docs = watched(
-        finish(docs), "finished", pdfs=F.count(F.lit(1)), invoices=of(F.col("doc_type") == "invoice"), approvals=of(F.col("doc_type") == "approval"),
+        finish(stage_events(docs)), "finished", pdfs=F.count(F.lit(1)), invoices=of(F.col("doc_type") == "invoice"), approvals=of(F.col("doc_type") == "approval"),
         ocr=of(F.col("source") == "ocr"), flagged=of(needs_review()), errors=of(F.coalesce("error", F.lit("")) != ""))
     writer = docs.writeStream.queryName(f"scan-{uuid.uuid4().hex}").foreachBatch(append_ledger(run, number, lease, progress))
     return writer.option("checkpointLocation", _folder(run, "checkpoint", number)).trigger(availableNow=True).start()
 
 
 def scan(
-    spark: SparkSession, run: str, root: str, provider: str | Provider, settings: Settings = DEFAULTS, gate: Gate | None = None, progress: Progress | None = None,
+    spark: SparkSession, run: str, root: str, provider: str | Provider | Layers, settings: Settings = DEFAULTS, gate: Gate | None = None, progress: Progress | None = None,
     counter: Counter = count_pages, part: int = PART, parts: int | None = None, ttl: float = TTL,
 ) -> bool:
     """Scan ``root`` into ``run``, or go on with a scan that was ended. Nobody else may scan or edit the run meanwhile.
