@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docrecon.settings import Settings
+from docrecon.sources import runs
 from docrecon.sources.recognition import Layers, recognised
 from docrecon.sources.text import with_text
+from docrecon.streaming import ingest
 
 KEYS = "path string, page_index int, size long"
 
@@ -96,3 +98,22 @@ def test_stream_of_pages(spark, files, tmp_path):
     stream = recognised(spark.readStream.schema(files.schema).parquet(str(tmp_path / "in")), layers)
     stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
     assert rows_of(spark.read.parquet(str(tmp_path / "out"))) == rows_of(recognised(files, layers))
+
+
+def test_a_scan_reads_by_pages_and_keeps_events(spark, tmp_path):
+    folder = tmp_path / "tree/FY 22-23/Payments/Kotak/Sep-2022/24-Sep-2022/Apex"
+    folder.mkdir(parents=True)
+    long = "a native page of more than twenty characters"
+    for name, content in (("three.pdf", f"{long}|thin|hard"), ("bad.pdf", "broken"), ("fails.pdf", f"{long}|fail")):
+        (folder / name).write_text(content)
+    root, run = str(tmp_path / "tree"), runs.new_run(str(tmp_path / "out"), str(tmp_path / "tree"))
+    count = (lambda: lambda content: len(content.decode().split("|")))()
+    assert ingest.scan(spark, run, root, Layers(native, cheap, careful), Settings(root=root), counter=count)
+    got = {(r["filename"], r["page_index"]): r for r in ingest.ledger(spark, run).collect()}
+    assert {k: (r["text"], r["source"]) for k, r in got.items()} == {
+        ("three.pdf", 0): (long, "text"), ("three.pdf", 1): ("cheap thin", "ocr"), ("three.pdf", 2): ("careful hard", "ocr"),
+        ("bad.pdf", None): ("", "none"), ("fails.pdf", 0): (long, "text"), ("fails.pdf", 1): ("", "none"),
+    }
+    events = {k: [(e["stage"], e["action"], e["severity"]) for e in r["events"]] for k, r in got.items()}
+    assert events["bad.pdf", None] == events["fails.pdf", 1] == [("extract", "error", "error"), ("classify", "classified", "info")]
+    assert events["three.pdf", 2] == [("extract", "extracted", "info"), ("classify", "classified", "info")]
