@@ -84,7 +84,8 @@ def bindings(now: DataFrame, plan: DataFrame, docs: DataFrame) -> DataFrame:
     """row, kind (bound or missing), doc_id, filename, supplier, effective: all decisions about rows, by row."""
     own = manual_links(now).select("row", F.lit("bound").alias("kind"), F.col("bound_doc").alias("doc_id")).unionByName(missing_rows(now).select("row", F.lit("missing").alias("kind"), F.lit(None).cast("string").alias("doc_id")))
     rows = plan.select("row", "supplier", "status", F.col("doc_id").alias("p_doc"))
-    out = own.join(rows, "row", "left").join(docs.select("doc_id", "filename"), "doc_id", "left")
+    names = docs.groupBy("doc_id").agg(F.min("filename").alias("filename"))  # documents can share an id
+    out = own.join(rows, "row", "left").join(names, "doc_id", "left")
     took = F.when(F.col("kind") == "bound", (F.col("status") == "matched") & (F.col("p_doc") == F.col("doc_id"))).otherwise(F.col("status") == "manual_not_found")
     return out.select("row", "kind", "doc_id", "filename", "supplier", F.coalesce(took, F.lit(False)).alias("effective")).orderBy("row", "kind")
 
