@@ -57,19 +57,20 @@ def skipped_suppliers(now: DataFrame) -> DataFrame:
     return now.filter((F.col("kind") == "skip") & _on()).select(F.col("key").alias("supplier"))
 
 
-def overlay(docs: DataFrame, now: DataFrame) -> DataFrame:
+def overlay(docs: DataFrame, now: DataFrame, by: str = "doc_id") -> DataFrame:
     """The documents with the decisions applied.
 
     Confirming and approving mark as reviewed, rejecting makes a document ``other`` and reviewed, binding or promoting
     makes one an invoice and reviewed; of rejecting and promoting the later counts. Blank edits of text fields clear
-    them, blank or bad amounts change nothing.
+    them, blank or bad amounts change nothing. ``by`` is the column that decisions name documents by: ids, which are short
+    and which some of millions of documents share, or their source keys.
     """
     per = now.filter(F.col("kind").isin("confirm", "reject", "approve", "hide", "promote")).select(F.col("key").alias("_doc"), "kind", "payload", "seq")
     bound = now.filter("kind = 'bind' AND payload != ''").select(F.col("payload").alias("_doc"), F.lit("promote").alias("kind"), F.lit(None).cast("string").alias("payload"), "seq")
     pick = lambda kind, what: F.max(F.when(F.col("kind") == kind, F.col(what)))
     by_doc = per.unionByName(bound).groupBy("_doc").agg(
         pick("confirm", "payload").alias("_edit"), pick("reject", "seq").alias("_reject"), pick("promote", "seq").alias("_promote"), pick("confirm", "seq").alias("_confirm"), pick("approve", "seq").alias("_approve"), F.max(F.when((F.col("kind") == "hide") & _on(), True)).alias("_hide"))
-    out = docs.join(by_doc, docs["doc_id"] == F.col("_doc"), "left")
+    out = docs.join(by_doc, docs[by] == F.col("_doc"), "left")
     field = lambda name: F.get_json_object("_edit", f"$.{name}")
     edits = {f: F.when(field(f).isNotNull(), F.when(F.trim(field(f)) != "", F.trim(field(f)))).otherwise(F.col(f)) for f in TEXT_FIELDS if f in docs.columns}
     edits |= {f: F.coalesce(money(field(f)), F.col(f)) for f in MONEY_FIELDS if f in docs.columns}
