@@ -33,6 +33,8 @@ MANIFEST = "shard int, bin string, idx string, width int, n_docs long, n_tokens
 #: Chunks that a Python worker remembers before it starts anew.
 CACHED_WORDS = 400_000
 _TAIL = ".,;:!?*%&$#|"
+#: Lower-case letters of Latin scripts, none of which a normaliser for composed text takes apart.
+_LETTERS = [c for c in map(chr, [*range(0x61, 0x7B), *range(0xDF, 0x180)]) if c.isalpha() and c.lower() == c and is_normalized("NFKC", c)]
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -57,9 +59,22 @@ class WordEncoder(dict):
         self.steps = (t.normalizer, t.pre_tokenizer, t.model)
         probe = ["a b", "Ab, cd.  ef\n1 2", "x%% y**", "\xe9 \xf6\u0308 \xc9t\xe9,", " it's 's"]
         self.by_chunk = self.lowers = False
+        self.letters, self.spelled = frozenset(), {}
         if all(self.steps) and not any(" " in x.content for x in added.values()):
             self.by_chunk = [b"".join(map(self.__getitem__, p.split())) for p in probe] == [self._encode(p) for p in probe]
             self.lowers = self._encode("AbC \xc9") == self._encode("abc \xe9")
+            if self.by_chunk:
+                self.letters, self.spelled = self._plain_letters()
+
+    def _plain_letters(self) -> tuple[frozenset, dict]:
+        """The letters of which a run is one piece, and what each is spelled as in a piece: such a run needs the model
+        alone. None if the splitter joins or cuts runs of them in another way, which all of them in several orders tell."""
+        normalizer, splitter, _ = self.steps
+        pieces = lambda text: [piece for piece, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text))]
+        spelled = {c: own[0] for c in _LETTERS if normalizer.normalize_str(c) == c and len(own := pieces(c)) == 1}
+        runs = ["".join(list(spelled)[::step] * 2) for step in (1, -1, 3, 7, -5)]
+        good = all(pieces(run) == ["".join(map(spelled.__getitem__, run))] for run in runs) if spelled else False
+        return (frozenset(spelled), str.maketrans(spelled)) if good else (frozenset(), {})
 
     def _packed(self, ids) -> bytes:
         return array(self.dtype.char, ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, self.dtype).tobytes()
@@ -69,7 +84,9 @@ class WordEncoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         word = chunk.rstrip(_TAIL)
-        if word != chunk and word.isalpha():  # letters never share a piece with what is no letter
+        if word == chunk and self.letters.issuperset(chunk):
+            packed = self._packed([token.id for token in self.steps[2].tokenize(chunk.translate(self.spelled))])
+        elif word != chunk and word.isalpha():  # letters never share a piece with what is no letter
             tail = chunk[len(word) :]
             packed = self[word] + self[tail]
         else:

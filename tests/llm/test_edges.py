@@ -258,3 +258,22 @@ def test_mixing_equal_rows_and_null_ids(spark):
     mixed = mixing.mixed_documents(docs, group=16).groupBy("source").count().collect()
     assert {r["source"]: r["count"] for r in mixed} == {s: sum(r["copies"] for r in got if r["source"] == s) for s in "ab"}
     assert zlib.crc32(b"") == 0 and max(r["copies"] for r in got) <= 2
+
+
+def test_runs_of_letters_need_the_model_alone():
+    import public_tokenizers
+
+    encode = tokenbin.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    assert {"a", "z", "\xe9", "\xff"} <= encode.letters
+    _, splitter, model = encode.steps
+    words = ["plainword", "h\xe9t\xe9rog\xe8ne", "\xdf\xe6\xf8œ", "don't", "a1b", "x", "ŉt"]
+    expected = [encode._encode(w) for w in words]
+    assert [encode.__missing__(w) for w in words] == expected
+
+    class Refuses:
+        def pre_tokenize_str(self, text):
+            raise AssertionError(text)
+
+    encode.clear()
+    encode.steps = (None, Refuses(), model)
+    assert [encode[w] for w in words[:3]] == expected[:3]
