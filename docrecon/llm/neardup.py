@@ -175,33 +175,37 @@ def grouped(rows: DataFrame, group: str, run: Callable[[list[pa.RecordBatch]], l
 
 
 def _alike(blocks: list[list]) -> list[tuple[int, int]]:
-    """Spanning links of the signatures (rep, sig) in each block that are alike by their estimate."""
+    """Links that join the signatures (rep, sig) in each block that are alike by their estimate, directly or by others: each
+    to the smallest of its part, so that blocks of the same nodes give the same links whatever order they come in."""
     least = next(k for k in range(SLOTS + 1) if estimated(np.array(k)) >= LOOSE)
     out = []
     pairs = [b for b in blocks if len(b) == 2]
     if pairs:
         sig = np.frombuffer(b"".join(s for b in pairs for _, s in b), np.uint8).reshape(-1, 2, SLOTS)
         same = (sig[:, 0] == sig[:, 1]).sum(axis=1)
-        out += [(b[0][0], b[1][0]) for b, k in zip(pairs, same, strict=True) if k >= least]
+        out += [(min(b[0][0], b[1][0]), max(b[0][0], b[1][0])) for b, k in zip(pairs, same, strict=True) if k >= least]
     for block in blocks:
         if len(block) > 2:
+            block = sorted(block)
             ids = np.array([r for r, _ in block])
             sig = np.frombuffer(b"".join(s for _, s in block), np.uint8).reshape(-1, SLOTS)
             rest = np.arange(len(ids))
-            while len(rest):  # breadth first: what is alike joins and leaves the rest
-                front, rest = [rest[0]], rest[1:]
+            while len(rest):  # what is alike joins and leaves the rest
+                root, front, rest = ids[rest[0]], [rest[0]], rest[1:]
                 while front and len(rest):
                     at = front.pop()
                     near = (sig[rest] == sig[at]).sum(axis=1) >= least
-                    out += [(int(ids[at]), int(ids[x])) for x in rest[near]]
+                    out += [(int(root), x) for x in ids[rest[near]].tolist()]
                     front += rest[near].tolist()
                     rest = rest[~near]
     return out
 
 
 def _linked(blocks: list[list]) -> list[tuple[int, int]]:
-    """Spanning links of the nodes (rep, text) in each block whose exact multiset similarity reaches the threshold."""
+    """Links that join the nodes (rep, text) in each block whose exact multiset similarity reaches the threshold, directly
+    or by others: each to the smallest of its part."""
     out = []
+    blocks = [sorted(b) for b in blocks]
     sets = occurrences([t for b in blocks for _, t in b], WORDS)
     at = 0
     for block in blocks:
@@ -230,11 +234,11 @@ def _linked(blocks: list[list]) -> list[tuple[int, int]]:
         near = (both > 0) & (both >= THRESHOLD * (sizes[:, None] + sizes[None, :] - both) - 1e-6)
         rest = np.arange(n)
         while len(rest):
-            front, rest = [rest[0]], rest[1:]
+            root, front, rest = ids[rest[0]], [rest[0]], rest[1:]
             while front and len(rest):
                 x = front.pop()
                 hit = near[x, rest]
-                out += [(ids[x], ids[y]) for y in rest[hit]]
+                out += [(root, ids[y]) for y in rest[hit]]
                 front += rest[hit].tolist()
                 rest = rest[~hit]
     return out

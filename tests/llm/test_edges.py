@@ -260,6 +260,23 @@ def test_mixing_equal_rows_and_null_ids(spark):
     assert zlib.crc32(b"") == 0 and max(r["copies"] for r in got) <= 2
 
 
+def test_blocks_of_the_same_nodes_give_the_same_links():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, neardup.SLOTS).astype(np.uint8)
+    nodes = []
+    for k in range(60):
+        sig = base.copy()
+        sig[rng.permutation(neardup.SLOTS)[:20]] = k
+        nodes.append([k, sig.tobytes()])
+    links = set()
+    for _ in range(neardup.BANDS):
+        links |= set(neardup._alike([[nodes[k] for k in rng.permutation(60)]]))
+    assert links == {(0, k) for k in range(1, 60)}
+    text = " ".join(WORDS[:60])
+    links = {link for _ in range(8) for link in neardup._linked([[[int(k), text] for k in rng.permutation(9)]])}
+    assert links == {(0, k) for k in range(1, 9)}
+
+
 def test_runs_of_letters_need_the_model_alone():
     import public_tokenizers
 
