@@ -2,8 +2,8 @@
 
 The terms are pairs of neighbouring words, and the pairs of the benchmark items are the vocabulary. Documents are cut
 into overlapping passages of words. TF-IDF weights come from document frequencies counted over all documents. A randomised
-singular value decomposition gives the latent space: each task adds T'(T O) of its passages' term counts T with random
-directions O, the sums over tasks give the Gram matrix's range, and Nystroem's formula the leading directions; benchmark
+singular value decomposition gives the latent space: tasks add up the products of the term counts T of all passages of
+all documents, the Gram matrix T'T; its product with random directions O, worked out by rows, gives its range, and Nystroem's formula the leading directions; benchmark
 items enter with weight, so that their own directions are among them. Every passage is then projected and compared
 with every item; a candidate's product reaches ``COSINE`` of the square of the passage's or of the item's length. The
 former is the cosine, the latter the share of the item that the passage holds: it doesn't fall when an item stands in so
@@ -17,9 +17,9 @@ words is too short to be paraphrased: it counts where all its words stand in a r
 The benchmark is a set of queries held by every task. Items are cut into passages as documents are, and each passage is a
 query of its own, so that a long item is found by any part of it. A latent space serves a block of ``QUERIES`` queries,
 half its rank, since a space holds no more nearly orthogonal items than it has directions; an item with more has a block
-to itself, of a rank to match. Documents are read once for every ``GROUP`` blocks and never joined or shuffled. The fit
-uses a bounded sample of documents (``FIT_DOCS``); it only shapes the space. Counts of words and the search cover every
-row and whole texts.
+to itself, of a rank to match. Documents are read twice for every ``GROUP`` blocks, to count and to search, and never
+joined or shuffled. Counts, the fit and the search cover every row and whole texts; what a block's counts take is bounded
+by the square of its terms, whatever the documents.
 
 Edge cases: null or empty texts and items contain nothing. Rows that share an id are searched one by one, repeated rows
 too; a null id is passed through, and an item without an id is left out. An empty table on either side gives no hits.
@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.ranges import bounded_sample, pieces
+from docrecon.llm.ranges import pieces
 from docrecon.llm.shingles import hash_words, mix
 from docrecon.llm.storage import bounded, materialize
 
-#: Latent dimensions and extra directions of the sketch; documents of the fit and their tasks; queries in a block; blocks
-#: searched in one reading.
-RANK, EXTRA, FIT_DOCS, FIT_TASKS, QUERIES, GROUP = 256, 32, 2000, 4, 128, 16
+#: Latent dimensions and extra directions of the sketch; tasks that make it; queries in a block; blocks searched in one
+#: reading; products of counts that a task holds.
+RANK, EXTRA, FIT_TASKS, QUERIES, GROUP, PAIRS = 256, 32, 8, 128, 16, 1 << 20
 COSINE, COVER, COVER_LOOSE, LEAST = 0.35, 0.7, 0.5, 8
 #: Words of a passage, and the step from one to the next.
 PASSAGE, STEP = 64, 32
@@ -139,26 +139,76 @@ def read_items(benchmark: DataFrame, block: int = QUERIES) -> Iterator[Items]:
         yield Items(*map(list, zip(*held, strict=True)))
 
 
-def document_frequencies(docs: DataFrame, blocks: Sequence[Items]) -> tuple[list[np.ndarray], int]:
-    """Number of documents that hold each term of each block, and of all documents."""
+def counted(docs: DataFrame, blocks: Sequence[Items]) -> DataFrame:
+    """block, i, j, n over all documents, which are read once: of each block the sums over passages of the products of the
+    counts of its terms i <= j; under block -1 the number of documents that hold term i (of all blocks in turn), and of
+    all documents where i is -1. Sums of whole numbers, so they are the same however rows are dealt to tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(list(blocks))
     first = np.cumsum([0, *(len(items.terms) for items in blocks)])
 
+    def rows(block: int, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block, np.int32)), pa.array(i), pa.array(j), pa.array(n)], ["block", "i", "j", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(first[-1], np.int64), 0
+        total, docs_, held, sizes = np.zeros(first[-1], np.int64), 0, {}, {}
+
+        def flushed(block: int, least: int) -> Iterator[pa.RecordBatch]:
+            """Sums what is held of a block, and hands it on if ``least`` pairs are left."""
+            key, n = map(np.concatenate, zip(*held.pop(block), strict=True))
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, n = key[at], np.add.reduceat(n, at)
+            if len(key) >= least:
+                size = len(shared.value[block].terms)
+                yield rows(block, key // size, key % size, n)
+            else:
+                held[block] = [(key, n)]
+
         for piece in pieces(batches, 128):
             hashes, begins = hashed(piece.column("text").to_pylist())
-            n += len(begins) - 1
+            docs_ += len(begins) - 1
             owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-            for low, items in zip(first, shared.value, strict=False):
+            for block, (low, items) in enumerate(zip(first, shared.value, strict=False)):
                 ids, size = items.numbered(hashes, begins), len(items.terms)
                 seen = np.unique((owner * size + ids)[ids >= 0])
                 total[low : low + size] += np.bincount(seen % size, minlength=size)
+                if not items.long or not len(seen):
+                    continue
+                for key, n in _products(*_counts(ids, begins, items)[:3], size):
+                    held.setdefault(block, []).append((key, n))
+                    sizes[block] = sizes.get(block, 0) + len(key)
+                    if sizes[block] > PAIRS:
+                        yield from flushed(block, PAIRS // 2)
+                        sizes[block] = sum(len(k) for k, _ in held.get(block, ()))
+        for block in list(held):
+            yield from flushed(block, 0)
         hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*hit.tolist(), -1], pa.int64()), pa.array([*total[hit].tolist(), n], pa.int64())], ["word", "n"])
+        yield rows(-1, np.append(hit, -1), np.full(len(hit) + 1, -1), np.append(total[hit], docs_))
+
+    summed = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(count, "block int, i long, j long, n long")
+    return materialize(summed.groupBy("block", "i", "j").agg(F.sum("n").alias("n")), "decontam-counts")
+
+
+def _products(row: np.ndarray, col: np.ndarray, times: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of coordinates in order of passages and terms, i * size + j and the product of the counts for each two terms i <= j
+    of a passage, a bounded number at a time."""
+    last = np.searchsorted(row, row, "right")
+    many = last - np.arange(len(row))
+    ends = np.cumsum(many)
+    low = 0
+    while low < len(row):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
+        a = np.repeat(np.arange(low, high), many[low:high])
+        b = a + np.arange(len(a)) - np.repeat(np.cumsum(many[low:high]) - many[low:high], many[low:high])
+        yield col[a] * np.int64(size) + col[b], times[a] * times[b]
+        low = high
 
-    summed = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    table = summed.toArrow()  # at most a row for each term of the blocks
+
+def document_frequencies(counts: DataFrame, blocks: Sequence[Items]) -> tuple[list[np.ndarray], int]:
+    """Number of documents that hold each term of each block, and of all documents."""
+    first = np.cumsum([0, *(len(items.terms) for items in blocks)])
+    table = counts.filter("block = -1").select(F.col("i").alias("word"), "n").toArrow()  # at most a row for each term of the blocks
     word, times = (table.column(c).to_numpy() for c in ("word", "n"))
     out = np.zeros(first[-1])
     out[word[word >= 0]] = times[word >= 0]
@@ -194,14 +244,14 @@ def _project(row: np.ndarray, col: np.ndarray, value: np.ndarray, basis: np.ndar
     return out
 
 
-def fit(docs: DataFrame, blocks: Sequence[Items], rank: int = RANK, sample: int = FIT_DOCS) -> list[Items]:
-    """Document frequencies over all documents, and the latent space of each block."""
-    frequencies, n = document_frequencies(docs, blocks)
-    chosen = materialize(bounded_sample(docs, "doc_id", "text", rows=sample).select(F.col("text").cast("string").alias("text")), "decontam-sample").coalesce(FIT_TASKS)
-    return [_fit_block(chosen, items, found, n, rank) for items, found in zip(blocks, frequencies, strict=True)]
+def fit(docs: DataFrame, blocks: Sequence[Items], rank: int = RANK) -> list[Items]:
+    """Document frequencies and the latent space of each block, both of all documents."""
+    counts = counted(docs, blocks)
+    frequencies, n = document_frequencies(counts, blocks)
+    return [_fit_block(counts.filter(F.col("block") == k), items, found, n, rank) for k, (items, found) in enumerate(zip(blocks, frequencies, strict=True))]
 
 
-def _fit_block(chosen: DataFrame, items: Items, found: np.ndarray, n: int, rank: int) -> Items:
+def _fit_block(products: DataFrame, items: Items, found: np.ndarray, n: int, rank: int) -> Items:
     items.idf = np.log((n + 1) / (found + 1)) + 1
     size = len(items.terms)
     if not items.long:
@@ -215,30 +265,36 @@ def _fit_block(chosen: DataFrame, items: Items, found: np.ndarray, n: int, rank:
     width = min(rank + EXTRA, size)
     directions = np.random.default_rng(17).standard_normal((size, width))
 
+    idf = items.idf
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = np.random.default_rng(17).standard_normal((size, width))
         total = np.zeros((size, width))
-        for piece in pieces(batches, 128):
-            hashes, begins = hashed(piece.column("text").to_pylist())
-            total += gram(items.numbered(hashes, begins), begins, directions)
+        for batch in batches:
+            i, j, n = (batch.column(c).to_numpy() for c in ("i", "j", "n"))
+            for low in range(0, len(i), 1 << 13):  # a slice at a time, each pair a row of sums wide
+                r, c = i[low : low + (1 << 13)], j[low : low + (1 << 13)]
+                at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                total[r[at]] += np.add.reduceat(directions[c] * (n[low : low + (1 << 13)] * idf[r] * idf[c])[:, None], at, axis=0)
         hit = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array([hit.astype("<i8").tobytes()], pa.binary()), pa.array([total[hit].astype("<f4").tobytes()], pa.binary())], ["words", "sums"])
 
     def gram(ids: np.ndarray, begins: np.ndarray, directions: np.ndarray) -> np.ndarray:
         out = np.zeros((size, width))
-        if len(ids):
-            row, col, times, owner, *_ = _counts(ids, begins, items)
-            value = times * items.idf[col]
-            sums = _project(row, col, value, directions, len(owner))
-            for low in range(0, len(row), 1 << 13):  # a slice of the coordinates at a time, each a row of sums wide
-                part = slice(low, low + (1 << 13))
-                np.add.at(out, col[part], value[part, None] * sums[row[part]])
+        row, col, times, owner, *_ = _counts(ids, begins, items)
+        value = times * items.idf[col]
+        sums = _project(row, col, value, directions, len(owner))
+        for low in range(0, len(row), 1 << 13):  # a slice of the coordinates at a time, each a row of sums wide
+            part = slice(low, low + (1 << 13))
+            np.add.at(out, col[part], value[part, None] * sums[row[part]])
         return out
 
     range_ = np.zeros((size, width))
-    for r in chosen.mapInArrow(sketch, "words binary, sums binary").toLocalIterator():  # a row for each of ``FIT_TASKS`` tasks
+    mirrored = products.select("i", "j", "n").unionByName(products.filter("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
+    dealt = mirrored.repartition(FIT_TASKS, "i").sortWithinPartitions("i", "j")
+    for r in dealt.mapInArrow(sketch, "words binary, sums binary").toLocalIterator():  # a row of sums for each term, whatever the tasks
         range_[np.frombuffer(r["words"], "<i8")] += np.frombuffer(r["sums"], "<f4").reshape(-1, width)
-    # Items count as much as the whole sample, else the corpus's common words would take all directions.
+    # Items count as much as all documents, else the corpus's common words would take all directions.
     own = gram(own_ids, own_begins, directions)
     ratio = np.linalg.norm(range_) / max(np.linalg.norm(own), 1e-12)
     range_ += own * max(ratio, 1.0)

@@ -65,17 +65,6 @@ def shuffle_parts(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bounded_sample(df: DataFrame, *key: str, rows: int) -> DataFrame:
-    """``rows`` rows of ``df`` at most, those with the smallest hashes of ``key``; of rows with equal keys one.
-
-    Only hashes are sorted. The rows are then picked by the greatest hash that is in, equal ones are joined before they
-    are shuffled, and the sample stays spread over tasks.
-    """
-    hashed = df.withColumn("sample_hash", F.xxhash64(*key))
-    last = hashed.select("sample_hash").orderBy("sample_hash").limit(rows).agg(F.max("sample_hash")).first()[0]
-    return df.limit(0) if last is None else hashed.filter(F.col("sample_hash") <= last).dropDuplicates(["sample_hash"]).drop("sample_hash")
-
-
 def pieces(batches: Iterator[pa.RecordBatch], rows: int, size: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of ``rows`` rows and of ``size`` bytes of ``column`` at most; a longer text is a piece by itself."""
     for batch in batches:

@@ -294,3 +294,31 @@ def test_runs_of_letters_need_the_model_alone():
     encode.clear()
     encode.steps = (None, Refuses(), model)
     assert [encode[w] for w in words[:3]] == expected[:3]
+
+
+def test_the_latent_space_is_of_all_documents(spark):
+    rng = random.Random(8)
+    bench = spark.createDataFrame([(i, " ".join(rng.choices(WORDS[:30], k=40))) for i in range(3)], "item_id long, text string")
+    texts = [" ".join(rng.choices(WORDS[:30], k=rng.randrange(0, 150))) for _ in range(2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    (items,) = decontam.read_items(bench)
+    size = len(items.terms)
+    hashes, begins = decontam.hashed(texts)
+    ids = items.numbered(hashes, begins)
+    owner, low, high = decontam.passages(begins)
+    table = np.zeros((len(low), size), np.int64)
+    for p, (a, b) in enumerate(zip(low, high, strict=True)):
+        np.add.at(table[p], ids[a:b][ids[a:b] >= 0], 1)
+    sums, bases = table.T @ table, []
+    for parts in (1, 5):
+        dealt = docs.repartition(parts)
+        got = decontam.counted(dealt, [items]).filter("block = 0").toPandas()
+        square = np.zeros((size, size), np.int64)
+        square[got["i"], got["j"]] = got["n"]
+        assert (square == np.triu(sums)).all()
+        bases.append(decontam.fit(dealt, [items], rank=32)[0].basis)
+    assert np.allclose(*bases, atol=1e-5)
+    # Of the space of all documents, and not of some of them: the sketch's range by plain products.
+    weighed = sums * items.idf[:, None] * items.idf
+    held = np.trace(bases[0].T @ weighed @ bases[0])
+    assert held >= 0.9 * np.sort(np.linalg.eigvalsh(weighed))[-bases[0].shape[1] :].sum()
