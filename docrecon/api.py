@@ -34,9 +34,10 @@ def save(docs: DataFrame, run: str) -> None:
 
 
 def load(spark: SparkSession, run: str) -> DataFrame | None:
-    """Snapshot and what the ledger has beyond it. While a scan runs this is a live view of what is finished."""
+    """Snapshot and what the ledger has beyond it. While a scan runs this is a live view of what is finished. The events
+    of the scan's stages stay in the ledger; ``views.stage_events`` tells them from the documents."""
     found = ingest.ledger(spark, run)
-    done = found if found is None else runs.last_write(found.drop("pass", "batch")).drop("seq", "position")
+    done = found if found is None else runs.last_write(found.drop("pass", "batch", "events")).drop("seq", "position")
     kept = runs.load_table(spark, run, "snapshot")
     return kept if done is None else done if kept is None else runs.overlay_ledger(kept, done)
 

@@ -150,6 +150,17 @@ def test_views_and_flagged_copies(spark, tmp_path):
     assert made.count() == 4 and [(r["stage"], r["docs"], r["errors"]) for r in metrics.collect()] == [(s.__name__, 4, 0) for s in stages.STAGES]
 
 
+def test_stage_events_stay_in_the_ledger(spark, tmp_path):
+    root, _ = make_tree(tmp_path, 1)
+    run = runs.new_run(str(tmp_path / "out"), root)
+    ingest.scan(spark, run, root, reader(), Settings(root=root))
+    docs = api.load(spark, run)
+    kept = [r["events"] for r in ingest.ledger(spark, run).collect()]
+    assert "events" not in docs.columns and [r["events"] for r in views.stage_events(docs).collect()] == kept
+    api.save(docs, run)  # a snapshot and the ledger have the same columns
+    assert api.load(spark, run).columns == docs.columns
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     root, _ = make_tree(tmp_path, 1)
     monkeypatch.setattr(cli, "_spark", lambda: spark)
