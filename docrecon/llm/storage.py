@@ -12,12 +12,9 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docrecon.sources.shared import shared_dir
+from docrecon.sources.shared import bounded, shared_dir
 
-
-#: Bytes of an Arrow batch.
-BATCH = 4 << 20
-_UNBOUNDED = (1 << 31) - 1
+__all__ = ["bounded", "create", "fresh_path", "map_array", "materialize", "open_random"]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -36,17 +33,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``; from now on its session hands Python Arrow batches of ``BATCH`` bytes at most, however long texts are.
-
-    Spark bounds batches by their rows alone unless this is set. A bound that the session has set stays.
-    """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name, str(_UNBOUNDED))) >= _UNBOUNDED:
-        conf.set(name, str(BATCH))
-    return df
-
-
 def _local(uri: str) -> str | None:
     parts = urlparse(uri)
     return unquote(parts.path) if parts.scheme in ("", "file") else None

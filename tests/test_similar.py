@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,33 @@ def test_suggestions_are_those_of_all_pairs(spark, monkeypatch, group):
         assert link.suggest_bulk(rows_df.limit(0), docs_df).count() == 0 and link.suggest_bulk(rows_df, docs_df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("whole", [0, 2_000])
+def test_suggestions_by_sets_and_by_blocks_agree(spark, monkeypatch, whole):
+    for name, value in (("GROUP", 0), ("CHUNK", 7), ("PAIRS", 50), ("WHOLE", whole), ("ASKED", 9), ("HELD", 40), ("FIRST", 3)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = random.Random(3)
+    number, tax = made(rng, 0)
+    docs = [(f"d{i:03d}", "invoice", number(), number(), tax()) for i in range(150)]
+    rows = [(i, tax(), number()) for i in range(40)]
+    docs_df = spark.createDataFrame(docs, "doc_id string, doc_type string, invoice_id string, invoice_no_content string, vendor_gstin string").repartition(3)
+    rows_df = spark.createDataFrame(rows, "row int, gstin string, invoice_no string")
+    assert {tuple(r) for r in link.suggest_bulk(rows_df, docs_df).collect()} == plain_suggestions(rows, docs)
+
+
+def test_few_pairs_of_a_block_are_worked_out():
+    """All letters are counted, but only pairs that may be among the best are scored."""
+    rng = random.Random(4)
+    held = sorted({f"inv{rng.randrange(10**7):07d}" for _ in range(4000)})
+    asked = [{"n": f"inv{rng.randrange(10**7):07d}", "more": 0.0, "least": 1} for _ in range(50)]
+    a = pa.array(asked, pa.struct([("n", pa.string()), ("more", pa.float64()), ("least", pa.int64())]))
+    h = pa.array([{"number": x, "first": f"d{i}"} for i, x in enumerate(held)], pa.struct([("number", pa.string()), ("first", pa.string())]))
+    scored = []
+    i, j, best, _ = nearest._best_of_block(a, h, 10, lambda *x: scored.append(len(x[2])) or nearest.number_scores(*x), 0.75)
+    assert sum(scored) < len(asked) * len(held) / 2
+    every = nearest.number_scores([x["n"] for x in asked], held, *(c.ravel() for c in np.mgrid[: len(asked), : len(held)]), np.zeros(len(asked) * len(held))).reshape(len(asked), -1)
+    assert [sorted(best[i == k], reverse=True) for k in range(len(asked))] == [sorted(row, reverse=True)[:10] for row in every.tolist()]
+
+
 def test_sets_of_letters_tell_repeats_apart(spark):
     df = spark.createDataFrame([("abcab",), ("",), ("7",)], "n string").select(nearest.tokens(F.col("n")).alias("t"))
     assert [r["t"] for r in df.collect()][::2] == [["a0", "a1", "b0", "b1", "c0"], ["70"]]
