@@ -2,8 +2,9 @@
 
 A text falls into words by the pattern of byte-level tokenizers, a word into bytes. A segment tree stands over the ranks of
 a word's adjacent pairs: its root is the leftmost pair of the lowest rank, and after a merge three leaves change, each on a
-way of logarithmic length. So a word of n bytes takes n log n steps, however long it is. Workers remember words of moderate
-length, as most words of a corpus are repeats.
+way of logarithmic length. So a word of n bytes takes n log n steps, however long it is. The trees of the short words that
+some texts hold anew take their steps together, in vectors. Workers remember words of moderate length, as most words of a
+corpus are repeats.
 
 Edge cases: a null or empty text has no ids. The strings of added tokens are single ids wherever they stand. A null list of
 ids is an empty text; null ids and ids that the vocabulary lacks are skipped. Bytes that are no UTF-8 become U+FFFD. Rows
@@ -32,6 +33,8 @@ from docrecon.llm.storage import bounded
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers before it starts anew, and the longest of them in characters.
 CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+#: Bytes of the longest words whose trees take their steps together, and words that do so at once.
+SHORT, TOGETHER = 64, 8192
 #: Characters of a text from which its words are taken in parts, and words of a part.
 LONG, PART = 1 << 20, 1 << 16
 _NONE = 1 << 62
@@ -81,6 +84,68 @@ def merged(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> lis
     return [x for x in ids if x >= 0]
 
 
+class Pairs:
+    """Ranks of pairs of ids and what they merge to, in vectors, and the ids of bytes."""
+
+    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]], singles: list[int]):
+        self.singles = np.array(singles, np.int64)
+        keys = np.array([a << 32 | b for a, b in ranks], np.int64)
+        order = np.argsort(keys)
+        told = np.array([*ranks.values()], np.int64).reshape(-1, 2)
+        self.keys = np.append(keys[order], _NONE)
+        self.ranks = np.append(told[order, 0], -1)
+        self.made = np.zeros(len(told) and told[:, 0].max() + 1, np.int64)
+        self.made[told[:, 0]] = told[:, 1]
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 if it has none."""
+        key = a << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+    def merged(self, words: list[bytes], dtype: np.dtype) -> list[bytes]:
+        """What ``merged`` gives for each of some words, packed; they have two bytes at least and about as many as one another."""
+        lengths = np.array(list(map(len, words)))
+        most = int(lengths.max())
+        size = 1 << (most - 1).bit_length()  # a leaf for each place; the last place of a word never has a pair
+        ids = np.full((len(words), size), -1, np.int64)
+        ids[np.arange(size) < lengths[:, None]] = self.singles[np.frombuffer(b"".join(words), np.uint8)]
+        right = np.tile(np.arange(1, size + 1), (len(words), 1))
+        left = right - 2
+        leaves = lambda rank, place: np.where(rank >= 0, rank * size + place, _NONE)
+        tree = np.full((len(words), 2 * size), _NONE, np.int64)
+        whole = ids[:, 1:] >= 0
+        found = np.full(whole.shape, -1, np.int64)
+        found[whole] = self.of(ids[:, :-1][whole], ids[:, 1:][whole])
+        tree[:, size : 2 * size - 1] = leaves(found, np.arange(size - 1))
+        level = size
+        while (level := level // 2) >= 1:
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        open_ = np.flatnonzero(tree[:, 1] != _NONE)
+        while len(open_):
+            w, (rank, i) = open_, np.divmod(tree[open_, 1], size)
+            gone, new = right[w, i], self.made[rank]
+            after, before = right[w, gone], left[w, i]
+            ids[w, i], ids[w, gone], right[w, i] = new, -1, after
+            follows, leads = after < lengths[w], before >= 0
+            left[w[follows], after[follows]] = i[follows]
+            rank = np.full((2, len(w)), -1, np.int64)
+            rank[0, follows] = self.of(new[follows], ids[w[follows], after[follows]])
+            rank[1, leads] = self.of(ids[w[leads], before[leads]], new[leads])
+            tree[w, size + gone] = _NONE
+            tree[w, size + i] = leaves(rank[0], i)
+            before = np.where(leads, before, i)
+            tree[w[leads], size + before[leads]] = leaves(rank[1], before)[leads]
+            nodes = size + np.stack([gone, i, before])
+            while nodes[0, 0] > 1:
+                nodes >>= 1
+                tree[w, nodes] = np.minimum(tree[w, 2 * nodes], tree[w, 2 * nodes + 1])
+            open_ = w[tree[w, 1] != _NONE]
+        kept = ids >= 0
+        packed, ends = ids[kept].astype(dtype).tobytes(), (np.cumsum(kept.sum(axis=1)) * dtype.itemsize).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Coder(dict):
     """A byte-level BPE tokenizer of a file; as a dictionary it remembers the packed ids of words."""
 
@@ -99,12 +164,14 @@ class Coder(dict):
         self.bytes = [vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.pairs = Pairs(self.ranks, self.bytes)
         self.added = {t["content"]: self._packed([t["id"]]) for t in added}
         self.split = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         self.words = regex.compile(PATTERN)
         self.tokens = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in added)]))
         for token, i in [*vocab.items(), *((t["content"], t["id"]) for t in added)]:
             self.tokens[i] = bytes(map(chars.__getitem__, token)) if all(c in chars for c in token) else token.encode()
+        self.stored = pa.array(self.tokens, pa.large_binary())
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -115,6 +182,46 @@ class Coder(dict):
             self[word] = packed
         return packed
 
+    def learn(self, words: set[str]) -> None:
+        """Remember the short ones of these words, worked out together."""
+        by_size: dict[int, tuple[list[str], list[bytes]]] = {}
+        for word in words:
+            own = word.encode()
+            if 2 <= len(own) <= SHORT:
+                names, raw = by_size.setdefault((len(own) - 1).bit_length(), ([], []))
+                names.append(word)
+                raw.append(own)
+        for names, raw in by_size.values():
+            for k in range(0, len(raw), TOGETHER):
+                self.update(zip(names[k : k + TOGETHER], self.pairs.merged(raw[k : k + TOGETHER], self.dtype), strict=True))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text."""
+        out: list[bytes] = []
+        held: list[tuple[str | None, list[str] | None, list[bytes | None]]] = []
+        new: set[str] = set()
+        room = 0
+        for text in texts:
+            plain = text and len(text) < LONG and not any(map(text.__contains__, self.added))
+            own = self.words.findall(text) if plain else None
+            got = list(map(self.get, own)) if own else []
+            if None in got:
+                new.update(word for word, ids in zip(own, got, strict=True) if ids is None)
+            held.append((text, own, got))
+            room += len(got)
+            if room >= PART:
+                out += self._joined(held, new)
+                held, new, room = [], set(), 0
+        return out + self._joined(held, new)
+
+    def _joined(self, held: list[tuple[str | None, list[str] | None, list[bytes | None]]], new: set[str]) -> list[bytes]:
+        """The packed ids of texts, of which the words and what is known of them are there; unknown ones are ``new``."""
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        self.learn(new)
+        whole = lambda own, got: [self[w] if x is None else x for w, x in zip(own, got, strict=True)] if None in got else got
+        return [self.encode(text) if own is None else b"".join(whole(own, got)) for text, own, got in held]
+
     def _parts(self, text: str) -> Iterator[list[str]]:
         """The text's words, of a long text in parts."""
         if len(text) < LONG:
@@ -140,9 +247,14 @@ class Coder(dict):
             return self._plain(text)
         return b"".join(self.added.get(x) or self._plain(x) for x in self.split.split(text) if x)
 
-    def decode(self, ids: np.ndarray) -> str:
-        known = ids[(ids >= 0) & (ids < len(self.tokens))]
-        return b"".join(map(self.tokens.__getitem__, known.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[str]:
+        """The text of each list of ``ids``: they lie one after another, from one of ``ends`` to the next."""
+        own = ids[ends[0] : ends[-1]]
+        known = (own >= 0) & (own < len(self.tokens))
+        _, offsets, data = self.stored.take(pa.array(own[known], pa.int32())).buffers()
+        at = np.frombuffer(offsets, np.int64)[np.concatenate([[0], np.cumsum(known)])[ends - ends[0]]].tolist()
+        view = memoryview(data or b"")
+        return (str(view[a:b], "utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True))
 
 
 def coder(path: str) -> Coder:
@@ -158,7 +270,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(tokenizer)
         for piece in pieces(batches, 4096):
-            packed = [own.encode(text) for text in piece.column("text").to_pylist()]
+            packed = own.encode_all(piece.column("text").to_pylist())
             ends = np.cumsum([0, *map(len, packed)]) // own.dtype.itemsize
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), own.dtype)))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), ids], ["doc_id", "ids"])
@@ -177,8 +289,8 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             place = batch.schema.get_field_index("ids")
             lists = batch.column(place)
             ids = pc.fill_null(lists.values, -1).to_numpy(zero_copy_only=False)
-            spans = zip(lists.offsets[:-1].to_pylist(), lists.offsets[1:].to_pylist(), lists.is_valid().to_pylist(), strict=True)
-            texts = pa.array([own.decode(ids[a:b]) if known else "" for a, b, known in spans], pa.string())
+            found = own.decode(ids, lists.offsets.to_numpy()) if len(lists) else ()
+            texts = pa.array([text if known else "" for text, known in zip(found, lists.is_valid().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == place else c for k, c in enumerate(batch.columns)], [f.name for f in fields])
 
     return bounded(encoded.withColumn("ids", F.col("ids").cast("array<int>"))).mapInArrow(run, StructType(fields))
