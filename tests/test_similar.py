@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from docrecon.functions.fuzzy import name_score_of
 from docrecon.functions.norm import company_name
 from docrecon.operators import finder, link, nearest
+from docrecon.plans import queries
+from docrecon.sources import shared
 
 
 def common(a, b):
@@ -119,3 +121,23 @@ def test_folders_are_those_of_all_pairs(spark, monkeypatch, words, group):
     if words == 2:
         assert got(None) == {x for v in want.values() for x in v}
         assert finder.folder_scores(a.limit(0), b).count() == 0 and finder.folder_scores(a, b.limit(0)).count() == 0
+
+
+def test_queries_go_to_the_tasks_that_hold_a_block(spark, monkeypatch):
+    """Every block's bytes are few and its work is much, so tasks aren't merged."""
+    for name, value in (("ASKED", 9), ("HELD", 40)):
+        monkeypatch.setattr(nearest, name, value)
+    asked = spark.range(30).select(F.lit("").alias("scope"), F.format_string("inv%05d", F.col("id") * 7).alias("n"), F.lit(0.0).alias("more"), F.lit(1).cast("long").alias("least"))
+    held = spark.range(120).select(F.lit("").alias("scope"), F.format_string("inv%05d", F.col("id") * 3).alias("number"), F.format_string("d%05d", "id").alias("first"), F.lit(120).cast("long").alias("count"))
+    found = nearest._all_pairs(shared.snapshot(asked, "asked"), shared.snapshot(held, "held"), 5, nearest.number_scores, 0.75)
+    assert found.rdd.getNumPartitions() == 4
+    assert found.select("n").distinct().count() == 30
+
+
+def test_suggestions_wait_for_what_matching_compares(spark):
+    path = "/root/testdata/sf0.001"
+    shared.forget()
+    alone = sorted(map(repr, queries.suggest_topk(spark, path).collect()))
+    assert not shared.is_kept(spark, f"processed {path}")
+    queries.processed(spark, path)
+    assert alone and alone == sorted(map(repr, queries.suggest_topk(spark, path).collect()))
