@@ -29,20 +29,21 @@ def canonical_vendors(docs: DataFrame) -> DataFrame:
     return counted.groupBy("vendor_gstin").agg(F.min_by("company", F.struct(-F.col("n"), F.col("first"))).alias("canonical"))
 
 
-def flag_vendor_variants(docs: DataFrame) -> DataFrame:
-    """Flag invoices whose folder resembles their tax id's usual one too little; adds canonical.
+def flag_vendor_variants(docs: DataFrame, named: bool = True) -> DataFrame:
+    """Flag invoices whose folder resembles their tax id's usual one too little; adds canonical, if ``named``.
 
-    The similarity is taken once for each pair of names.
+    The similarity is taken once for each pair of names. Without names the documents meet the pairs that differ alone.
     """
     names = canonical_vendors(docs)
     pairs = invoices(docs).filter(F.col("company") != "").select("vendor_gstin", "company").distinct().join(names, "vendor_gstin")
     pairs = pairs.withColumns({"_a": company_name(F.col("company")), "_b": company_name(F.col("canonical"))})
-    scored = pairs.select(F.col("vendor_gstin").alias("_g"), F.col("company").alias("_n"), (name_score(F.col("_a"), F.col("_b")) < DEFAULTS.soft).alias("_variant"))
+    scored = pairs.select(F.col("vendor_gstin").alias("_g"), F.col("company").alias("_n"), (name_score(F.col("_a"), F.col("_b")) < DEFAULTS.soft).alias("_variant"), *([] if named else ["canonical"]))
     is_invoice = F.col("doc_type") == "invoice"
-    out = docs.join(names, "vendor_gstin", "left").withColumn("canonical", F.when(is_invoice, F.col("canonical")))
-    out = out.join(scored, is_invoice & (F.col("vendor_gstin") == F.col("_g")) & (F.col("company") == F.col("_n")), "left")
+    if named:
+        docs = docs.join(names, "vendor_gstin", "left").withColumn("canonical", F.when(is_invoice, F.col("canonical")))
+    out = docs.join(scored if named else scored.filter("_variant"), is_invoice & (F.col("vendor_gstin") == F.col("_g")) & (F.col("company") == F.col("_n")), "left")
     message = F.concat(F.lit("folder '"), "company", F.lit("' differs from GSTIN "), "vendor_gstin", F.lit(" vendor '"), "canonical", F.lit("'"))
-    return with_flags(out, flag(F.coalesce("_variant", F.lit(False)), "vendor_folder_variant", message)).drop("_g", "_n", "_variant")
+    return with_flags(out, flag(F.coalesce("_variant", F.lit(False)), "vendor_folder_variant", message)).drop("_g", "_n", "_variant", *([] if named else ["canonical"]))
 
 
 def duplicate_ids(docs: DataFrame) -> DataFrame:
@@ -59,9 +60,9 @@ def flag_duplicate_ids(docs: DataFrame) -> DataFrame:
     return with_flags(out, flag(F.col("copies").isNotNull(), "duplicate_id", message)).drop("_id", "copies", "names")
 
 
-def corpus_passes(docs: DataFrame) -> DataFrame:
+def corpus_passes(docs: DataFrame, named: bool = True) -> DataFrame:
     """Both passes. Their flags come after confidence is fixed, as they don't lower it."""
-    return flag_duplicate_ids(flag_vendor_variants(docs))
+    return flag_duplicate_ids(flag_vendor_variants(docs, named))
 
 
 def summary(docs: DataFrame) -> DataFrame:
